@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm import language_crf, packing
 from ridgeline.llm.common import read_table, word_count
+from ridgeline.llm.gif_media import read_media, store_texts
 from ridgeline.llm.license_scan import license_scan
 from ridgeline.llm.line_rules import line_rules
 from ridgeline.llm.mixing import entropy_mix
@@ -17,6 +19,44 @@ from ridgeline.llm.substring_dedup import substring_dedup
 from ridgeline.llm.suffix_dedup import suffix_dedup
 
 DOC_ID = F.col("doc").alias("doc_id")
+# Fixed value: the one added token of the 50k byte-level vocabulary.
+SPECIALS = {"<|endoftext|>": 50256}
+
+
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, language_crf.fit(docs))
+    return found.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = read_media(store_texts(read_table(spark, sf_dir, "documents")))
+    times = F.struct(F.size("frames").alias("frames"), F.expr("frames[0].delay_ms * size(frames)").alias("ms"), F.col("histogram"))
+    return media.select(
+        DOC_ID,
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.to_json(times).alias("feature"),
+    )
+
+
+def document_tokens(docs: DataFrame) -> DataFrame:
+    """Token table of documents under the public 50k byte-level vocabulary.
+
+    Its ranks file and tokenizer file give the same ids; the ranks file is read several times faster.
+    """
+    import public_tokenizers
+
+    return packing.token_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
+
+
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_mixture(document_tokens(read_table(spark, sf_dir, "documents")))
+    return pieces.withColumnRenamed("doc", "doc_id")
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +97,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_language_crf, op2_gif_media, op3_mixture_packing, op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join)
 }
