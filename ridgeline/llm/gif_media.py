@@ -53,44 +53,76 @@ def _layout(least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return before, widths
 
 
-def lzw_codes(samples: bytes, least: int = 8) -> list[list[int]]:
-    """Codes of the samples, one list for each clear code; the last ends with the end code."""
-    clear = 1 << least
-    runs, codes, table, free, prefix = [], [], {}, clear + 2, None
-    for sample in samples:
-        if prefix is None:
-            prefix = sample
-            continue
+def lzw_codes(samples: bytes, least: int = 8) -> list[int]:
+    """Codes of the samples, an end code last. A full table is followed by a clear code."""
+    clear, codes, table = 1 << least, [], {}
+    append, get, free = codes.append, table.get, clear + 2
+    rest = iter(samples)
+    prefix = next(rest, None)
+    for sample in rest:
         key = prefix << 8 | sample
-        code = table.get(key)
-        if code is not None:
-            prefix = code
-            continue
-        codes.append(prefix)
-        prefix = sample
-        if free < 4095:
-            table[key] = free
-            free += 1
+        code = get(key)
+        if code is None:
+            append(prefix)
+            prefix = sample
+            if free < 4095:
+                table[key] = free
+                free += 1
+            else:
+                append(clear)
+                table.clear()
+                free = clear + 2
         else:
-            codes.append(clear)
-            runs.append(codes)
-            codes, table, free = [], {}, clear + 2
+            prefix = code
     if prefix is not None:
-        codes.append(prefix)
-    codes.append(clear + 1)
-    runs.append(codes)
-    return runs
+        append(prefix)
+    append(clear + 1)
+    return codes
+
+
+def pack_codes(frames: list[list[int]], least: int = 8) -> list[bytes]:
+    """The code stream of each frame, after an opening clear code, least significant bit first."""
+    codes = np.array([c for f in frames for c in (1 << least, *f)], np.uint16)
+    size = np.array([len(f) + 1 for f in frames])
+    end = np.cumsum(size)
+    # a code's size depends on its number since the last clear code
+    number = np.arange(len(codes))
+    last = np.maximum.accumulate(np.where(codes == 1 << least, number, -1))
+    since = number - np.concatenate(([0], last[:-1])) - 1
+    widths = np.where(since < 0, least + 1, _WIDTHS[least][since])
+    widths[end - size] = least + 1
+    total = np.add.reduceat(widths, end - size)
+    first_byte = np.append(0, np.cumsum(-(-total // 8)))
+    before = np.cumsum(widths) - widths
+    at = before + np.repeat(8 * first_byte[:-1] - before[end - size], size)
+    bits = np.zeros(8 * int(first_byte[-1]), np.uint8)
+    for k in range(int(widths.max())):
+        live = widths > k
+        bits[at[live] + k] = codes[live] >> k & 1
+    stream = np.packbits(bits, bitorder="little").tobytes()
+    return [stream[a:b] for a, b in zip(first_byte[:-1].tolist(), first_byte[1:].tolist())]
 
 
-def pack_codes(runs: list[list[int]], least: int = 8) -> bytes:
-    """The code stream, after an opening clear code, least significant bit first."""
-    widths = np.concatenate([[least + 1], *[_WIDTHS[least][: len(r)] for r in runs]])
-    codes = np.array([1 << least, *[c for r in runs for c in r]], np.uint16)
-    bits = codes[:, None] >> np.arange(12, dtype=np.uint16) & 1
-    return np.packbits(bits.astype(np.uint8)[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
+_ROOTS = {k: [bytes([i]) for i in range(1 << k)] + [b"", b""] for k in range(1, 9)}
 
 
-_ROOTS = {k: [bytes([i]) for i in range(1 << k)] + [b"", b""] for k in range(1, 9)}
+def _grown(codes: list[int], least: int) -> list[bytes]:
+    """The code table after these codes, which follow a clear code."""
+    table = _ROOTS[least][:]
+    append, previous = table.append, b""
+    for code in codes[: 4096 - len(table) + 1]:
+        try:
+            entry = table[code]
+        except IndexError:
+            if code != len(table) or not previous:
+                raise GifError("a code that is not in the table") from None
+            entry = previous + previous[:1]
+        if previous:
+            append(previous + entry[:1])
+        previous = entry
+    if max(codes, default=0) >= len(table):
+        raise GifError("a code that is not in the table")
+    return table
 
 
 def lzw_decode(stream: bytes, least: int, size: int) -> bytes:
@@ -109,18 +141,9 @@ def lzw_decode(stream: bytes, least: int, size: int) -> bytes:
         codes = (word >> (at & 7).astype(np.uint32)) & ((1 << widths[:n]) - 1).astype(np.uint32)
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         used = int(stop[0]) if len(stop) else n
-        table, previous = _ROOTS[least][:], b""
-        for code in codes[:used].tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and previous:
-                entry = previous + previous[:1]
-            else:
-                raise GifError("a code that is not in the table")
-            out.append(entry)
-            if previous and len(table) < 4096:
-                table.append(previous + entry[:1])
-            previous = entry
+        run = codes[:used].tolist()
+        table = _grown(run, least)
+        out += [table[code] for code in run]
         got = sum(map(len, out)) if len(stop) else size
         if len(stop) and codes[used] == clear + 1:
             break
@@ -136,8 +159,7 @@ def encode_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay_c
     parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTE.tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
     control = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0"
     image = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    for at in range(0, len(samples), frame):
-        stream = pack_codes(lzw_codes(samples[at : at + frame]))
+    for stream in pack_codes([lzw_codes(samples[at : at + frame]) for at in range(0, len(samples), frame)]):
         parts += [control, image]
         for k in range(0, len(stream), 255):
             block = stream[k : k + 255]
