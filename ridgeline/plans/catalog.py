@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ridgeline.plans import geo_queries, graph_queries  # noqa: F401  (registers its queries)
+from ridgeline.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "sector_costs"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
