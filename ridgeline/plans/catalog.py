@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.plans import geo_queries, graph_queries  # noqa: F401  (registers its queries)
+from ridgeline.plans import geo_queries, graph_queries, route_queries, track_queries  # noqa: F401  (registers its queries)
 from ridgeline.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "sector_costs"

@@ -62,7 +62,7 @@ VIEWS: dict[str, str] = {
                40e0 + c_nationkey * 0.0011e0 AS start_lat, -105.27e0 + (c_custkey % 40) * 0.0012e0 AS start_lng
         FROM customer""",
     "v_route_edge": """
-        SELECT l_orderkey AS route_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS seq,
+        SELECT l_orderkey AS route_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS bigint) AS seq,
                l_partkey AS edge_key, CAST(floor(l_extendedprice / 100) AS double) AS distance_m, l_discount * 10 AS park_score, l_tax * 10 AS shade_score,
                l_quantity / 50 AS safety_score, (l_partkey % 100) / 100e0 AS scenery_score, (l_suppkey % 10) / 10e0 AS novelty_score,
                CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 9) / 9e0 END AS traffic_exposure,
@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
         SELECT md5(CAST(o_orderkey AS varchar(20))) AS token, o_orderkey AS route_key, o_custkey AS user_id, (o_orderkey % 2160) + 1 AS hours, o_orderdate AS created_at
         FROM orders WHERE o_orderkey % 3 = 0""",
     "v_track": """
-        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, ts, 40e0 + (event_id % 97) * 0.0004e0 AS lat,
+        SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS seq, ts, 40e0 + (event_id % 97) * 0.0004e0 AS lat,
                -105.27e0 + (event_id % 89) * 0.0005e0 AS lng, CASE WHEN event_id % 11 <> 0 THEN value END AS elev
         FROM events""",
     "v_tag": """
@@ -142,4 +142,6 @@ def with_views(sql: str) -> str:
     if not parts:
         return sql
     own = sql.lstrip()
+    if own.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {own[15:]}"
     return f"WITH {', '.join(parts)}" + (f", {own[5:]}" if own.startswith("WITH ") else f" {sql}")
