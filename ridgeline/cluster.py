@@ -1,4 +1,4 @@
-"""Makes the package importable on executors, wherever the driver found it."""
+"""What the driver sets up for executors: the package itself, and a shared folder."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_own_dir: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -20,3 +21,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session names none (local tests) a temporary folder stands in.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        _own_dir[app] = tempfile.mkdtemp(prefix="ridgeline-")
+    return _own_dir[app]
