@@ -1,15 +1,87 @@
-"""Corpus pipeline: quality rules, near-duplicate join, substring dedup, mixing and packing."""
+"""Corpus pipeline: quality rules, near-duplicate join, substring dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the shared
+folder and rereads it as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.cluster import shared_dir, ship_package
+from ridgeline.llm import packing
+from ridgeline.llm.common import word_count
+from ridgeline.llm.line_rules import line_rules
+from ridgeline.llm.mixing import entropy_mix
+from ridgeline.llm.ngram_join import ngram_jaccard_join
+from ridgeline.llm.queries import document_tokens
+from ridgeline.llm.substring_dedup import substring_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are depleted go."""
+    ship_package(spark)
+    rejected = line_rules(docs).where("NOT kept").select(F.col("doc_id").alias("_id"))
+    return _documents(docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the least id."""
+    ship_package(spark)
+    kept = ngram_jaccard_join(docs).where("doc = class_id").select(F.col("doc").alias("_id")).distinct()
+    return _documents(docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; documents left without a word go too."""
+    ship_package(spark)
+    cut = substring_dedup(docs).select(F.col("doc").alias("_id"), F.col("kept_text"), "n_removed")
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    joined = joined.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).withColumn("text", text)
+    return _documents(joined.withColumn("n_chars", F.char_length("text").cast("long")))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come 0, 1 or 2 times, so that sources reach their target sizes."""
+    ship_package(spark)
+    rates = entropy_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    joined = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_id"]))
+    return _documents(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 1024-token sequences, every one filled in proportion to the mixture."""
+    ship_package(spark)
+    return packing.pack_mixture(document_tokens(docs)).withColumnRenamed("doc", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("entropy mixing", mixed_sources),
+    ("mixture packing", packed),
+]
 
-STAGES: list = []
+#: Tokenizing is not expressible in SQL; tests compare the rows with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

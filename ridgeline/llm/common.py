@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import shared_dir
+
 #: A word: a run of characters other than space and ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,23 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: a bucket (and group) goes through the small table of offsets.
 RANK_BUCKETS = 4096
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a temporary folder stands in.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="ridgeline-")
-    return _own_dir[app]
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
