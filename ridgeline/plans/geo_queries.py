@@ -10,21 +10,24 @@ from ridgeline.plans.projection import TAGS, half_up_sql, haversine_sql, views
 from ridgeline.plans.registry import query
 
 C = F.col
-ENDS = (C("lat1"), C("lng1"), C("lat2"), C("lng2"))
 HAV = haversine_sql("lat1", "lng1", "lat2", "lng2")
 BEARING = "fmod(degrees(atan2(sin(radians(lng2 - lng1)) * cos(radians(lat2)), cos(radians(lat1)) * sin(radians(lat2)) - sin(radians(lat1)) * cos(radians(lat2)) * cos(radians(lng2 - lng1)))) + 360e0, 360e0)"
 
 
+def ends():
+    return C("lat1"), C("lng1"), C("lat2"), C("lng2")
+
+
 @query(f"SELECT edge_id, {half_up_sql(HAV, 6)} AS metres FROM v_link")
 def geo_haversine(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_link")
-    return e.select("edge_id", half_up(geo.haversine_m(*ENDS), 6).alias("metres"))
+    return e.select("edge_id", half_up(geo.haversine_m(*ends()), 6).alias("metres"))
 
 
 @query(f"SELECT edge_id, {half_up_sql(BEARING, 6)} AS bearing FROM v_link")
 def geo_bearing(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_link")
-    return e.select("edge_id", half_up(geo.bearing(*ENDS), 6).alias("bearing"))
+    return e.select("edge_id", half_up(geo.bearing(*ends()), 6).alias("bearing"))
 
 
 _DEST_LAT = "asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(radians(b)))"
@@ -61,7 +64,7 @@ _T = "least(greatest(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / ((x2 - x1) * (x2 - x1)
 )
 def geo_projection(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_link")
-    lat, lng, away = geo.project_on_segment(C("lat1") + num(0.0003), C("lng1") + num(0.0002) + (C("size") % 7) * num(0.0002), *ENDS)
+    lat, lng, away = geo.project_on_segment(C("lat1") + num(0.0003), C("lng1") + num(0.0002) + (C("size") % 7) * num(0.0002), *ends())
     return e.select("edge_id", half_up(lat, 6).alias("lat"), half_up(lng, 6).alias("lng"), half_up(away, 4).alias("metres"))
 
 
@@ -75,7 +78,7 @@ _FLAT = _SEGMENT.format(
 )
 def geo_segment_distance(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_link")
-    km = geo.segment_distance_km(C("lat1") + num(0.0003), C("lng1") + num(0.0002) + (C("size") % 7) * num(0.0002), *ENDS)
+    km = geo.segment_distance_km(C("lat1") + num(0.0003), C("lng1") + num(0.0002) + (C("size") % 7) * num(0.0002), *ends())
     return e.select("edge_id", half_up(km, 6).alias("km"))
 
 
