@@ -94,8 +94,9 @@ def license_matches(text: Column, templates: dict[str, str] = TEMPLATES, thresho
 def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``license`` (template of the best match, else null), ``dice`` (its score, else null) and ``license_units`` (matching units).
 
-    Other columns stay as they are; equal texts get equal values; an empty table stays empty.
+    Other columns stay as they are, but for those of these names and ``_m``, which are replaced.
+    Equal texts get equal values; an empty table stays empty.
     """
-    found = docs.withColumn("_m", license_matches(F.col(text), templates, threshold))
+    found = docs.drop("license", "dice", "license_units").withColumn("_m", license_matches(F.col(text), templates, threshold))
     top = F.array_max(F.col("_m"))
     return found.withColumns({"license": top["template"], "dice": top["dice"], "license_units": F.size("_m").cast("long")}).drop("_m")

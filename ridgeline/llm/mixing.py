@@ -25,6 +25,8 @@ UNIT = 1_000_000
 MAX_COPIES = 2
 #: Buckets in which documents of one source and size are numbered.
 SUB_BUCKETS = 64
+#: Names of helper columns.
+OWN = ("_size", "_h", "_one", "_sub", "_sum", "_before", "_number", "_rate", "_start", "_count", "_m", "_mean")
 
 
 def water_fill(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float = MAX_COPIES) -> dict[str | None, float]:
@@ -96,10 +98,11 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
 
     Sizes are whole numbers, null counting 0; documents of size 0 keep
     the prior rate, one copy. A null source is a source of its own. Rows that agree in key are
-    interchangeable. An empty table gives an empty table.
+    interchangeable. Input columns named as a result, or after this operator's own, are dropped.
+    An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
+    sized = docs.drop("source_size", "target", "copies", *OWN).withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
     hist = stored(sized.groupBy(source, "_size").agg(F.count("*").alias("_count")), "size-histogram")
     totals = hist.groupBy(source).agg(F.sum(F.col("_count") * F.col("_size")).alias("s"), F.sum("_count").alias("n")).collect()
     targets = water_fill([(r[source], r["s"]) for r in totals], weights, share)
@@ -116,4 +119,4 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
     joined = null_safe(numbered, rates, [source, "_size"])
     low = F.expr(f"(_start + _number * _rate + {UNIT // 2}) div {UNIT}")
     high = F.expr(f"(_start + (_number + 1) * _rate + {UNIT // 2}) div {UNIT}")
-    return joined.withColumn("copies", (high - low).cast("int")).drop("_size", "_h", "_one", "_sub", "_number", "_rate", "_start")
+    return joined.withColumn("copies", (high - low).cast("int")).drop(*OWN)

@@ -82,7 +82,6 @@ _SKETCH = pa.schema([("doc", pa.int64()), ("digest", pa.int64()), ("digest2", pa
 def _sketches(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = np.asarray(batch.column("doc"))
             for at, data, offsets in units.slices(batch.column("text")):
                 sets = list(ngram_sets(data, offsets, n))
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -94,7 +93,7 @@ def _sketches(n: int, bands: int, rows: int):
                     digest2 = np.array([units.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) for s in sets], _U)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(doc[at : at + len(sets)]),
+                        batch.column("doc").slice(at, len(sets)),
                         pa.array(digest.view(np.int64)),
                         pa.array(digest2.view(np.int64)),
                         pa.array(np.array([len(s) for s in sets], np.int32)),
@@ -109,10 +108,9 @@ def _sketches(n: int, bands: int, rows: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = np.asarray(batch.column("doc"))
             for at, data, offsets in units.slices(batch.column("text")):
                 sets = [s.tobytes() for s in ngram_sets(data, offsets, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + len(sets)]), pa.array(sets, pa.binary())], names=["doc", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(at, len(sets)), pa.array(sets, pa.binary())], names=["doc", "grams"])
 
     return run
 
@@ -232,7 +230,8 @@ def ngram_jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     one (found with at least the target recall at the threshold, more above it; never a false one).
     class_id: the least document of the connected component.
     Null, empty and wordless texts have no n-grams: they link to nothing and are their own class.
-    Repeated rows of one document are copies of it and each get a row.
+    Repeated rows of one document are copies of it and each get a row. A null key stays null and is
+    never the least. Columns besides key and text are ignored. An empty table gives an empty table.
     """
     bands, rows = choose_bands(threshold, recall)
     texts = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))

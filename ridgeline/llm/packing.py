@@ -153,6 +153,8 @@ def _encoder(ranks_path: str, pattern: str, specials: dict[str, int]):
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if max([*ranks.values(), *specials.values()]) >= 1 << 16:
+        raise ValueError("ids must fit 16 bits")
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
 
 
@@ -169,7 +171,11 @@ def _tokenize(ranks_path: str, pattern: str, specials: dict[str, int]):
 
 
 def token_table(docs: DataFrame, ranks_path: str, pattern: str, specials: dict[str, int], key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc, source, ``row_id``, ``n_tokens`` and ``ids`` (16-bit little-endian, the end id last), stored."""
+    """doc, source, ``row_id``, ``n_tokens`` and ``ids`` (16-bit little-endian, the end id last), stored.
+
+    ranks_path, pattern and specials describe a byte-level vocabulary of at most 65,536 ids. A null
+    text has the end id only. Columns besides key, source and text are ignored.
+    """
     slim = docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
     tokens = slim.mapInArrow(_tokenize(ranks_path, pattern, specials), "doc long, source string, n_tokens long, ids binary")
     return stored(tokens.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
@@ -181,15 +187,17 @@ _PIECES = pa.schema([(n, pa.int64()) for n in ("doc", "start", "length", "ids_cr
 def _pieces(segments: list[Segment]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in _PIECES.names]
+            columns: list[list[np.ndarray]] = [[] for _ in _PIECES.names[1:]]
+            docs: list[int | None] = []
             for doc, queue, at, n, ids in zip(*(batch.column(c).to_pylist() for c in ("doc", "queue", "at", "n_tokens", "ids"))):
                 first, length, window, offset = place(segments, queue, at, at + n)
                 wide, start = np.frombuffer(ids, "<u2").astype("<u4"), first - at
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(start.tolist(), (start + length).tolist())]
-                for c, x in zip(columns, (np.full(len(start), doc), start, length, np.array(crc, np.int64), np.full(len(start), n), window, offset)):
+                docs += [doc] * len(start)
+                for c, x in zip(columns, (start, length, np.array(crc, np.int64), np.full(len(start), n), window, offset)):
                     c.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], schema=_PIECES)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *[pa.array(np.concatenate(c)) for c in columns]], schema=_PIECES)
 
     return run
 
@@ -199,7 +207,7 @@ def pack_mixture(tokens: DataFrame, weights: dict[str | None, int] | None = None
 
     Every window but the last is full. weights: target proportions of the sources as whole numbers;
     by default those of the corpus, so all queues end together. A null source is a queue of its own.
-    Repeated rows are packed each. An empty table gives no pieces.
+    Repeated rows are packed each, null keys stay null. An empty table gives no pieces.
     """
     totals = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()  # one row a source
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))

@@ -18,7 +18,6 @@ from ridgeline.llm.sharding import stratified_shards
 from ridgeline.llm.substring_dedup import substring_dedup
 from ridgeline.llm.suffix_dedup import suffix_dedup
 
-DOC_ID = F.col("doc").alias("doc_id")
 # Fixed value: the one added token of the 50k byte-level vocabulary.
 SPECIALS = {"<|endoftext|>": 50256}
 
@@ -33,7 +32,7 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = read_media(store_texts(read_table(spark, sf_dir, "documents")))
     times = F.struct(F.size("frames").alias("frames"), F.expr("frames[0].delay_ms * size(frames)").alias("ms"), F.col("histogram"))
     return media.select(
-        DOC_ID,
+        F.col("doc").alias("doc_id"),
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
@@ -83,17 +82,17 @@ def op7_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read_table(spark, sf_dir, "documents"))
-    return found.select(DOC_ID, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(read_table(spark, sf_dir, "documents"))
-    return found.select(DOC_ID, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
-    return found.select(DOC_ID, "class_id", F.col("links").alias("n_links"), "copy_of", F.col("copies").alias("n_copies"))
+    return found.select(F.col("doc").alias("doc_id"), "class_id", F.col("links").alias("n_links"), "copy_of", F.col("copies").alias("n_copies"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import RANK_BUCKETS, null_safe, running_total, seeded_hash
 
+#: Names of helper columns.
+OWN = ("_h", "_one", "_bucket", "_rank", "_n", "_frac", "_b", "_before", "_all", "_pos", "_sum")
+
 
 def stratified_shards(docs: DataFrame, shards: int = 16, seed: int = 17, stratum: str = "source", key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in its shard).
 
     Shard sizes differ by one row at most. A null stratum is a stratum of its own; rows that agree
-    in key and ``ties`` are interchangeable. An empty table gives an empty table.
+    in key and ``ties`` are interchangeable; null keys sort first. Input columns named shard or slot,
+    or after this operator's own (``_h`` and the like), are dropped. An empty table stays empty.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     width = 2**60 // RANK_BUCKETS
-    hashed = docs.withColumns({"_h": seeded_hash(seed, F.col(key)), "_one": F.lit(1).cast("long")})
+    hashed = docs.drop("shard", "slot", *OWN).withColumns({"_h": seeded_hash(seed, F.col(key)), "_one": F.lit(1).cast("long")})
     hashed = hashed.withColumn("_bucket", F.floor(F.col("_h") / F.lit(width)).cast("int"))
     totals = hashed.groupBy(stratum).agg(F.sum("_one").alias("_n"))
     order = ["_h", key, *ties]
@@ -46,5 +50,5 @@ def stratified_shards(docs: DataFrame, shards: int = 16, seed: int = 17, stratum
     return (
         position.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (F.col("_pos") - F.expr(f"(shard * _all + {shards - 1}) div {shards}")).cast("long"))
-        .drop("_h", "_one", "_bucket", "_rank", "_n", "_frac", "_b", "_before", "_all", "_pos")
+        .drop(*OWN)
     )
