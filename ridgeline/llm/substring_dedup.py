@@ -8,7 +8,6 @@ repeats over the length threshold, merged into maximal runs of covered words, ar
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -63,22 +62,22 @@ def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.table(batch)
-            texts, counts, removed, kept = table["text"], [], [], []
-            for text, ranges in zip(texts.to_pylist(), table["ranges"].to_pylist()):
-                raw = text.encode()
-                _, start, end, _ = units.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                gone = units.cover([(r["first"], r["count"]) for r in ranges or []], window, len(start))
-                counts.append(len(start))
-                removed.append(int(gone.sum()))
-                if removed[-1]:
-                    kept.append(b" ".join(raw[a:b] for a, b in zip(start[~gone].tolist(), end[~gone].tolist())).decode())
-                else:
-                    kept.append(" ".join(raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())))
-            out = table.drop_columns(["ranges", "text", "row"])
-            for name, values, kind in (("n_words", counts, pa.int64()), ("n_removed", removed, pa.int64()), ("kept_text", kept, pa.string())):
-                out = out.append_column(name, pa.array(values, kind))
-            yield from out.to_batches()
+            for at, data, offsets in units.slices(batch.column("text")):
+                n = len(offsets) - 1
+                _, start, end, by_row = units.words(data, offsets)
+                gone = units.covered(batch.column("ranges").slice(at, n), by_row, window)
+                kept = np.flatnonzero(~gone)
+                # bytes of kept words, and one space after each but a row's last
+                change = np.bincount(start[kept], minlength=len(data) + 1) - np.bincount(end[kept], minlength=len(data) + 1)
+                mask, plain = np.cumsum(change[: len(data)]) > 0, data.copy()
+                row = np.searchsorted(by_row, kept, "right") - 1
+                spaced = end[kept[:-1][row[1:] == row[:-1]]]
+                mask[spaced], plain[spaced] = True, 0x20
+                removed = np.append(0, np.cumsum(gone))[by_row]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(at, n), pa.array(np.diff(by_row).astype(np.int64)), pa.array(np.diff(removed)), units.pieces(plain, mask, offsets, pa.string())],
+                    names=["doc", "n_words", "n_removed", "kept_text"],
+                )
 
     return run
 
@@ -95,6 +94,3 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rows = keyed(docs, key, text)
     return with_ranges(rows, repeated_word_ranges(rows, window, seed)).mapInArrow(_cut(window), "doc long, n_words long, n_removed long, kept_text string")
 
-
-def kept_digest(text: str) -> str:
-    return sha256(text.encode()).hexdigest()

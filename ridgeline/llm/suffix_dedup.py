@@ -189,15 +189,19 @@ def repeated_byte_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"doc": batch.column("doc"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                gone = units.cover([(r["first"], r["count"]) for r in ranges or []], window, len(raw))
-                out["n_bytes"].append(len(raw))
-                out["n_removed"].append(int(gone.sum()))
-                out["n_spans"].append(int((gone & ~np.concatenate(([False], gone[:-1]))[: len(gone)]).sum()))
-                out["kept"].append(raw[~gone].tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+            for at, data, offsets in units.slices(batch.column("text")):
+                n = len(offsets) - 1
+                gone = units.covered(batch.column("ranges").slice(at, n), offsets, window)
+                removed = np.append(0, np.cumsum(gone))[offsets]
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                inner = offsets[:-1][np.diff(offsets) > 0]
+                opens[inner] = gone[inner]  # a run ends with its document
+                runs = np.append(0, np.cumsum(opens))[offsets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(at, n), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(runs)), units.pieces(data, ~gone, offsets, pa.binary())],
+                    names=["doc", "n_bytes", "n_removed", "n_spans", "kept"],
+                )
 
     return run
 

@@ -139,10 +139,23 @@ def spans(prefix: np.ndarray, by_row: np.ndarray, window: int, seed: int) -> Ite
     yield row, codes[anchor], mix(content + (anchor - start).astype(_U)), start - by_row[row], length
 
 
-def cover(ranges: list[tuple[int, int]], window: int, n: int) -> np.ndarray:
-    """Mask of n units, true where a window of a range (first start, number of starts) lies."""
-    change = np.zeros(n + 1, np.int64)
-    for first, count in ranges:
-        change[first] += 1
-        change[min(n, first + count - 1 + window)] -= 1
+def covered(ranges: pa.ListArray, by_row: np.ndarray, window: int) -> np.ndarray:
+    """Mask of the units of some rows, true where a window of a row's ranges lies.
+
+    ranges: one list a row (null for none) of struct<first, count>: first window and number of windows.
+    """
+    n = int(by_row[-1])
+    per = np.asarray(ranges.value_lengths().fill_null(0), np.int64)
+    values = ranges.flatten()
+    first, count = (np.asarray(values.field(k), np.int64) for k in (0, 1))
+    row = np.repeat(np.arange(len(per)), per)
+    start = by_row[row] + first
+    end = np.minimum(by_row[row + 1], start + count - 1 + window)
+    change = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(change[:n]) > 0
+
+
+def pieces(data: np.ndarray, kept: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The kept bytes of each row as a binary or string array."""
+    upto = np.append(0, np.cumsum(kept))
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(upto[offsets].astype(np.int32)), pa.py_buffer(data[kept].tobytes())])
