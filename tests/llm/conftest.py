@@ -38,7 +38,7 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def keyless(spark):
     """Rows whose every column may be null."""
-    return spark.createDataFrame([(None,) * 9, (None, "some words here", None, None, None, None, None, None, None), (1, None, None, None, None, None, None, None, None)], SCHEMA)
+    return spark.createDataFrame([(None,) * 9, (None, "some words here", None, None, None, None, None, None, None), (1, None, None, None, None, None, None, None, None), *[(None, " ".join(f"w{i}" for i in range(200)), None, None, None, None, None, None, None)] * 2], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -117,7 +117,7 @@ def test_media_keeps_every_byte(docs, no_docs, keyless, spark):
         assert r["payload"][: len(raw)] == raw and set(r["payload"][len(raw) :]) <= {255} and len(r["payload"]) % 576 == 0 and len(r["payload"]) > 0
         assert len(r["frames"]) == len(r["payload"]) // 576 and sum(r["histogram"]) == len(r["payload"]) and r["n_bytes"] == len(raw) and r["error"] is None
         assert [f["start_ms"] for f in r["frames"]] == [40 * i for i in range(len(r["frames"]))]
-    assert gif.read_media(gif.store_texts(no_docs)).count() == 0 and gif.read_media(gif.store_texts(keyless)).count() == 3
+    assert gif.read_media(gif.store_texts(no_docs)).count() == 0 and gif.read_media(gif.store_texts(keyless)).count() == 5
     bad = spark.createDataFrame([(1, bytearray(b"GIF89a")), (2, bytearray(b"no")), (3, None)], "doc long, media binary")
     assert [r["error"] is None for r in gif.read_media(bad).orderBy("doc").collect()] == [False, False, True]
 
@@ -167,7 +167,7 @@ def test_common_lines_are_removed(spark):
 
 def test_line_rules_edges(no_docs, keyless):
     assert line_rules(no_docs).count() == 0
-    assert [r["kept"] for r in line_rules(keyless).collect()] == [False] * 3
+    assert [r["kept"] for r in line_rules(keyless).collect()].count(False) == 3
 
 
 # -- licences
@@ -198,7 +198,7 @@ def test_license_scan(spark, sample, docs, no_docs, keyless):
         for r in ls.license_scan(df).collect():
             name, dice, units = brute_license(r["text"])
             assert (r["license"], r["license_units"]) == (name, units) and (r["dice"] == pytest.approx(dice) if dice else r["dice"] is None)
-    assert ls.license_scan(no_docs).count() == 0 and ls.license_scan(keyless).count() == 3
+    assert ls.license_scan(no_docs).count() == 0 and ls.license_scan(keyless).count() == 5
 
 
 def test_license_scan_is_native_and_narrow(docs):
