@@ -24,6 +24,10 @@ from ridgeline.llm import units
 from ridgeline.llm.common import stored
 
 
+#: Stands for a null key where documents are ordered.
+NO_KEY = -(2**63)
+
+
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return units.BYTE_CODES[data], offsets
 
@@ -45,7 +49,7 @@ _SPAN = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64
 def span_rows(rows: DataFrame, to_units: Callable, window: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_id, doc = (np.asarray(batch.column(c)) for c in ("row", "doc"))
+            row_id, doc = np.asarray(batch.column("row")), np.asarray(batch.column("doc").fill_null(NO_KEY))
             for at, data, offsets in units.slices(batch.column("text")):
                 codes, by_row = to_units(data, offsets)
                 for row, anchor, kind, first, count in units.spans(units.prefix_sums(codes), by_row, window, seed):
@@ -64,11 +68,17 @@ def repeated_spans(rows: DataFrame, to_units: Callable, window: int, seed: int)
     return stored(spans.join(again, "anchor", "left_semi"), "repeated-spans")
 
 
-def span_classes(spans: DataFrame) -> DataFrame:
-    """One row per distinct span: ``copies`` of it, its first place, and ``kinds``, the distinct spans of its anchor."""
+def span_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, kinds), stored. classes: one row per distinct span, its ``copies`` and first place ``at``.
+    kinds: anchors that stand in more than one distinct span, and in how many.
+
+    Both are tables of their own so that a join between them is one that Spark can split where an
+    anchor is frequent.
+    """
     classes = spans.groupBy("anchor", "class").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "first", "row", "count")).alias("at"))
-    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    return classes.join(kinds, "anchor")
+    classes = stored(classes, "span-classes")
+    kinds = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return classes, stored(kinds, "span-kinds")
 
 
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:

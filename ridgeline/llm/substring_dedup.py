@@ -45,10 +45,10 @@ def _single_windows(window: int):
 def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(row, first, count): starts of windows whose word sequence also starts elsewhere."""
     spans = repeated_spans(rows, word_units, window, seed)
-    classes = span_classes(spans)
+    classes, kinds = span_classes(spans)
     copied = classes.where("copies > 1").select("anchor", "class")
     whole = spans.join(copied, ["anchor", "class"], "left_semi").select("row", "first", "count")
-    edges = classes.where("kinds > 1").select("at.row", F.struct("at.first", "at.count", "copies").alias("span"))
+    edges = classes.join(kinds, "anchor").select("at.row", F.struct("at.first", "at.count", "copies").alias("span"))
     edges = edges.groupBy("row").agg(F.collect_list("span").alias("spans"))  # spans of one document
     texts = rows.join(edges, "row").select("row", "text", "spans")
     windows = texts.mapInArrow(_single_windows(window), "row long, first int, code long, copies long")
@@ -87,7 +87,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     A word is removed if a window of ``window`` words that covers it also starts anywhere else, in
     the same document or another. Repeated rows are copies of each other, so they lose all windows.
-    Null and empty texts have no words. Texts shorter than a window are kept whole.
+    Null and empty texts have no words. Texts shorter than a window are kept whole. A null key stays
+    null. Columns besides key and text are ignored. An empty table gives an empty table.
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")

@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import units
-from ridgeline.llm.common import stored
-from ridgeline.llm.repeats import byte_units, keyed, repeated_spans, span_classes, with_ranges
+from ridgeline.llm.repeats import NO_KEY, byte_units, keyed, repeated_spans, span_classes, with_ranges
 
 WINDOW = 100
 SEED = 32
@@ -149,7 +148,7 @@ _SPAN_BYTES = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("anchor", pa
 def _span_bytes(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, doc, text, spans in zip(batch.column("row").to_pylist(), batch.column("doc").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
+            for row, doc, text, spans in zip(batch.column("row").to_pylist(), batch.column("doc").fill_null(NO_KEY).to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
                 raw = text.as_py().encode()
                 yield pa.RecordBatch.from_pylist(
                     [
@@ -165,13 +164,13 @@ def _span_bytes(window: int):
 def repeated_byte_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED, block_spans: int = BLOCK_SPANS) -> DataFrame:
     """(row, first, count): starts of windows whose bytes also start earlier in (doc, place) order."""
     spans = repeated_spans(rows, byte_units, window, seed)
-    classes = stored(span_classes(spans), "span-classes")
+    classes, kinds = span_classes(spans)
     # all windows of a later copy of a span start earlier; those of the first are compared one by one
     at = classes.where("copies > 1").select("anchor", "class", F.col("at.doc").alias("d"), F.col("at.first").alias("f"))
     later = (F.col("doc") != F.col("d")) | (F.col("first") != F.col("f"))
     whole = spans.join(at, ["anchor", "class"]).where(later).select("row", "first", "count")
-    edges = classes.where("kinds > 1")
-    blocks = max(1, -(-edges.count() // block_spans))
+    edges = classes.join(kinds, "anchor")
+    blocks = max(1, -(-(kinds.agg(F.sum("kinds")).first()[0] or 0) // block_spans))
     lists = edges.select("at.row", F.struct("anchor", (F.col("kinds") > block_spans).alias("crowded"), "at.first", "at.count").alias("span"))
     lists = lists.groupBy("row").agg(F.collect_list("span").alias("spans"))  # spans of one document
     texts = rows.join(lists, "row").select("row", "doc", "text", "spans")
@@ -211,7 +210,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
 
     A byte is removed if a window of ``window`` bytes that covers it also starts earlier: in a
     document of a smaller key, or earlier in the same one. Repeated rows count as one document, so
-    neither makes the other go. Null text counts as empty; texts below a window are kept whole.
+    neither makes the other go. A null key comes before all others. Null text counts as empty; texts
+    below a window are kept whole. Columns besides key and text are ignored.
     Remaining bytes can split a character, so they are binary.
     """
     if not 1 <= seed <= window or window < PERIOD + DEPTH:
