@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +78,54 @@ def node_quality(e: dict[str, Column], p: dict[str, Column]) -> Column:
         + F.when(p["activity"] == "cycling", e["bike_score"]).otherwise(e["walk_score"])
     )
     return F.when(e["access_allowed"], worth).otherwise(num(-3))
+
+
+def _normal(v: float) -> float:
+    return min(max(v if v <= 1 else (v - 1) / 2, 0.0), 1.0)
+
+
+def edge_cost_arrays(e: dict[str, np.ndarray], p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, worth) of many edges for one request: ``edge_cost`` and ``node_quality`` inside a search task.
+
+    Missing numbers are NaN. All terms but the few that a style or hour adds are one weighted sum a
+    metre, so a request costs a handful of passes over the edges.
+    """
+    wish = {k: _normal(float(p[f"{k}_preference"])) for k in ("park", "shade", "elevation", "safety", "exploration")}
+    said, style, activity = (p["departure_time"] or "").lower(), p["route_style"] or "", p["activity"]
+    late, dark = any(w in said for w in ("afternoon", "12:", "13:", "14:", "15:")), any(w in said for w in ("night", "late", "22:", "23:"))
+    d, gain, slope = e["distance_m"], np.nan_to_num(e["elevation_gain_m"]), np.abs(np.nan_to_num(e["slope"]))
+    novelty = np.where(np.isnan(e["novelty_score"]), e["scenery_score"], e["novelty_score"])
+    unsafe, sunny, traffic = 1 - e["safety_score"], 1 - e["shade_score"], e["traffic_exposure"]
+    lone = {"park_heavy": ("park_score", 0.28), "shaded": ("shade_score", 0.35), "scenic": ("scenery_score", 0.28)}
+    metre = 1 + wish["safety"] * unsafe * 1.15 + wish["shade"] * sunny * (0.42 + 0.28 * late) - wish["park"] * e["park_score"] * 0.32
+    metre = metre - wish["exploration"] * novelty * 0.24 - e["scenery_score"] * 0.08
+    metre = metre + e["road_weight"] + e["surface_weight"] + np.nan_to_num(traffic) * wish["safety"] * 0.38
+    if style in lone:
+        metre = metre - e[lone[style][0]] * lone[style][1]
+    elif style == "exploration":
+        metre = metre - novelty * 0.28
+    if dark:
+        metre = metre + unsafe * 0.35 + np.where(np.isnan(traffic), 0.25, traffic) * 0.18
+    if activity == "cycling":
+        metre = metre + (1 - e["bike_score"]) * 0.48 - e["bike_score"] * 0.32 + np.where(slope > 0.08, slope * 3.8, 0)
+    else:
+        metre = metre + (1 - e["walk_score"]) * 0.32 - e["walk_score"] * 0.24
+    if activity == "hiking":
+        metre = metre + e["hike_weight"]
+    cost = metre * d
+    if style == "climbing":
+        cost = cost - np.minimum(d * 0.24, wish["elevation"] * gain * 1.6) + np.where(slope > 0.12, d * slope * 2.2, 0)
+    else:
+        cost = cost + wish["elevation"] * (gain * 4.5 + slope * d * 1.8)
+    if style == "easy_flat":
+        cost = cost + gain * 3.5 + slope * d * 2.5
+    worth = e["park_score"] * wish["park"] + e["shade_score"] * wish["shade"] + e["safety_score"] * wish["safety"] + novelty * wish["exploration"]
+    worth = worth + e["scenery_score"] * 0.4 + e["bike_score" if activity == "cycling" else "walk_score"]
+    open_ = e["access_allowed"].astype(bool)
+    return np.where(open_, np.maximum(cost, d * 0.2), np.inf), np.where(open_, worth, -3.0)
+
+
+def with_ground_weights(edges):
+    """Adds the table lookups that ``edge_cost_arrays`` needs as numbers."""
+    hike = F.when(F.col("road_type").isin("trail", "park_path"), num(-0.28)).when(F.col("road_type") == "arterial", num(0.28)).otherwise(num(0))
+    return edges.withColumns({"road_weight": lookup(F.col("road_type"), ROAD), "surface_weight": lookup(F.col("surface_type"), SURFACE), "hike_weight": hike})

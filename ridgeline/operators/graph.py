@@ -176,15 +176,15 @@ def with_penalties(edges: DataFrame, by_edge: DataFrame, by_key: DataFrame) -> D
     )
 
 
-def green_scores(points: DataFrame, features: DataFrame, key: str, metres: float = GREEN_RADIUS_M, most: int = GREEN_NEAREST) -> DataFrame:
+def green_scores(points: DataFrame, features: DataFrame, key: str, metres: float = GREEN_RADIUS_M, most: int = GREEN_NEAREST, widest_m: float = 3000.0) -> DataFrame:
     """Park, shade and scenery values of each point from its nearest green features (square rings).
 
     features: ord, kind, lat, lng, half (degrees). Distance is 0 inside a ring, else that to its
-    nearest side; ties keep source order.
+    nearest side; ties keep source order. widest_m bounds the distance from a feature's centre to its
+    corners.
     """
-    corner = 3000.0  # no feature is wider
     targets = features.select("ord", "kind", "half", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
-    pairs = near_join(points, targets, metres + corner).drop("metres")
+    pairs = near_join(points, targets, metres + widest_m).drop("metres")
     south, north = F.col("to_lat") - F.col("half"), F.col("to_lat") + F.col("half")
     west, east = F.col("to_lng") - F.col("half"), F.col("to_lng") + F.col("half")
     inside = (F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lng") >= west) & (F.col("lng") < east)

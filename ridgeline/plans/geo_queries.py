@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import geo, tags
 from ridgeline.functions.geo import half_up, num
+from ridgeline.operators import graph
 from ridgeline.plans.projection import TAGS, half_up_sql, haversine_sql, views
 from ridgeline.plans.registry import query
 
@@ -116,15 +117,15 @@ def geo_valid_point(spark, sf_dir):
 
 @query(
     """SELECT n.node_id, g.feature_id FROM v_node n JOIN v_green g
-       ON n.lat >= g.lat - g.half AND n.lat < g.lat + g.half AND n.lng >= g.lng - g.half AND n.lng < g.lng + g.half WHERE g.feature_id <= 40"""
+       ON n.lat >= g.lat - g.half AND n.lat < g.lat + g.half AND n.lng >= g.lng - g.half AND n.lng < g.lng + g.half"""
 )
 def point_in_polygon(spark, sf_dir):
     n, g = views(spark, sf_dir, "v_node", "v_green")
     south, north, west, east = C("lat") - C("half"), C("lat") + C("half"), C("lng") - C("half"), C("lng") + C("half")
     corner = lambda a, b: F.struct(a.alias("lat"), b.alias("lng"))
     ring = F.array(corner(south, west), corner(south, east), corner(north, east), corner(north, west))
-    boxes = F.broadcast(g.where(C("feature_id") <= 40).select("feature_id", ring.alias("ring"), south.alias("s"), north.alias("n"), west.alias("w"), east.alias("e")))
-    near = n.join(boxes, C("lat").between(C("s"), C("n")) & C("lng").between(C("w"), C("e")))
+    rings = g.select("feature_id", ring.alias("ring"), C("lat").alias("to_lat"), C("lng").alias("to_lng"))
+    near = graph.near_join(n, rings, 200)
     return near.where(geo.point_in_ring(C("lat"), C("lng"), C("ring"))).select("node_id", "feature_id")
 
 

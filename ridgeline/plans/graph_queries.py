@@ -79,11 +79,15 @@ def edge_cost_one(spark, sf_dir):
     return e.select("edge_id", F.when(C("access_allowed"), half_up(cost, 6)).alias("cost"))
 
 
-@query(f"SELECT e.edge_id, p.request_id, {half_up_sql(cost_sql('p.'), 5)} AS cost FROM v_edge e JOIN v_pref p ON p.request_id % 1000 = e.edge_id % 1000 WHERE access_allowed")
+@query(
+    f"""SELECT e.edge_id, p.request_id, {half_up_sql(cost_sql('p.'), 5)} AS cost FROM v_edge e JOIN v_pref p ON abs(e.lat1 - p.start_lat) < 0.003 AND abs(e.lng1 - p.start_lng) < 0.004
+        AND {haversine_sql('p.start_lat', 'p.start_lng', 'e.lat1', 'e.lng1')} <= 150 WHERE access_allowed"""
+)
 def edge_cost_by_request(spark, sf_dir):
-    """Costs under each request's own preferences, for the requests and edges that meet."""
+    """Costs of the edges around each request's start, under its own preferences."""
     e, p = views(spark, sf_dir, "v_edge", "v_pref")
-    met = e.withColumn("m", C("edge_id") % 1000).join(p.withColumn("m", C("request_id") % 1000), "m").where("access_allowed")
+    starts = p.withColumns({"lat": C("start_lat"), "lng": C("start_lng")})
+    met = graph.near_join(starts, e.where("access_allowed").withColumns({"to_lat": C("lat1"), "to_lng": C("lng1")}), 150)
     return met.select("edge_id", "request_id", half_up(edge_cost({c: C(c) for c in e.columns}, {c: C(c) for c in p.columns}), 5).alias("cost"))
 
 
@@ -156,7 +160,7 @@ _SECTOR = "fmod(floor(fmod(degrees(atan2(sin(radians(n.lng - r.lng)) * cos(radia
 TOP = f"""(SELECT request_id, sector, node_id, quality, rank, lat, lng, lat0, lng0 FROM (SELECT *, row_number() OVER (PARTITION BY request_id, sector ORDER BY quality DESC, node_id DESC) AS rank FROM
     (SELECT r.request_id, n.node_id, n.lat, n.lng, r.lat AS lat0, r.lng AS lng0, CAST({_SECTOR} AS bigint) AS sector, {half_up_sql(f'q.quality - abs({_BAND} - 400e0) / 400e0 * 0.4e0', 6)} AS quality
      FROM {REQUESTS} r JOIN v_node n ON abs(n.lat - r.lat) < 0.012 AND abs(n.lng - r.lng) < 0.016 JOIN {QUALITY} q ON q.node_id = n.node_id
-     WHERE r.request_id % 20 = 1 AND q.degree >= 2 AND {_BAND} BETWEEN 220e0 AND 620e0)) WHERE rank <= 4)"""
+     WHERE q.degree >= 2 AND {_BAND} BETWEEN 220e0 AND 620e0)) WHERE rank <= 4)"""
 
 
 def sector_candidates(spark, sf_dir):
@@ -164,7 +168,7 @@ def sector_candidates(spark, sf_dir):
     directed = graph.both_ways(e)
     good = graph.node_qualities(directed, one_request()).join(graph.node_degree(directed).where("degree >= 2"), "node_id").select(C("node_id").alias("q_id"), "quality")
     targets = n.select("node_id", C("lat").alias("to_lat"), C("lng").alias("to_lng"))
-    near = graph.near_join(requests(spark, sf_dir).where("request_id % 20 = 1"), targets, RADIUS_M * 1.55).where(C("metres") >= RADIUS_M * 0.55)
+    near = graph.near_join(requests(spark, sf_dir), targets, RADIUS_M * 1.55).where(C("metres") >= RADIUS_M * 0.55)
     near = near.join(good, near["node_id"] == good["q_id"])
     return near.select(
         "request_id", "node_id", C("to_lat").alias("lat"), C("to_lng").alias("lng"), C("lat").alias("lat0"), C("lng").alias("lng0"),
@@ -298,11 +302,11 @@ def _side(i: int) -> str:
         FROM (SELECT *, greatest(0e0, least(1e0, 1 - away / 300e0)) AS w, row_number() OVER (PARTITION BY node_id ORDER BY away, ord) AS k FROM
         (SELECT n.node_id, g.ord, g.kind, CASE WHEN n.lat >= g.lat - g.half AND n.lat < g.lat + g.half AND n.lng >= g.lng - g.half AND n.lng < g.lng + g.half THEN 0e0
                 ELSE {half_up_sql('least(' + ', '.join(_side(i) for i in range(4)) + ')', 6)} END AS away
-         FROM v_node n JOIN v_green g ON g.feature_id <= 40 AND {haversine_sql('n.lat', 'n.lng', 'g.lat', 'g.lng')} <= 3300)) WHERE k <= 5 GROUP BY node_id"""
+         FROM v_node n JOIN v_green g ON {haversine_sql('n.lat', 'n.lng', 'g.lat', 'g.lng')} <= 500)) WHERE k <= 5 GROUP BY node_id"""
 )
 def green_knn_scores(spark, sf_dir):
     n, g = views(spark, sf_dir, "v_node", "v_green")
-    found = graph.green_scores(n.select("node_id", "lat", "lng"), g.where("feature_id <= 40"), "node_id")
+    found = graph.green_scores(n.select("node_id", "lat", "lng"), g, "node_id", widest_m=200)
     return found.select("node_id", *[half_up(C(c), 4).alias(c) for c in ("park_near", "shade_near", "scenery_near")])
 
 
