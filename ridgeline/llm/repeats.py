@@ -65,6 +65,7 @@ def repeated_spans(rows: DataFrame, to_units: Callable, window: int, seed: int)
     """Spans whose anchor stands in more than one span of the corpus, stored."""
     spans = span_rows(rows, to_units, window, seed)
     again = spans.select("anchor").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = stored(again, "repeated-anchors")  # a table, so that the join can be split at frequent anchors
     return stored(spans.join(again, "anchor", "left_semi"), "repeated-spans")
 
 
