@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import units
+from ridgeline.llm.common import stored
 from ridgeline.llm.repeats import keyed, repeated_spans, span_classes, with_ranges, word_units
 
 WINDOW = 35
@@ -51,7 +52,7 @@ def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED
     edges = classes.join(kinds, "anchor").select("at.row", F.struct("at.first", "at.count", "copies").alias("span"))
     edges = edges.groupBy("row").agg(F.collect_list("span").alias("spans"))  # spans of one document
     texts = rows.join(edges, "row").select("row", "text", "spans")
-    windows = texts.mapInArrow(_single_windows(window), "row long, first int, code long, copies long")
+    windows = stored(texts.mapInArrow(_single_windows(window), "row long, first int, code long, copies long"), "single-windows")
     # a window of a span without copies is repeated if another distinct span holds it; repeated
     # rows have copies of every span, so counting them twice decides nothing here
     again = windows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
