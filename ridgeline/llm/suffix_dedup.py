@@ -33,7 +33,7 @@ from ridgeline.llm import units
 from ridgeline.llm.repeats import NO_KEY, byte_units, keyed, repeated_spans, span_classes, with_ranges
 
 WINDOW = 100
-SEED = 32
+SEED = 48
 #: Distinct spans a block holds on average, and the most that one anchor may bring into it.
 BLOCK_SPANS = 4096
 
