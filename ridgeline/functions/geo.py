@@ -35,7 +35,7 @@ def half_up(x: Column, digits: int = 0) -> Column:
 def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     low = low if isinstance(low, Column) else num(low)
     high = high if isinstance(high, Column) else num(high)
-    return F.least(F.greatest(x, low), high)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))  # null stays null
 
 
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:

@@ -5,5 +5,5 @@ from __future__ import annotations
 from ridgeline.plans import geo_queries, graph_queries, route_queries, search_queries, store_queries, track_queries  # noqa: F401  (registers its queries)
 from ridgeline.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "sector_costs"
+FLAGSHIP = "recommended_routes"
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

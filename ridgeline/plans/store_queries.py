@@ -196,3 +196,69 @@ def way_split(spark, sf_dir):
 def way_shared_nodes(spark, sf_dir):
     """Every grid node lies on a row and a column."""
     return overpass.shared_nodes(ways(spark, sf_dir))
+
+
+# -- imported routes, segments, synthetic graphs
+
+
+_CLIENT = "CASE route_key % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'hiking' ELSE 'cycling' END"
+_KM, _GAIN, _PARK = "distance_km / 10", "CAST(route_key % 700 AS double)", "CASE WHEN route_key % 5 <> 0 THEN CAST(route_key % 101 AS double) ELSE 55e0 END"
+_CLIMB = f"({_GAIN} / greatest({_KM}, 0.1e0))"
+_CLIENT_SCORES = {
+    "distance_score": f"CASE WHEN route_key % 4 = 0 THEN 88e0 ELSE least(greatest(100 - abs({_KM} - (route_key % 30 + 1)) / (route_key % 30 + 1) * 150, 0e0), 100e0) END",
+    "elevation_score": f"least(greatest(CASE act WHEN 'hiking' THEN 92 - abs({_CLIMB} - 35) * 0.9e0 WHEN 'cycling' THEN 96 - {_CLIMB} * 0.85e0 ELSE 100 - {_CLIMB} * 1.15e0 END, 0e0), 100e0)",
+    "park_score": _PARK,
+    "shade_score": f"least(greatest(45 + {_PARK} * 0.18e0 - 35 * 0.2e0 - CASE WHEN regexp_matches(said, 'afternoon|2:|3:') THEN 12e0 WHEN contains(said, 'evening') THEN 4e0 ELSE 0e0 END, 0e0), 100e0)",
+    "safety_score": "72 + 72 * 0.14e0 - 32 * 0.22e0",
+    "exploration_score": "45e0",
+    "scenery_score": "58e0",
+}
+
+
+def _client_weights() -> str:
+    from ridgeline.functions.client import WEIGHTS
+
+    return " + ".join(f"{n} * CASE act {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {w[i]}e0' for a, w in WEIGHTS.items())} END" for i, n in enumerate(_CLIENT_SCORES))
+
+
+@query(
+    f"""SELECT route_key, {', '.join(half_up_sql(n, 4) + f' AS {n}' for n in ('distance_score', 'elevation_score', 'shade_score'))}, {half_up_sql(_client_weights())} AS total_score,
+        CASE WHEN effort > CASE WHEN act = 'hiking' THEN 18 ELSE 13 END THEN 'Hard' WHEN effort > CASE WHEN act = 'cycling' THEN 8 ELSE 7 END THEN 'Moderate' ELSE 'Easy' END AS difficulty
+        FROM (SELECT *, {_KM} * CASE WHEN act = 'cycling' THEN 0.35e0 ELSE 1e0 END + {_CLIMB} * 0.18e0 AS effort, {', '.join(f'{v} AS {k}' for k, v in _CLIENT_SCORES.items())} FROM
+        (SELECT *, {_CLIENT} AS act, CASE route_key % 5 WHEN 0 THEN 'afternoon' WHEN 1 THEN '12:30' WHEN 2 THEN 'evening' WHEN 3 THEN '08:00' ELSE '' END AS said FROM v_saved))"""
+)
+def imported_scores(spark, sf_dir):
+    from ridgeline.functions import client
+
+    (s,) = views(spark, sf_dir, "v_saved")
+    k = C("route_key")
+    act = F.when(k % 3 == 0, F.lit("running")).when(k % 3 == 1, F.lit("hiking")).otherwise(F.lit("cycling"))
+    said = F.when(k % 5 == 0, F.lit("afternoon")).when(k % 5 == 1, F.lit("12:30")).when(k % 5 == 2, F.lit("evening")).when(k % 5 == 3, F.lit("08:00")).otherwise(F.lit(""))
+    s = s.withColumns({"act": act, "said": said, "km": C("distance_km") / 10, "gain": (k % 700).cast("double"), "target": F.when(k % 4 != 0, (k % 30 + 1).cast("double")), "park": F.when(k % 5 != 0, (k % 101).cast("double"))})
+    found = client.imported_scores(C("km"), C("target"), C("gain"), C("act"), C("said"), {"park_access": C("park")})
+    return s.select(
+        "route_key", *[half_up(found[n], 4).alias(n) for n in ("distance_score", "elevation_score", "shade_score")], client.imported_total(found, C("act")).alias("total_score"),
+        client.imported_difficulty(C("km"), C("gain"), C("act")).alias("difficulty"),
+    )
+
+
+@query(f"SELECT user_id, count(*) AS points, CAST(sum(CAST(floor(lat * 100000 + 0.5e0) AS bigint)) AS bigint) AS lat, CAST(sum(CAST(floor(lng * 100000 + 0.5e0) AS bigint)) AS bigint) AS lng FROM v_track GROUP BY user_id")
+def polyline_round_trip(spark, sf_dir):
+    """Tracks as polyline text and back."""
+    from ridgeline.sources import segments
+
+    (t,) = views(spark, sf_dir, "v_track")
+    lines = t.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lng"))).alias("p"))
+    decoded = lines.select("user_id", segments.encode_polyline(C("p")).alias("text")).select("user_id", segments.decode_polyline(C("text")).alias("p"))
+    total = lambda c: F.aggregate(F.transform("p", lambda x: half_up(x[c] * 100000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return decoded.select("user_id", F.size("p").cast("long").alias("points"), total("lat").alias("lat"), total("lng").alias("lng"))
+
+
+@query()
+def ring_graphs(spark, sf_dir):
+    """A synthetic graph around every request's start."""
+    from ridgeline.plans.search_queries import requests
+    from ridgeline.sources import synthetic
+
+    e = synthetic.ring_graph(requests(spark, sf_dir))
+    return e.groupBy("request_id").agg(F.count("*").alias("edges"), F.sum("distance_m").alias("metres"), F.count_if(~C("access_allowed")).alias("closed"))
