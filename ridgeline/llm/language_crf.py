@@ -205,7 +205,7 @@ def _predict(model: Model):
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 4 * units.SLICE):
+                while to < len(texts) and (to == at or size + len(texts[to]) <= 16 * units.SLICE):
                     size += len(texts[to])
                     to += 1
                 mean = model.text_posteriors(texts[at:to]) if model.labels else np.zeros((to - at, 1))

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are expanded at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
