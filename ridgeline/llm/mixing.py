@@ -7,7 +7,7 @@ size and bounded by the most copies allowed. The multipliers m solve the convex
 method kept inside a bracket: each iteration is one aggregation over the corpus' (source, size)
 histogram, which is what the dual depends on. Rates are then rounded into whole copies by
 systematic rounding along (size, hash) order, so that a source's error is below its largest
-document.
+document; of a few starting points, each source takes the one that comes nearest to its target.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ridgeline.llm.common import null_safe, running_total, seeded_hash, stored
 #: Fixed-point unit of a rate: cumulated rates are exact integers, the same in any order of adding.
 UNIT = 1_000_000
 MAX_COPIES = 2
+#: Starting points of the rounding that are tried.
+STARTS = 64
 #: Buckets in which documents of one source and size are numbered.
 SUB_BUCKETS = 64
 #: Names of helper columns.
@@ -113,10 +115,16 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
     rates = null_safe(hist, mixture, [source]).withColumn("_rate", F.when(F.col("_size") == 0, F.lit(UNIT)).otherwise(tilted))
     start = Window.partitionBy(source).orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)
     rates = rates.withColumn("_start", F.coalesce(F.sum(F.col("_count") * F.col("_rate")).over(start), F.lit(0)))
-    rates = rates.select(source, "_size", "source_size", "target", "_rate", "_start")
+    # copies of a size telescope, so the words that a starting point gives come from the histogram
+    given = lambda u: f"_size * ((_start + _count * _rate + {u}) div {UNIT} - (_start + {u}) div {UNIT})"
+    points = [k * UNIT // STARTS for k in range(STARTS)]
+    tried = rates.groupBy(source).agg(F.first("target").alias("target"), *[F.sum(F.expr(given(u))).alias(f"_{k}") for k, u in enumerate(points)])
+    miss = F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("miss"), F.lit(u).alias("u")) for k, u in enumerate(points)])
+    rates = null_safe(rates, tried.select(source, F.array_min(miss)["u"].alias("_u")), [source])
+    rates = rates.select(source, "_size", "source_size", "target", "_rate", (F.col("_start") + F.col("_u")).alias("_start"))
     hashed = sized.withColumns({"_h": seeded_hash(seed, F.col(key)), "_one": F.lit(1).cast("long")}).withColumn("_sub", F.expr(f"_h % {SUB_BUCKETS}").cast("int"))
     numbered = running_total(hashed, [source, "_size"], "_sub", ["_h", key], "_one", "_number")
     joined = null_safe(numbered, rates, [source, "_size"])
-    low = F.expr(f"(_start + _number * _rate + {UNIT // 2}) div {UNIT}")
-    high = F.expr(f"(_start + (_number + 1) * _rate + {UNIT // 2}) div {UNIT}")
+    low = F.expr(f"(_start + _number * _rate) div {UNIT}")
+    high = F.expr(f"(_start + (_number + 1) * _rate) div {UNIT}")
     return joined.withColumn("copies", (high - low).cast("int")).drop(*OWN)

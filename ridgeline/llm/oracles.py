@@ -80,8 +80,11 @@ m AS (SELECT b.source, (b.lo + b.hi) / 2 AS m, t.target, t.mean, t.total FROM b
 r AS (SELECT hist.source, hist.size, hist.n, m.target, m.total, CASE WHEN hist.size = 0 THEN {UNIT} WHEN m.target >= 2 * m.total THEN {2 * UNIT} WHEN m.target <= 0 THEN 0
         ELSE CAST(round(2e0 / (1 + exp(least(-m.m * hist.size / m.mean, 700e0))) * {UNIT}) AS bigint) END AS rate FROM hist JOIN m ON m.source IS NOT DISTINCT FROM hist.source),
 q AS (SELECT *, coalesce(sum(n * rate) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM r),
-e AS (SELECT d.doc_id, d.size, q.total, q.target, q.rate, q.start, row_number() OVER (PARTITION BY d.source, d.size ORDER BY d.h % {SUB}, d.h, d.doc_id) - 1 AS j FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.size = d.size)
-SELECT doc_id, size, total AS source_size, target, CAST(size * ((start + (j + 1) * rate + {UNIT // 2}) // {UNIT} - (start + j * rate + {UNIT // 2}) // {UNIT}) AS bigint) AS taken FROM e
+c AS (SELECT q.source, k.k * {UNIT} // {mixing.STARTS} AS u, abs(sum(q.size * ((q.start + q.n * q.rate + k.k * {UNIT} // {mixing.STARTS}) // {UNIT} - (q.start + k.k * {UNIT} // {mixing.STARTS}) // {UNIT})) - any_value(q.target)) AS miss
+      FROM q CROSS JOIN range({mixing.STARTS}) k(k) GROUP BY q.source, k.k),
+f AS (SELECT source, min(struct_pack(miss := miss, u := u)).u AS u FROM c GROUP BY source),
+e AS (SELECT d.doc_id, d.size, q.total, q.target, q.rate, q.start + f.u AS start, row_number() OVER (PARTITION BY d.source, d.size ORDER BY d.h % {SUB}, d.h, d.doc_id) - 1 AS j FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.size = d.size JOIN f ON f.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, total AS source_size, target, CAST(size * ((start + (j + 1) * rate) // {UNIT} - (start + j * rate) // {UNIT}) AS bigint) AS taken FROM e
 """
 
 OP7 = rf"""
