@@ -80,7 +80,7 @@ def node_quality(e: dict[str, Column], p: dict[str, Column]) -> Column:
     return F.when(e["access_allowed"], worth).otherwise(num(-3))
 
 
-def _normal(v: float) -> float:
+def normal_preference(v: float) -> float:
     return min(max(v if v <= 1 else (v - 1) / 2, 0.0), 1.0)
 
 
@@ -90,7 +90,7 @@ def edge_cost_arrays(e: dict[str, np.ndarray], p: dict) -> tuple[np.ndarray, np.
     Missing numbers are NaN. All terms but the few that a style or hour adds are one weighted sum a
     metre, so a request costs a handful of passes over the edges.
     """
-    wish = {k: _normal(float(p[f"{k}_preference"])) for k in ("park", "shade", "elevation", "safety", "exploration")}
+    wish = {k: normal_preference(float(p[f"{k}_preference"])) for k in ("park", "shade", "elevation", "safety", "exploration")}
     said, style, activity = (p["departure_time"] or "").lower(), p["route_style"] or "", p["activity"]
     late, dark = any(w in said for w in ("afternoon", "12:", "13:", "14:", "15:")), any(w in said for w in ("night", "late", "22:", "23:"))
     d, gain, slope = e["distance_m"], np.nan_to_num(e["elevation_gain_m"]), np.abs(np.nan_to_num(e["slope"]))

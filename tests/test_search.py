@@ -110,3 +110,26 @@ def test_a_busy_tile_is_dealt_into_chunks(spark):
     e = graph.both_ways(views(spark, SF, "v_edge")[0])
     one, many = (search.generate_routes(requests(spark, SF), e, together=k).orderBy("request_id", "route", "seq").collect() for k in (1000, 5))
     assert one == many
+
+
+def test_generated_loops_keep_their_shape(spark, edges):
+    asked = [r.asDict() for r in requests(spark, SF).where("route_type = 'loop'").collect()]
+    seen = 0
+    for r in asked[:25]:
+        e = arrays(edges)
+        g = search.RoadGraph(e, *edge_cost_arrays(e, r))
+        found = search.loops(g, g.nearest(r["start_lat"], r["start_lng"]), r)
+        for _, p in found:
+            f = search.shape(g, p, g.slope, 0.14)
+            assert f["overlap"] <= 0.15 and f["dead_ends"] == 0 and f["compactness"] >= 0.025 and g.src[p[0]] == g.dst[p[-1]]
+        seen += len(found)
+    assert seen
+
+
+def test_shape_of_a_square(road):
+    around = [road.route(a, b)[0] for a, b in ((0, 1), (1, 41), (41, 40), (40, 0))]
+    f = search.shape(road, around, road.slope, 1.0)
+    assert f["overlap"] == 0 and f["backtrack"] == 0 and f["compactness"] == pytest.approx(0.785, abs=0.02)
+    there = road.route(0, 5)
+    back = search.shape(road, there + road.back(there), road.slope, 1.0)
+    assert back["overlap"] == 1 and back["compactness"] == 0 and back["backtrack"] > 0
