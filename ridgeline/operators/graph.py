@@ -42,7 +42,8 @@ def near_join(points: DataFrame, targets: DataFrame, metres: float, most_latitud
     """Pairs of points (lat, lng) and targets (to_lat, to_lng) at most so far apart, with ``metres``.
 
     An equi join on grid cells at least as wide as the distance; each point looks into the nine
-    cells around it, so the work follows the local density and no cross join is needed.
+    cells around it, so the work follows the local density and no cross join is needed. Cells are
+    wide enough up to ``most_latitude`` degrees; pairs across the date line are not found.
     """
     import math
 
