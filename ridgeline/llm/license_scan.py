@@ -9,7 +9,9 @@ narrow stage without a shuffle: templates are constants of the plan.
 
 from __future__ import annotations
 
+import math
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +45,9 @@ def bigrams(text: str) -> list[str]:
 
 
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
-    """Sizes of a bigram set that can reach the threshold against a set of n."""
-    least = threshold / (2 - threshold)
-    return max(1, int(-(-n * least // 1))), int(n / least)
+    """Sizes of a bigram set that can reach the threshold against a set of n, in whole numbers so that none is lost."""
+    t = Fraction(str(threshold))
+    return max(1, math.ceil(n * t / (2 - t))), math.floor(n * (2 - t) / t)
 
 
 def _unit_words(unit: Column) -> Column:

@@ -201,6 +201,16 @@ def test_license_scan(spark, sample, docs, no_docs, keyless):
     assert ls.license_scan(no_docs).count() == 0 and ls.license_scan(keyless).count() == 5
 
 
+def test_license_at_the_threshold(spark):
+    """Scores of exactly 0.8 at the least and largest size that can reach it."""
+    lines = ("Copyright. All rights reserved.", "All rights reserved 2024", "Released under the MIT License by Acme")
+    for r in ls.license_scan(spark.createDataFrame([(x,) for x in lines], "text string")).collect():
+        assert (r["license"], r["dice"], r["license_units"]) == brute_license(r["text"]) and r["dice"] == 0.8
+    for n in range(1, 200):
+        own = [m for m in range(1, 400) if 2.0 * min(n, m) / (n + m) >= 0.8]
+        assert ls.size_bounds(n, 0.8) == (own[0], own[-1])
+
+
 def test_license_scan_is_native_and_narrow(docs):
     plan = ls.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") <= 1  # that of the fixture
