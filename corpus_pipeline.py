@@ -27,35 +27,45 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, a hash of the whole row: ids may be null or repeat, and only equal rows share it."""
+    parts = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    return _documents(docs).withColumn("_row", F.xxhash64(*parts))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted go."""
     ship_package(spark)
-    rejected = line_rules(docs).where("NOT kept").select(F.col("doc_id").alias("_id"))
-    return _documents(docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti"))
+    docs = _identified(docs)
+    rejected = line_rules(docs, key="_row").where("NOT kept").select("_row")
+    return _documents(docs.join(rejected, "_row", "left_anti"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the least id."""
+    """One row of each group of near copies stays: that of the least id, nulls last. Equal rows stay once."""
     ship_package(spark)
-    kept = ngram_jaccard_join(docs).where("doc = class_id").select(F.col("doc").alias("_id")).distinct()
-    return _documents(docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi"))
+    docs = _identified(docs)
+    classes = ngram_jaccard_join(docs, key="_row").select(F.col("doc").alias("_row"), "class_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    kept = classes.join(docs.select("_row", "doc_id").distinct(), "_row").groupBy("class_id").agg(F.min(order)["_row"].alias("_row"))
+    return _documents(docs.dropDuplicates(["_row"]).join(kept, "_row", "left_semi"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; documents left without a word go too."""
     ship_package(spark)
-    cut = substring_dedup(docs).select(F.col("doc").alias("_id"), F.col("kept_text"), "n_removed")
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    joined = joined.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).withColumn("text", text)
-    return _documents(joined.withColumn("n_chars", F.char_length("text").cast("long")))
+    cut = substring_dedup(docs.withColumn("_null", F.col("text").isNull()), also=("doc_id", "lang", "source", "_null", "text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).when(~F.col("_null"), F.col("text"))
+    cut = cut.where((F.col("n_removed") == 0) | (F.col("kept_text") != "")).withColumn("text", text)
+    return _documents(cut.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come 0, 1 or 2 times, so that sources reach their target sizes."""
     ship_package(spark)
-    rates = entropy_mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    joined = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_id"]))
+    docs = _identified(docs)
+    rates = entropy_mix(docs.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size"))).groupBy("_row").agg(F.sum("copies").cast("int").alias("copies"))
+    joined = docs.dropDuplicates(["_row"]).join(rates.where("copies > 0"), "_row")  # equal rows come together
     return _documents(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 

@@ -37,10 +37,10 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return found[0], found[3]
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc (key), text (null as empty) and row (identity of the document)."""
+def keyed(docs: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc (key), text (null as empty), row (identity of the document) and the columns ``also``."""
     text_ = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc"), text_.alias("text")).withColumn("row", F.xxhash64("doc", "text"))
+    return docs.select(F.col(key).alias("doc"), text_.alias("text"), *[c for c in also if c != "text"]).withColumn("row", F.xxhash64("doc", "text"))
 
 
 _SPAN = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64()), ("class", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])

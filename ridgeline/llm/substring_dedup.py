@@ -60,7 +60,7 @@ def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED
     return whole.unionByName(single)
 
 
-def _cut(window: int):
+def _cut(window: int, also: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, data, offsets in units.slices(batch.column("text")):
@@ -76,23 +76,24 @@ def _cut(window: int):
                 mask[spaced], plain[spaced] = True, 0x20
                 removed = np.append(0, np.cumsum(gone))[by_row]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(at, n), pa.array(np.diff(by_row).astype(np.int64)), pa.array(np.diff(removed)), units.pieces(plain, mask, offsets, pa.string())],
-                    names=["doc", "n_words", "n_removed", "kept_text"],
+                    [batch.column("doc").slice(at, n), pa.array(np.diff(by_row).astype(np.int64)), pa.array(np.diff(removed)), units.pieces(plain, mask, offsets, pa.string())] + [batch.column(c).slice(at, n) for c in also],
+                    names=["doc", "n_words", "n_removed", "kept_text", *also],
                 )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """One row per document: doc, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space).
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space), columns ``also``.
 
     A word is removed if a window of ``window`` words that covers it also starts anywhere else, in
     the same document or another. Repeated rows are copies of each other, so they lose all windows.
     Null and empty texts have no words. Texts shorter than a window are kept whole. A null key stays
-    null. Columns besides key and text are ignored. An empty table gives an empty table.
+    null. Columns besides key, text and ``also`` are ignored; a ``text`` in ``also`` is empty for null. An empty table gives an empty table.
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")
-    rows = keyed(docs, key, text)
-    return with_ranges(rows, repeated_word_ranges(rows, window, seed)).mapInArrow(_cut(window), "doc long, n_words long, n_removed long, kept_text string")
+    rows = keyed(docs, key, text, also)
+    extra = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
+    return with_ranges(rows, repeated_word_ranges(rows, window, seed)).mapInArrow(_cut(window, also), f"doc long, n_words long, n_removed long, kept_text string{extra}")
 

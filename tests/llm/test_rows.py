@@ -244,3 +244,32 @@ def test_pipeline(spark, sample, tmp_path):
         tokens[r["doc_id"], r["doc_tokens"]] += r["length"]
     copies = Counter(r["doc_id"] for r in before.collect())
     assert all(n == size * copies[d] for (d, size), n in tokens.items())
+
+
+@pytest.mark.parametrize("repeated", ["keyless", "docs"])
+def test_stages_go_by_row(spark, request, repeated):
+    """Null and repeated ids: no stage loses a document or multiplies rows."""
+    from tests.llm.test_repeats import brute_join
+
+    given = request.getfixturevalue(repeated).withColumn("n_chars", F.col("n_chars").cast("long"))
+    rows = given.collect()
+    stages = {name: [tuple(r) for r in stage(spark, given, SF).collect()] for name, stage in corpus_pipeline.STAGES[:4]}
+    own = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
+    kept = Counter(own(r) for r, b in ((r, brute_rules([r])[0]) for r in rows) if b[7])
+    assert Counter(stages["quality rules"]) == kept
+    roots = {root for *_, root in brute_join([(i, r["text"]) for i, r in enumerate(rows)])}
+    assert len(stages["n-gram jaccard join"]) == len(roots)
+    assert not Counter(stages["n-gram jaccard join"]) - Counter(map(own, rows))
+    assert len(stages["substring dedup"]) <= len(rows)
+    sizes = Counter(r["doc_id"] for r in rows)
+    assert all(n <= 2 * sizes[d] for d, n in Counter(r[0] for r in stages["entropy mixing"]).items())
+
+
+def test_rejected_and_repeated_rows(spark):
+    """A rejected row takes none of its id along; a row that occurs twice stays once; a unique one without an id stays."""
+    long = lambda k: " ".join(f"{k}w{'abcdefghij'[i % 10]}x{i}" for i in range(80))
+    rows = [(None, "too short", "en", "a", 9), (None, long("p"), "en", "a", 1), (7, long("q"), "en", "b", 1), (7, long("q"), "en", "b", 1), (8, "short", "en", "b", 5), (8, long("r"), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    assert Counter((r["doc_id"], r["text"]) for r in docs.collect()) == Counter([(None, long("p")), (7, long("q")), (8, long("r"))])
