@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.cluster import shared_dir
-
 #: A word: a run of characters other than space and ASCII control white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,14 +17,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: a bucket (and group) goes through the small table of offsets.
 RANK_BUCKETS = 4096
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
+#: Bytes of text that a Python task turns into its own objects at a time.
+PART_BYTES = 4 << 20
 
-    Cuts the lineage: a lost executor costs the tasks that run, not what came before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut by size: each part holds at most ``limit`` bytes of the column, or one row."""
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64))
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm.common import by_bytes
+
 WIDTH, HEIGHT = 24, 24
 FRAME = WIDTH * HEIGHT
 FILL = 255
@@ -275,80 +277,6 @@ def encode_gifs(payloads: list[bytes], width: int = WIDTH, height: int = HEIGHT,
     return found
 
 
-def lzw_decode_all(streams: list[bytes], least: int, sizes: list[int]) -> list[bytes]:
-    """``lzw_decode`` of many streams at once.
-
-    Entry k of a code table is the k-th code's string and one more sample, so every string is a path
-    of parents among the codes of its stream. Paths are followed for all streams together. Streams
-    that clear their table on the way, or end early, are decoded one by one.
-    """
-    if not 1 <= least <= 8:
-        raise GifError("bad LZW code size")
-    clear, widths = 1 << least, _WIDTHS[least]
-    data = np.frombuffer(b"".join(s + b"\0\0\0" for s in streams), np.uint8).astype(np.uint32)
-    length = np.array([len(s) for s in streams], np.int64)
-    begin = 8 * (np.cumsum(length + 3) - length - 3) + least + 1  # past the opening clear code
-    count = np.minimum(np.searchsorted(_BITS_BEFORE[least], np.maximum(8 * length - least - 1, 0), "right") - 1, len(widths))
-    base = np.cumsum(count) - count
-    number = np.arange(int(count.sum())) - np.repeat(base, count)
-    bit = np.repeat(begin, count) + _BITS_BEFORE[least][number]
-    byte = bit >> 3
-    word = data[byte] | data[byte + 1] << np.uint32(8) | data[byte + 2] << np.uint32(16)
-    codes = ((word >> (bit & 7).astype(np.uint32)) & ((1 << widths[number]) - 1).astype(np.uint32)).astype(np.int64)
-    opening = np.array([s[0] | (s[1] if len(s) > 1 else 0) << 8 for s in (x or b"\0" for x in streams)]) & (2 << least) - 1
-    used = np.full(len(streams), -1)
-    full = np.flatnonzero(count > 0)
-    if len(full):
-        stop = np.minimum.reduceat(np.where((codes == clear) | (codes == clear + 1), number, 1 << 30), base[full])
-        ended = (stop < 1 << 30) & (opening[full] == clear)
-        ended[ended] = codes[(base[full] + stop)[ended]] == clear + 1
-        used[full[ended]] = stop[ended]
-    # an entry must exist when it is used, and the first code of a stream is a sample
-    kept = number < np.repeat(used, count)
-    bad = kept & (codes >= clear + 2) & (codes - clear - 2 >= number)
-    used[np.repeat(np.arange(len(streams)), count)[bad]] = -1
-    kept = number < np.repeat(used, count)
-    codes, number, used_ = codes[kept], number[kept], np.maximum(used, 0)
-    base = np.repeat(np.cumsum(used_) - used_, used_)
-    place = np.arange(len(codes))
-    leaf = codes < clear
-    parent = np.where(leaf, place, base + codes - clear - 2)
-    depth, jump = (~leaf).astype(np.int64), parent
-    while not leaf[jump].all():
-        depth = depth + depth[jump]
-        jump = jump[jump]
-    first = codes[jump]
-    last = np.where(leaf, codes, first[np.minimum(parent + 1, len(codes) - 1)]) if len(codes) else codes
-    size = depth + 1
-    at = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
-    own, node = place, place
-    while len(own):
-        out[at[own] + depth[node]] = last[node]
-        deeper = ~leaf[node]
-        own, node = own[deeper], parent[node[deeper]]
-    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(used_))]
-    whole = out.tobytes()
-    return [whole[a:b][:n] if u >= 0 else lzw_decode(s, least, n) for s, n, u, a, b in zip(streams, sizes, used, ends[:-1].tolist(), ends[1:].tolist())]
-
-
-def encode_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay_cs: int = DELAY_CS) -> bytes:
-    """An animated GIF whose frames hold the samples in turn; their number is a multiple of the frame's."""
-    frame = width * height
-    if len(samples) % frame:
-        raise ValueError("samples do not fill whole frames")
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTE.tobytes(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
-    control = b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0"
-    image = b"\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08"
-    for stream in pack_codes([lzw_codes(samples[at : at + frame]) for at in range(0, len(samples), frame)]):
-        parts += [control, image]
-        for k in range(0, len(stream), 255):
-            block = stream[k : k + 255]
-            parts += [bytes([len(block)]), block]
-        parts.append(b"\0")
-    return b"".join([*parts, b";"])
-
-
 @dataclass
 class Frame:
     indices: np.ndarray  # as stored, de-interlaced
@@ -481,7 +409,7 @@ def histograms(canvases: list[np.ndarray]) -> np.ndarray:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches):
         table = pa.table(batch)
         raw = [(t or "").encode() for t in table["text"].to_pylist()]
         full = [r + bytes([FILL]) * ((-len(r)) % FRAME or (0 if r else FRAME)) for r in raw]
@@ -500,7 +428,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, ``n_bytes`` of the UTF-8 text, ``media``: the text as a GIF of 24 x 24 frames, filled with 255.
 
-    Null counts as empty; an empty text is one frame of fill.
+    Null counts as empty; an empty text is one frame of fill. Repeated rows have a row each, equal
+    texts equal media, and an empty table none. Columns besides key and text are ignored, whatever
+    their names. A text is held whole in its task, others beside it only up to a few MB.
     """
     return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(_encode, "doc long, n_bytes long, media binary")
 
@@ -509,7 +439,7 @@ _FRAMES = pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32())
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches, "media"):
         payloads, offsets, timing, bins, errors = [], [0], [], [], []
         for media in batch.column("media").to_pylist():
             found, error = [], None
@@ -538,11 +468,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.to_batches()
 
 
+READ = ("payload", "frames", "histogram", "error")
+
+
 def read_media(stored: DataFrame) -> DataFrame:
     """Adds to a table with a ``media`` column: ``payload`` (samples of all frames), ``frames``
     (timing, disposal, transparency, colour histogram of what is shown), ``histogram`` (their sum)
     and ``error`` (null unless the bytes are no GIF, which then has no frames). Null media: no frames.
+
+    Input columns of these names are replaced, all others stay. Repeated rows are read each; an
+    empty table stays empty.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema)
+    kept = stored.drop(*READ)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     frames = "array<struct<start_ms: long, delay_ms: int, disposal: int, transparent: boolean, histogram: array<int>>>"
-    return stored.mapInArrow(_read, f"{schema}, payload binary, frames {frames}, histogram array<long>, error string")
+    return kept.mapInArrow(_read, f"{schema}, payload binary, frames {frames}, histogram array<long>, error string")

@@ -3,29 +3,37 @@
 Each word is an observation, its language a state. State features are affixes (n-grams that touch a
 word's edge), inner n-grams and a lexicon of frequent words; transitions between languages are
 learned, so a run of foreign words inside a text can switch and switch back. Training maximises the
-conditional likelihood (forward-backward, AdaGrad) on a bounded, documented sample of labelled rows.
-Prediction runs forward-backward over every whole text and gives each word's posterior; a text's
-language is that with the largest mean posterior.
+conditional likelihood (forward-backward, AdaGrad) on a bounded, documented sample of labelled rows,
+and on sequences spliced from runs of words of those rows, from which the transitions learn how
+often code-switched text changes its language. Prediction runs forward-backward over every whole
+text and labels each word by its posterior; a text's language is that with the largest mean posterior.
 
 Features are hashed from bytes and summed with array operations over a slice of texts at a time;
-the chains of a slice advance in step, longest first. The model is a few MB and ships with the task.
+the chains of a slice advance in step. Chains are cut into blocks that advance together: a block's
+transfer matrix tells what reaches the next one. The model is a few MB and ships with the task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import units
-
-#: Most labelled rows that training takes, the least by seeded hash.
-TRAIN_ROWS = 1200
+from ridgeline.llm.common import by_bytes
+
+#: Most labelled rows that training takes, the least by seeded hash, and the longest of them in
+#: bytes; together they bound what reaches the driver.
+TRAIN_ROWS, TRAIN_BYTES = 1200, 1 << 16
+#: Spliced sequences for each training text, and the most words of a run in them.
+SPLICES, RUN = 0.25, 12
+#: Words of a block of a chain.
+BLOCK = 4096
 LEXICON = 4096
 BITS = 16
 EPOCHS = 3
@@ -33,7 +41,7 @@ BATCH = 64
 UNKNOWN = "und"
 
 _U = np.uint64
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 256)]] = True
 _EDGE = 1
@@ -107,42 +115,109 @@ class Model:
         total = np.stack([np.add.reduceat(self.state[:, k][w.grams], w.at) for k in range(len(self.labels))], axis=1)
         return total + self.state[w.affixes].sum(axis=1) + self.words[self.entries(w.codes)]
 
-    def posteriors(self, scores: np.ndarray, by_text: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-        """(posterior of every word, summed posterior of neighbouring labels, log-likelihood scale of every text)."""
+    def posteriors(self, scores: np.ndarray, by_text: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """(posterior of every word, summed posterior of neighbouring labels, log-likelihood scale of every word)."""
+        n = scores.shape[1]
         length = np.diff(by_text)
-        order = np.argsort(-length, kind="stable")
-        begin, size = by_text[:-1][order], length[order]
-        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # texts longer than t
+        blocks = -(-length // block)
+        text = np.repeat(np.arange(len(length)), blocks)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        begin = by_text[:-1][text] + number * block
+        size = np.minimum(length[text] - number * block, block)
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(int(size.max()) if len(size) else 0), "left")  # blocks longer than t
         shift = scores.max(axis=1, keepdims=True) if len(scores) else scores
-        local, move = np.exp(scores - shift), np.exp(self.transition)
+        local, move, start = np.exp(scores - shift), np.exp(self.transition), np.exp(self.initial)
+        # what enters each block from the left, and what leaves it to the right
+        entry, leave = np.tile(start, (len(text), 1)), np.ones((len(text), n))
+        if len(text) and number.any():
+            transfer = np.tile(np.eye(n), (len(text), 1, 1))
+            for t, m in enumerate(live):
+                own = order[:m]
+                step = (transfer[own] if t == 0 else transfer[own] @ move) * local[begin[own] + t][:, None, :]
+                transfer[own] = step / step.sum(axis=(1, 2), keepdims=True)
+            for k in np.flatnonzero(number):
+                through = entry[k - 1] @ transfer[k - 1]
+                entry[k] = through / through.sum() @ move
+            for k in np.flatnonzero(number)[::-1]:
+                back = move @ (transfer[k] @ leave[k])
+                leave[k - 1] = back / back.sum()
         alpha, beta = np.empty_like(local), np.ones_like(local)
         scale = np.ones(len(scores))
-        for t, n in enumerate(live):
-            at = begin[:n] + t
-            a = local[at] * (np.exp(self.initial) if t == 0 else alpha[at - 1] @ move)
+        for t, m in enumerate(live):
+            at = begin[order[:m]] + t
+            a = local[at] * (entry[order[:m]] if t == 0 else alpha[at - 1] @ move)
             s = a.sum(axis=1)
             alpha[at], scale[at] = a / s[:, None], s
-        both = np.zeros_like(move)
+        last = begin + size - 1
+        beta[last] = leave / (alpha[last] * leave).sum(axis=1, keepdims=True)
         for t in range(len(live) - 2, -1, -1):
-            at = begin[: live[t + 1]] + t
-            ahead = local[at + 1] * beta[at + 1] / scale[at + 1][:, None]
-            beta[at] = ahead @ move.T
-            if pairs:
-                both += alpha[at].T @ ahead * move
-        log = np.log(scale) + (shift[:, 0] if len(scores) else 0)
-        return alpha * beta, both if pairs else None, log
-
-    def text_posteriors(self, texts: list[str]) -> np.ndarray:
-        """Mean posterior of each label over the words of each text; zeros without words."""
+            at = begin[order[: live[t + 1]]] + t
+            beta[at] = (local[at + 1] * beta[at + 1] / scale[at + 1][:, None]) @ move.T
+        both = None
+        if pairs:
+            inner = np.ones(len(scores), bool)
+            inner[by_text[1:][length > 0] - 1] = False
+            at = np.flatnonzero(inner)
+            both = alpha[at].T @ (local[at + 1] * beta[at + 1] / scale[at + 1][:, None]) * move
+        return alpha * beta, both, np.log(scale) + (shift[:, 0] if len(scores) else 0)
+
+    def label_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(mean posterior of each label over the words of each text, number of words of each label)."""
         w = featurize(texts)
+        n = len(self.labels)
         gamma = self.posteriors(self.scores(w), w.by_text)[0]
-        sums = np.vstack((np.zeros(len(self.labels)), np.cumsum(gamma, axis=0)))
-        count = np.diff(w.by_text)
-        return (sums[w.by_text[1:]] - sums[w.by_text[:-1]]) / np.maximum(count, 1)[:, None]
+        owner = np.repeat(np.arange(len(texts)), np.diff(w.by_text))
+        sums = np.stack([np.bincount(owner, gamma[:, k], len(texts)) for k in range(n)], axis=1)
+        words = np.bincount(owner * n + gamma.argmax(axis=1), minlength=len(texts) * n).reshape(-1, n)
+        return sums / np.maximum(np.diff(w.by_text), 1)[:, None], words
 
 
-def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = 0.3, lexicon: int = LEXICON, seed: int = 3) -> Model:
-    """Fits a model; all words of a text carry its label. With one label or none, that label always wins."""
+def splice(texts: list[str], labels: np.ndarray, count: int, seed: int) -> list[list[tuple[str, int]]]:
+    """Code-switched sequences: runs of words from texts of different labels, taken in turn at random."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    words = [t.split() for t in texts]
+    pools = [p for k in range(int(labels.max()) + 1) if (p := [i for i in np.flatnonzero(labels == k) if words[i]])]
+    found: list[list[tuple[str, int]]] = []
+    while len(pools) > 1 and len(found) < count:
+        sequence, pool = [], -1
+        for _ in range(int(rng.integers(2, 7))):
+            pool = int(rng.choice([k for k in range(len(pools)) if k != pool]))
+            i = pools[pool][int(rng.integers(len(pools[pool])))]
+            start, run = int(rng.integers(len(words[i]))), int(rng.integers(1, RUN + 1))
+            sequence.append((" ".join(words[i][start : start + run]), int(labels[i])))
+        found.append(sequence)
+    return found
+
+
+def gradients(model: Model, sequences: list[list[tuple[str, int]]]) -> tuple[float, int, dict[str, np.ndarray]]:
+    """(log-likelihood, words, its gradients) of sequences of (run of words, label)."""
+    n = len(model.labels)
+    w = featurize([t for s in sequences for t, _ in s])
+    by_sequence = w.by_text[np.append(0, np.cumsum([len(s) for s in sequences]))]
+    label = np.repeat(np.array([k for s in sequences for _, k in s], np.int64), np.diff(w.by_text))
+    scores = model.scores(w)
+    gamma, both, log = model.posteriors(scores, by_sequence, pairs=True)
+    error = -gamma
+    error[np.arange(len(label)), label] += 1
+    first = by_sequence[:-1][np.diff(by_sequence) > 0]
+    inner = np.ones(len(label), bool)
+    inner[first] = False
+    steps = np.bincount(label[:-1][inner[1:]] * n + label[1:][inner[1:]], minlength=n * n).reshape(n, n)
+    likelihood = scores[np.arange(len(label)), label].sum() + model.initial[label[first]].sum() + (steps * model.transition).sum() - log.sum()
+    per = np.diff(np.append(w.at, len(w.grams)))
+    entries = model.entries(w.codes)
+    return float(likelihood), len(label), {
+        "state": np.stack([np.bincount(w.grams, np.repeat(error[:, k], per), 1 << BITS) + np.bincount(w.affixes.ravel(), np.repeat(error[:, k], 2), 1 << BITS) for k in range(n)], axis=1),
+        "words": np.stack([np.bincount(entries, error[:, k], len(model.lexicon) + 1) for k in range(n)], axis=1),
+        "transition": steps - both,
+        "initial": error[first].sum(axis=0),
+    }
+
+
+def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float = 0.3, lexicon: int = LEXICON, splices: float = SPLICES, seed: int = 3) -> Model:
+    """Fits a model. The words of a text carry its label, those of a spliced sequence the labels of
+    their runs. With one label or none, that label always wins."""
     labels = sorted(set(langs))
     n = len(labels)
     codes, counts = np.unique(featurize(texts).codes, return_counts=True)
@@ -153,30 +228,13 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, rate: float
     squares = {k: np.full_like(getattr(model, k), 1e-2) for k in ("state", "words", "transition", "initial")}
     rng = np.random.Generator(np.random.PCG64(seed))
     truth = np.array([labels.index(x) for x in langs])
+    sequences = [[(t, int(k))] for t, k in zip(texts, truth)] + splice(texts, truth, int(splices * len(texts)), seed)
     for _ in range(epochs):
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(sequences))
         for b in range(0, len(order), BATCH):
-            pick = order[b : b + BATCH]
-            w = featurize([texts[i] for i in pick])
-            if not len(w.at):
-                continue
-            length = np.diff(w.by_text)
-            label = np.repeat(truth[pick], length)
-            gamma, both, _ = model.posteriors(model.scores(w), w.by_text, pairs=True)
-            error = -gamma
-            error[np.arange(len(label)), label] += 1
-            full = length > 0
-            first = w.by_text[:-1][full]
-            steps = np.bincount(truth[pick][full], np.maximum(length[full] - 1, 0), n)
-            per = np.diff(np.append(w.at, len(w.grams)))
-            grads = {
-                "state": np.stack([np.bincount(w.grams, np.repeat(error[:, k], per), 1 << BITS) + np.bincount(w.affixes.ravel(), np.repeat(error[:, k], 2), 1 << BITS) for k in range(n)], axis=1),
-                "words": np.stack([np.bincount(model.entries(w.codes), error[:, k], len(frequent) + 1) for k in range(n)], axis=1),
-                "transition": np.diag(steps) - both,
-                "initial": error[first].sum(axis=0),
-            }
-            for k, g in grads.items():
-                g = g / len(label) - 1e-7 * getattr(model, k)
+            _, size, grads = gradients(model, [sequences[i] for i in order[b : b + BATCH]])
+            for k, g in grads.items() if size else ():
+                g = g / size - 1e-7 * getattr(model, k)
                 squares[k] += g * g * 1e4
                 getattr(model, k)[...] += rate * g * 1e2 / np.sqrt(squares[k])
     return model
@@ -187,48 +245,45 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
-    """Trains on at most ``rows`` labelled rows of ``docs``, those of the least seeded hash of the key."""
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Model:
+    """Trains on at most ``rows`` labelled rows of ``docs`` outside the held-out fold, of at most
+    ``longest`` bytes each: those of the least seeded hash of the key. Rows without key, label or
+    text don't train. Without any, the model has no label and finds none."""
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(key)))
     # rows of a least hash that a few times the wanted number are expected below: what reaches the
     # driver follows neither the rows nor the partitions of the table
     share = min(1.0, 4 * rows / max(labelled.count(), 1))
     most = int(-(2**63) + share * (2**64 - 1))
-    hashed = labelled.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit(11), key).alias("h"), F.col(key).alias("k"))
+    hashed = labelled.where(F.octet_length(text) <= longest).select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit(11), key).alias("h"), F.col(key).alias("k"))
     sample = hashed.where(F.col("h") <= F.lit(min(most, 2**63 - 1))).orderBy("h", "k", "t").limit(rows).collect()
     return train([r["t"] for r in sample], [r["l"] for r in sample])
 
 
-def _predict(model: Model):
+def _predict(model: Model, key: str):
+    kinds = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.table(batch)
-            texts = [t or "" for t in table["text"].to_pylist()]
-            found: list[str] = []
-            score: list[float] = []
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 16 * units.SLICE):
-                    size += len(texts[to])
-                    to += 1
-                mean = model.text_posteriors(texts[at:to]) if model.labels else np.zeros((to - at, 1))
-                for text, best, p in zip(texts[at:to], mean.argmax(axis=1).tolist(), mean.max(axis=1).tolist()):
-                    known = bool(model.labels) and _letter(text) is not None
-                    found.append(model.labels[best] if known else UNKNOWN)
-                    score.append(min(1.0, max(0.0, p)) if known else 0.0)
-                at = to
-            out = table.drop_columns(["text"]).append_column("lang_pred", pa.array(found, pa.string()))
-            yield from out.append_column("score", pa.array(score, pa.float64())).to_batches()
+        for batch in by_bytes(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            known = np.array([bool(model.labels) and _letter(t) is not None for t in texts])
+            mean, words = model.label_words(texts) if model.labels else (np.zeros((len(texts), 1)), np.zeros((len(texts), 0), int))
+            found = [model.labels[k] if x else UNKNOWN for k, x in zip(mean.argmax(axis=1), known)]
+            score = np.where(known, np.clip(mean.max(axis=1), 0, 1), 0.0)
+            counts = [[{"lang": model.labels[k], "words": w} for k, w in enumerate(row) if w] if x else [] for row, x in zip(words.tolist(), known)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.string()), pa.array(score), pa.array(counts, kinds)], names=[key, "lang_pred", "score", "words"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: key, ``lang_pred``, ``score`` (mean posterior of its words).
+    """One row per document: key, ``lang_pred``, ``score`` (mean posterior of its words), ``words``.
 
-    Null texts and texts without a letter give ``und`` and 0. Only the text is read.
+    words: how many words have which language, array<struct<lang, words>> by language; text that
+    switches has several. Null texts and texts without a letter (Unicode category L) give ``und``, 0
+    and no words. Equal languages go to the first by name. Only the text is read: other columns are
+    ignored, whatever their names. Repeated rows have a row each, equal texts equal values; a null
+    key stays null; an empty table stays empty. A task holds one long text, or a few MB of others.
     """
-    slim = docs.select(F.col(key), F.col(text).alias("text"))
-    kind = slim.schema[key].dataType.simpleString()
-    return slim.mapInArrow(_predict(model), f"`{key}` {kind}, lang_pred string, score double")
+    slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = slim.schema["key"].dataType.simpleString()
+    return slim.mapInArrow(_predict(model, key), f"`{key}` {kind}, lang_pred string, score double, words array<struct<lang: string, words: long>>")

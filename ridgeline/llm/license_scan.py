@@ -1,10 +1,18 @@
 """Licence scan by Dice coefficient over word bigrams, with DataFrame functions only.
 
-Every line of a text, and the text as a whole, is normalised (lower case, letters and digits only)
-and compared to licence templates as sets of word bigrams: 2 |A and B| / (|A| + |B|). For a score of
-at least t, the smaller set must hold t / (2 - t) of the larger one, so each template admits a range
-of sizes only, and units outside every range are dropped before any bigram is made. The scan is one
-narrow stage without a shuffle: templates are constants of the plan.
+Units of a text are compared to licence templates as sets of word bigrams, 2 |A and B| / (|A| + |B|):
+
+* every line;
+* every run of lines that read like a licence, so that a notice or a whole licence is found inside a
+  longer document, wrapped at any width and behind comment marks: neighbouring lines at least half
+  of whose bigrams stand in some template (a line of one word: its word), blank lines between them
+  skipped;
+* the text as a whole.
+
+Text is normalised to lower-case runs of letters and digits. For a score of at least t, the smaller
+set must hold t / (2 - t) of the larger one, so each template admits a range of sizes only, and
+units outside every range are dropped before they are scored. The scan is one narrow stage without a
+shuffle: templates are constants of the plan.
 """
 
 from __future__ import annotations
@@ -34,6 +42,13 @@ TEMPLATES = {
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "proprietary": "All rights reserved.",
+    # whole licences, without their copyright lines
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "bsd-3-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
 }
 THRESHOLD = 0.8
 
@@ -50,35 +65,47 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return max(1, math.ceil(n * t / (2 - t))), math.floor(n * (2 - t) / t)
 
 
+#: Stands for a line that no run goes through. Normalised text holds letters, digits and spaces only.
+BREAK = "\x01"
+#: Names of helper columns.
+OWN = ("_lines", "_runs", "_m")
+
+
 def _unit_words(unit: Column) -> Column:
+    """The words of a unit, normalised; one empty word if it has none."""
     return F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
-def license_matches(text: Column, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<dice double, template string>>: the best template of each unit at or above the threshold.
+def _pairs(w: Column) -> Column:
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))))
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def known_bigrams(templates: dict[str, str]) -> tuple[list[str], list[str]]:
+    """Bigrams, and single words, that stand in some template."""
+    known = sorted({x for t in templates.values() for x in bigrams(t)})
+    return known, sorted({w for x in known for w in x.split()})
+
 
-    Units run in text order, the whole text last if it has more than one line. Equal scores go to
-    the template that sorts last by name. Null text and texts without a match give an empty array.
+def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds ``license`` (template of the best match, else null), ``dice`` (its score, else null) and ``license_units`` (matching units).
+
+    A unit matches if its best template scores ``threshold`` or more; equal scores go to the template
+    that sorts last by name. Null and empty texts match nothing. Other columns stay as they are, but
+    for those of these names and the helpers ``OWN``, which are replaced. Equal texts get equal
+    values, repeated rows and null keys are rows as all others, an empty table stays empty. A row's
+    text is held whole, with its words.
     """
     sets = {name: b for name, t in sorted(templates.items()) if (b := bigrams(t))}
     bounds = {name: size_bounds(len(b), threshold) for name, b in sets.items()}
     low, high = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    known = sorted({x for b in sets.values() for x in b})
-    # a unit of w words has at most w - 1 bigrams, so fewer than low + 1 words can't match
-    text = F.coalesce(text, F.lit(""))
-    lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    worded = F.filter(F.transform(units, _unit_words), lambda w: F.size(w) > low)
+    known, words = known_bigrams(templates)
 
-    def pairs(w: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))))
-
-    sized = F.filter(F.transform(worded, pairs), lambda b: F.size(b).between(low, high))
-    # what a unit shares with any template; counts against each template come from these few
-    shared = F.filter(
-        F.transform(sized, lambda b: F.struct(F.size(b).alias("n"), F.filter(b, lambda x: x.isin(known)).alias("hits"))),
-        lambda u: F.size(u["hits"]) > 0,
-    )
+    def scored(grams: Column) -> Column:
+        """The sets whose size some template admits: size, and the bigrams that any template shares."""
+        sized = F.filter(grams, lambda b: F.size(b).between(low, high))
+        found = F.transform(sized, lambda b: F.struct(F.size(b).alias("n"), F.filter(b, lambda x: x.isin(known)).alias("hits")))
+        return F.filter(found, lambda u: F.size(u["hits"]) > 0)
 
     def best(u: Column) -> Column:
         scores = [
@@ -90,15 +117,24 @@ def license_matches(text: Column, templates: dict[str, str] = TEMPLATES, thresho
         ]
         return F.array_max(F.filter(F.array(*scores), lambda s: s.isNotNull()))
 
-    return F.filter(F.transform(shared, best), lambda s: s.isNotNull() & (s["dice"] >= threshold))
-
-
-def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``license`` (template of the best match, else null), ``dice`` (its score, else null) and ``license_units`` (matching units).
-
-    Other columns stay as they are, but for those of these names and ``_m``, which are replaced.
-    Equal texts get equal values; an empty table stays empty.
-    """
-    found = docs.drop("license", "dice", "license_units").withColumn("_m", license_matches(F.col(text), templates, threshold))
+    def marked(line: Column) -> Column:
+        """A line that a run goes through, as its words; any other as a break."""
+        w, grams = line["words"], F.size(line["grams"])
+        like = F.when(F.size(w) == 1, w[0].isin([*words, ""])).otherwise(2 * F.size(F.filter(line["grams"], lambda x: x.isin(known))) >= grams)
+        return F.when(like, F.array_join(w, " ")).otherwise(BREAK)
+
+    lines = F.transform(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), _unit_words), lambda w: F.struct(w.alias("words"), _pairs(w).alias("grams")))
+    found = docs.drop("license", "dice", "license_units", *OWN).withColumn("_lines", lines)
+    found = found.withColumn("_runs", F.array_join(F.transform("_lines", marked), "\n"))
+    # runs of two lines and more: one line is a unit already
+    runs = F.transform(F.split("_runs", BREAK), lambda r: F.regexp_replace(r, r"^\n+|\n+$", ""))
+    runs = F.transform(F.filter(runs, lambda r: r.contains("\n")), lambda r: F.split(r, r"\n+| "))
+    # a set of bigrams is at most one smaller than that of the words, so a long text needs no bigrams
+    whole = F.filter(F.flatten(F.transform("_lines", lambda x: x["words"])), lambda x: x != "")
+    whole = F.when((F.size("_lines") > 1) & F.col("_runs").contains(BREAK), F.filter(F.array(whole), lambda w: F.size(F.array_distinct(w)) <= high + 1)).otherwise(F.array().cast("array<array<string>>"))
+    # a unit of w words has at most w - 1 bigrams, so fewer than low + 1 words can't match
+    longer = F.transform(F.filter(F.concat(runs, whole), lambda w: F.size(w) > low), _pairs)
+    units = scored(F.concat(F.transform("_lines", lambda x: x["grams"]), longer))
+    found = found.withColumn("_m", F.filter(F.transform(units, best), lambda s: s.isNotNull() & (s["dice"] >= threshold)))
     top = F.array_max(F.col("_m"))
-    return found.withColumns({"license": top["template"], "dice": top["dice"], "license_units": F.size("_m").cast("long")}).drop("_m")
+    return found.withColumns({"license": top["template"], "dice": top["dice"], "license_units": F.size("_m").cast("long")}).drop(*OWN)

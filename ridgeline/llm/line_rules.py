@@ -1,13 +1,16 @@
 """Quality rules: base statistics of each document and cross-document line frequency by host.
 
 Lines are normalised (lower case, digits as 0, single spaces) and hashed. For each host, the number
-of distinct documents that hold a line is counted; exact copies are one document there, as copies
-are the business of deduplication. A line above the limit is boilerplate and is removed; a document
-that keeps too few of its words is depleted and rejected.
+of distinct documents that hold a line is counted. A line above the host's limit is boilerplate and
+is removed; a document that keeps too few of its words is depleted and rejected. The limit is a
+share of the host's documents, but never below nor above two absolute numbers: a small host needs
+some evidence, and a large one can't hide boilerplate behind its size.
 
 Python sees each text once, in a narrow stage that keeps numbers only. Counting explodes lines into
-(host, line, text) hashes, which are pre-aggregated before they are shuffled, so neither a host with
-a third of all documents nor a line that all share meets in one task.
+(host, line) hashes, a line once a document, which are pre-aggregated before they are shuffled, so
+neither a host with a third of all documents nor a line that all share meets in one task. Hashes
+have 64 bits: a line is removed by mistake if it collides with one of its host's frequent lines, and
+those are few.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, null_safe, stored
+from ridgeline.cluster import stored
+from ridgeline.llm.common import WORD, by_bytes, null_safe
 
-PROFILE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<struct<line: long, words: int>>"
+PROFILE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line: long, words: int>>"
 _LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int32())]))
 _words, _symbols, _digits = re.compile(WORD).findall, re.compile(r"[#*$%&|<>]").findall, re.compile("[0-9]")
 
@@ -57,18 +61,18 @@ def profile(text: str | None) -> tuple:
             dup += line in seen
             seen.add(line)
             lines[_hash(_digits.sub("0", " ".join(own).lower()))] += len(own)
-    return len(words), sum(map(len, words)), len(_symbols(text)), dup, repeated_words(words), _hash(text), [{"line": k, "words": n} for k, n in lines.items()]
+    return len(words), sum(map(len, words)), len(_symbols(text)), dup, repeated_words(words), [{"line": k, "words": n} for k, n in lines.items()]
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches):
         table = pa.table(batch)
         found = [profile(x.as_py()) for x in table["text"]]
-        columns = list(zip(*found)) if found else [[] for _ in range(7)]
+        columns = list(zip(*found)) if found else [[] for _ in range(6)]
         out = table.drop_columns(["text"])
-        for name, values in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash"), columns):
+        for name, values in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), columns):
             out = out.append_column(name, pa.array(values, pa.int64()))
-        out = out.append_column("lines", pa.array(columns[6], _LINES))
+        out = out.append_column("lines", pa.array(columns[5], _LINES))
         yield from out.to_batches()
 
 
@@ -78,29 +82,33 @@ def line_rules(
     host: str = "source",
     text: str = "text",
     min_documents: int = 20,
-    max_share: float = 0.25,
+    max_share: float = 0.005,
+    max_documents: int = 10_000,
     min_words: int = 50,
     max_repeat_share: float = 0.5,
     min_kept_share: float = 0.5,
 ) -> DataFrame:
     """One row per document: key, host, ``row_id``, the base statistics, ``removed_words``, ``base_failed``, ``kept``.
 
-    A line is removed where more than ``min_documents`` and more than ``max_share`` of the host's
-    distinct texts hold it. A document is rejected if it fails the base rules or keeps less than
+    A line is removed where more documents of the host hold it than ``max_share`` of the host's
+    documents, at least ``min_documents`` and at most ``max_documents``. Every row is a document, so
+    copies count. A document is rejected if it fails the base rules or keeps less than
     ``min_kept_share`` of its words. Null text: no words, so it fails the base rules. A null host is
-    a host of its own; repeated rows each get a row. An empty table gives an empty table.
+    a host of its own; repeated rows each get a row, null keys stay null. Columns besides key, host
+    and text are ignored, whatever their names. An empty table gives an empty table. Memory follows
+    the longest text of a task.
     """
-    slim = docs.select(F.col(key), F.col(host), F.col(text).alias("text"))
-    names = {f.name: f.dataType.simpleString() for f in slim.schema}
-    schema = ", ".join(f"`{k}` {v}" for k, v in names.items() if k != "text")
-    rows = stored(slim.mapInArrow(_profiles, f"{schema}, {PROFILE}").withColumn("row_id", F.monotonically_increasing_id()), "line-profiles")
-    lines = rows.select("row_id", host, "text_hash", F.explode("lines").alias("l")).select("row_id", host, "text_hash", "l.line", "l.words")
-    counts = lines.select(host, "line", "text_hash").distinct().groupBy(host, "line").agg(F.count("*").alias("documents"))
-    hosts = rows.select(host, "text_hash").distinct().groupBy(host).agg(F.count("*").alias("host_documents"))
-    over = null_safe(counts.where(F.col("documents") > min_documents), hosts, [host])
-    over = over.where(F.col("documents") > max_share * F.col("host_documents")).select(host, "line")
-    removed = null_safe(lines, over, [host, "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
+    slim = docs.select(F.col(key).alias("key"), F.col(host).alias("host"), F.col(text).alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    rows = slim.mapInArrow(_profiles, f"key {kinds['key']}, host {kinds['host']}, {PROFILE}")
+    rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "line-profiles")
+    lines = rows.select("row_id", "host", F.explode("lines").alias("l")).select("row_id", "host", "l.line", "l.words")
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > min_documents)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("host_documents"))
+    limit = F.least(F.greatest(F.lit(float(min_documents)), max_share * F.col("host_documents")), F.lit(float(max_documents)))
+    over = null_safe(counts, hosts, ["host"]).where(F.col("documents") > limit).select("host", "line")
+    removed = null_safe(lines, over, ["host", "line"]).groupBy("row_id").agg(F.sum("words").alias("removed_words"))
     joined = rows.drop("lines").join(removed, "row_id", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat_share * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < min_kept_share * F.col("n_words")
-    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~depleted}).drop("text_hash")
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & ~depleted}).withColumnsRenamed({"key": key, "host": host})

@@ -18,15 +18,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ridgeline.llm.common import null_safe, running_total, seeded_hash, stored
+from ridgeline.cluster import stored
+from ridgeline.llm.common import null_safe, running_total, seeded_hash
 
 #: Fixed-point unit of a rate: cumulated rates are exact integers, the same in any order of adding.
 UNIT = 1_000_000
 MAX_COPIES = 2
 #: Starting points of the rounding that are tried.
 STARTS = 64
-#: Buckets in which documents of one source and size are numbered.
-SUB_BUCKETS = 64
+#: Documents of one source and size that one task numbers, about.
+SUB_ROWS = 1 << 16
+#: Sources that a mixture may have; each is a number on the driver and a row of a broadcast table.
+MAX_SOURCES = 10_000
 #: Names of helper columns.
 OWN = ("_size", "_h", "_one", "_sub", "_sum", "_before", "_number", "_rate", "_start", "_count", "_m", "_mean")
 
@@ -57,10 +60,12 @@ def _rate(size, multiplier, mean):
     return F.lit(float(MAX_COPIES)) / (F.lit(1.0) + F.exp(-multiplier * size / mean))
 
 
-def solve_multipliers(hist: DataFrame, source: str, targets: list[tuple], iterations: int = 60, tolerance: float = 1e-9) -> list[tuple]:
+def solve_multipliers(hist: DataFrame, source: str, targets: list[tuple], iterations: int = 100, tolerance: float = 1e-9) -> list[tuple]:
     """(source, multiplier, mean size) of each source; one row a source stays on the driver.
 
-    A source at its cap has an infinite multiplier (all rates 2), an empty target minus infinity.
+    A source at its cap has an infinite multiplier (all rates 2), an empty target minus infinity. A
+    source is settled within the tolerance, or when its multiplier can't move any more; if one is not
+    after all iterations, that is an error.
     """
     spark = hist.sparkSession
     schema = StructType([StructField(source, StringType()), StructField("_m", DoubleType()), StructField("_mean", DoubleType())])
@@ -91,7 +96,10 @@ def solve_multipliers(hist: DataFrame, source: str, targets: list[tuple], iterat
             if not x["lo"] < step < x["hi"]:
                 lo, hi = x["lo"], x["hi"]
                 step = (lo + hi) / 2 if math.isfinite(lo + hi) else (x["m"] * 2 + 1 if gap < 0 else x["m"] * 2 - 1)
+            x["done"] = step == x["m"]
             x["m"] = step
+    if unsettled := [s for s, x in state.items() if not x["done"]]:
+        raise RuntimeError(f"no multiplier for {unsettled} after {iterations} iterations")
     return [(s, x["m"], x["mean"]) for s, x in state.items()]
 
 
@@ -101,12 +109,14 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
     Sizes are whole numbers, null counting 0; documents of size 0 keep
     the prior rate, one copy. A null source is a source of its own. Rows that agree in key are
     interchangeable. Input columns named as a result, or after this operator's own, are dropped.
-    An empty table gives an empty table.
+    An empty table gives an empty table. A mixture of more than ``MAX_SOURCES`` sources is an error.
     """
     spark = docs.sparkSession
     sized = docs.drop("source_size", "target", "copies", *OWN).withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
     hist = stored(sized.groupBy(source, "_size").agg(F.count("*").alias("_count")), "size-histogram")
-    totals = hist.groupBy(source).agg(F.sum(F.col("_count") * F.col("_size")).alias("s"), F.sum("_count").alias("n")).collect()
+    totals = hist.groupBy(source).agg(F.sum(F.col("_count") * F.col("_size")).alias("s"), F.sum("_count").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"a mixture has at most {MAX_SOURCES} sources")
     targets = water_fill([(r[source], r["s"]) for r in totals], weights, share)
     solved = {s: (m, mean) for s, m, mean in solve_multipliers(hist, source, [(r[source], r["s"], r["n"], targets[r[source]]) for r in totals])}
     schema = StructType([StructField(source, StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("_m", DoubleType()), StructField("_mean", DoubleType())])
@@ -121,10 +131,11 @@ def entropy_mix(docs: DataFrame, size: str = "size", source: str = "source", key
     tried = rates.groupBy(source).agg(F.first("target").alias("target"), *[F.sum(F.expr(given(u))).alias(f"_{k}") for k, u in enumerate(points)])
     miss = F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("miss"), F.lit(u).alias("u")) for k, u in enumerate(points)])
     rates = null_safe(rates, tried.select(source, F.array_min(miss)["u"].alias("_u")), [source])
-    rates = rates.select(source, "_size", "source_size", "target", "_rate", (F.col("_start") + F.col("_u")).alias("_start"))
-    hashed = sized.withColumns({"_h": seeded_hash(seed, F.col(key)), "_one": F.lit(1).cast("long")}).withColumn("_sub", F.expr(f"_h % {SUB_BUCKETS}").cast("int"))
-    numbered = running_total(hashed, [source, "_size"], "_sub", ["_h", key], "_one", "_number")
-    joined = null_safe(numbered, rates, [source, "_size"])
+    rates = rates.select(source, "_size", "source_size", "target", "_rate", "_count", (F.col("_start") + F.col("_u")).alias("_start"))
+    hashed = sized.withColumns({"_h": seeded_hash(seed, F.col(key)), "_one": F.lit(1).cast("long")})
+    # documents of one source and size run by hash; the larger the group, the more ranges of it
+    ranged = null_safe(hashed, rates, [source, "_size"]).withColumn("_sub", F.expr(f"_h div ({2**60} div (_count div {SUB_ROWS} + 1) + 1)"))
+    numbered = running_total(ranged, [source, "_size"], "_sub", ["_h", key], "_one", "_number")
     low = F.expr(f"(_start + _number * _rate) div {UNIT}")
     high = F.expr(f"(_start + (_number + 1) * _rate) div {UNIT}")
-    return joined.withColumn("copies", (high - low).cast("int")).drop(*OWN)
+    return numbered.withColumn("copies", (high - low).cast("int")).drop(*OWN)

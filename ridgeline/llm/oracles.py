@@ -24,10 +24,10 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '')
 w AS (SELECT r, unnest(range(1, len(words) - 1)) AS p, words FROM d WHERE len(words) >= 3),
 g AS (SELECT r, p, count(*) OVER (PARTITION BY r, words[p], words[p + 1], words[p + 2]) AS n FROM w),
 c AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
-l AS (SELECT r, source, text, line, len(own) AS n, lower(regexp_replace(array_to_string(own, ' '), '[0-9]', '0', 'g')) AS norm
-      FROM (SELECT r, source, text, line, {_words('line')} AS own FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(own) > 0),
-h AS (SELECT source, count(DISTINCT text) AS host_n FROM d GROUP BY source),
-o AS (SELECT l.source, l.norm FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, l.norm, h.host_n HAVING count(DISTINCT l.text) > 20 AND count(DISTINCT l.text) > 0.25e0 * h.host_n),
+l AS (SELECT r, source, line, len(own) AS n, lower(regexp_replace(array_to_string(own, ' '), '[0-9]', '0', 'g')) AS norm
+      FROM (SELECT r, source, line, {_words('line')} AS own FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(own) > 0),
+h AS (SELECT source, count(*) AS host_n FROM d GROUP BY source),
+o AS (SELECT l.source, l.norm FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, l.norm, h.host_n HAVING count(DISTINCT l.r) > least(greatest(20e0, 0.005e0 * h.host_n), 10000e0)),
 x AS (SELECT l.r, sum(l.n) AS removed FROM l JOIN o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm GROUP BY l.r),
 y AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM l GROUP BY r),
 z AS (SELECT d.doc_id, CAST(len(words) AS bigint) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda v: length(v))), 0) AS bigint) AS word_chars,
@@ -42,13 +42,24 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 def _license_sql() -> str:
     sets = {name: b for name, t in sorted(license_scan.TEMPLATES.items()) if (b := license_scan.bigrams(t))}
     rows = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, b))}])" for name, b in sets.items())
+    known, words = license_scan.known_bigrams(license_scan.TEMPLATES)
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 WITH t(template, grams) AS (VALUES {rows}),
+known AS (SELECT unnest([{', '.join(map(_quoted, known))}]) AS gram),
+known_words AS (SELECT unnest([{', '.join(map(_quoted, words))}]) AS word),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-u AS (SELECT r, k, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM
-      (SELECT r, unnest(u) AS unit, generate_subscripts(u, 1) AS k FROM (SELECT r, CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END AS u FROM d))),
-b AS (SELECT r, k, {pairs} AS grams FROM u WHERE len(w) > 1),
+l AS MATERIALIZED (SELECT r, k, string_split(trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM
+      (SELECT r, unnest(u) AS line, generate_subscripts(u, 1) AS k FROM (SELECT r, string_split(text, chr(10)) AS u FROM d))),
+lb AS MATERIALIZED (SELECT r, k, w, {pairs} AS grams FROM l),
+h AS (SELECT x.r, x.k, count(*) AS n FROM (SELECT r, k, unnest(grams) AS gram FROM lb) x JOIN known USING (gram) GROUP BY ALL),
+f AS (SELECT lb.r, lb.k, lb.w, CASE WHEN len(lb.w) = 1 THEN lb.w[1] = '' OR lb.w[1] IN (SELECT word FROM known_words) ELSE 2 * coalesce(h.n, 0) >= len(lb.grams) END AS alike
+      FROM lb LEFT JOIN h ON h.r = lb.r AND h.k = lb.k),
+j AS MATERIALIZED (SELECT r, string_agg(CASE WHEN alike THEN array_to_string(w, ' ') ELSE chr(1) END, chr(10) ORDER BY k) AS runs, count(*) AS lines, string_agg(array_to_string(w, ' '), ' ' ORDER BY k) AS whole FROM f GROUP BY r),
+long AS (SELECT r, k, string_split(trim(regexp_replace(run, '[ 
+]+', ' ', 'g')), ' ') AS w FROM (SELECT r, unnest(u) AS run, generate_subscripts(u, 1) AS k FROM (SELECT r, string_split(runs, chr(1)) AS u FROM j)) WHERE contains(trim(run, chr(10)), chr(10))
+      UNION ALL SELECT r, 0, string_split(trim(regexp_replace(whole, ' +', ' ', 'g')), ' ') FROM j WHERE lines > 1 AND contains(runs, chr(1))),
+b AS (SELECT r, 'line' || k AS k, grams FROM lb WHERE len(w) > 1 UNION ALL SELECT r, 'run' || k, {pairs} FROM long WHERE len(w) > 1),
 s AS (SELECT b.r, b.k, t.template, 2e0 * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice FROM b JOIN t ON len(b.grams) BETWEEN len(t.grams) * 0.6 AND len(t.grams) * 1.6),
 m AS (SELECT r, k, max(struct_pack(dice := dice, template := template)) AS best FROM s WHERE dice >= {license_scan.THRESHOLD}e0 GROUP BY r, k),
 a AS (SELECT r, max(best) AS best, count(*) AS n FROM m GROUP BY r)
@@ -60,7 +71,7 @@ def _hash(seed: int) -> str:
     return f"CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS varchar), '')), 1, 15) AS bigint)"
 
 
-UNIT, SUB = mixing.UNIT, mixing.SUB_BUCKETS
+UNIT = mixing.UNIT
 OP6 = rf"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, CAST(len({_words('text')}) AS bigint) AS size, {_hash(29)} AS h FROM documents),
 s AS MATERIALIZED (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS w
@@ -83,16 +94,17 @@ q AS (SELECT *, coalesce(sum(n * rate) OVER (PARTITION BY source ORDER BY size R
 c AS (SELECT q.source, k.k * {UNIT} // {mixing.STARTS} AS u, abs(sum(q.size * ((q.start + q.n * q.rate + k.k * {UNIT} // {mixing.STARTS}) // {UNIT} - (q.start + k.k * {UNIT} // {mixing.STARTS}) // {UNIT})) - any_value(q.target)) AS miss
       FROM q CROSS JOIN range({mixing.STARTS}) k(k) GROUP BY q.source, k.k),
 f AS (SELECT source, min(struct_pack(miss := miss, u := u)).u AS u FROM c GROUP BY source),
-e AS (SELECT d.doc_id, d.size, q.total, q.target, q.rate, q.start + f.u AS start, row_number() OVER (PARTITION BY d.source, d.size ORDER BY d.h % {SUB}, d.h, d.doc_id) - 1 AS j FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.size = d.size JOIN f ON f.source IS NOT DISTINCT FROM d.source)
+e AS (SELECT d.doc_id, d.size, q.total, q.target, q.rate, q.start + f.u AS start, row_number() OVER (PARTITION BY d.source, d.size ORDER BY d.h, d.doc_id) - 1 AS j FROM d JOIN q ON q.source IS NOT DISTINCT FROM d.source AND q.size = d.size JOIN f ON f.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, total AS source_size, target, CAST(size * ((start + (j + 1) * rate) // {UNIT} - (start + j * rate) // {UNIT}) AS bigint) AS taken FROM e
 """
 
 OP7 = rf"""
 WITH RECURSIVE k(i, c, n) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n + 1 FROM k WHERE n < 8),
 tbl AS MATERIALIZED (SELECT list(CAST(c AS bigint) ORDER BY i) AS t FROM k WHERE n = 8),
-d AS MATERIALIZED (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS bigint) AS size, {_hash(17)} AS h,
+d AS MATERIALIZED (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS bigint) AS size,
       CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_transform(string_split(trim(regexp_replace(hex(text), '(..)', '\1 ', 'g')), ' '), lambda x: CAST('0x' || x AS bigint)) END AS bytes FROM documents),
-c AS MATERIALIZED (SELECT doc_id, source, size, h, xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tbl),
+c0 AS MATERIALIZED (SELECT doc_id, source, size, xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), bytes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tbl),
+c AS MATERIALIZED (SELECT *, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS varchar), '') || '|' || size || '|' || text_crc32), 1, 15) AS bigint) AS h FROM c0),
 f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) * 2 - 1) / CAST(2 * count(*) OVER (PARTITION BY source) AS double) AS frac FROM c),
 p AS (SELECT *, row_number() OVER (ORDER BY frac, source NULLS LAST, h, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM f)
 SELECT doc_id, size, CAST(text_crc32 AS bigint) AS text_crc32, 'rows' AS law, CAST(pos * 16 // n AS int) AS shard, CAST(pos - ((pos * 16 // n) * n + 15) // 16 AS bigint) AS slot, CAST(NULL AS int) AS grown_shard FROM p

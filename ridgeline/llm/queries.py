@@ -25,12 +25,13 @@ SPECIALS = {"<|endoftext|>": 50256}
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = language_crf.identify(docs, language_crf.fit(docs))
-    return found.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.to_json("words").alias("words"))
 
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = read_media(store_texts(read_table(spark, sf_dir, "documents")))
-    times = F.struct(F.size("frames").alias("frames"), F.expr("frames[0].delay_ms * size(frames)").alias("ms"), F.col("histogram"))
+    ms = F.aggregate("frames", F.lit(0).cast("long"), lambda total, f: total + f["delay_ms"])
+    times = F.struct(F.size("frames").alias("frames"), ms.alias("ms"), F.col("histogram"))
     return media.select(
         F.col("doc").alias("doc_id"),
         "n_bytes",
@@ -46,11 +47,11 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tokens(docs: DataFrame) -> DataFrame:
     """Token table of documents under the public 50k byte-level vocabulary.
 
-    Its ranks file and tokenizer file give the same ids; the ranks file is read several times faster.
+    Its tokenizer file names the ids; its ranks file gives the same ones several times faster.
     """
     import public_tokenizers
 
-    return packing.token_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
+    return packing.token_table(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
 
 
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

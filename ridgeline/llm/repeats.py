@@ -8,7 +8,10 @@
 4. Extension. Only where an anchor stands in spans that differ (edges of passages, near copies) are
    single windows compared, one row a distinct span.
 
-No pair of documents is ever formed. A document is identified by its key and a hash of its text.
+No pair of documents is ever formed. A document is identified by its key and a hash of its text:
+documents of different keys never meet, whatever their hashes. Spans and windows are equal if both
+the fingerprint of their anchor and that of their own units are, 128 bits in all, of which the second
+64 only ever decide between spans of one anchor.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import stored
 from ridgeline.llm import units
-from ridgeline.llm.common import stored
 
 
 #: Stands for a null key where documents are ordered.
@@ -85,7 +88,18 @@ def span_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Every row with its ``ranges`` array<struct<first, count>>, null where it has none.
 
-    The list holds ranges of one document, so its length is bounded by that document's.
+    ranges: row, doc (``NO_KEY`` for null), first, count. The list holds ranges of one document, so
+    its length is bounded by that document's.
     """
-    lists = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
-    return rows.join(lists, "row", "left")
+    lists = ranges.groupBy("row", "doc").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
+    lists = lists.select(F.col("row").alias("_row"), F.col("doc").alias("_doc"), "ranges")
+    same = (F.col("row") == F.col("_row")) & (F.coalesce("doc", F.lit(NO_KEY)) == F.col("_doc"))
+    return rows.join(lists, same, "left").drop("_row", "_doc")
+
+
+def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows that have ``spans``, a table of row, doc (``NO_KEY`` for null) and span, with a list of them."""
+    lists = spans.groupBy("row", "doc").agg(F.collect_list("span").alias("spans"))  # spans of one document
+    lists = lists.select(F.col("row").alias("_row"), F.col("doc").alias("_doc"), "spans")
+    keyed_rows = rows.select("row", F.coalesce("doc", F.lit(NO_KEY)).alias("doc"), "text")
+    return keyed_rows.join(lists, (F.col("row") == F.col("_row")) & (F.col("doc") == F.col("_doc"))).drop("_row", "_doc")

@@ -14,49 +14,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import stored
 from ridgeline.llm import units
-from ridgeline.llm.common import stored
-from ridgeline.llm.repeats import keyed, repeated_spans, span_classes, with_ranges, word_units
+from ridgeline.llm.repeats import keyed, repeated_spans, span_classes, with_ranges, with_spans, word_units
 
 WINDOW = 35
 SEED = 6
 
-_WINDOW_ROW = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("code", pa.int64()), ("copies", pa.int64())])
+_WINDOW_ROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("first", pa.int32()), ("anchor", pa.int64()), ("code", pa.int64()), ("copies", pa.int64())])
 
 
 def _single_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_id, lists = np.asarray(batch.column("row")), batch.column("spans")
+            row_id, doc, lists = np.asarray(batch.column("row")), np.asarray(batch.column("doc")), batch.column("spans")
             for at, data, offsets in units.slices(batch.column("text")):
                 codes, by_row = word_units(data, offsets)
                 prefix = units.prefix_sums(codes)
                 for i in range(len(offsets) - 1):
                     spans = lists[at + i].values
-                    first, count, copies = (np.asarray(spans.field(x), np.int64) for x in ("first", "count", "copies"))
+                    first, count, copies, anchor = (np.asarray(spans.field(x), np.int64) for x in ("first", "count", "copies", "anchor"))
                     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                     code = units.fingerprints(prefix, by_row[i] + starts, by_row[i] + starts + window)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(starts), row_id[at + i])), pa.array(starts.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(np.repeat(copies, count))], schema=_WINDOW_ROW
+                        [
+                            pa.array(np.full(len(starts), row_id[at + i])),
+                            pa.array(np.full(len(starts), doc[at + i])),
+                            pa.array(starts.astype(np.int32)),
+                            pa.array(np.repeat(anchor, count)),
+                            pa.array(code.view(np.int64)),
+                            pa.array(np.repeat(copies, count)),
+                        ],
+                        schema=_WINDOW_ROW,
                     )
 
     return run
 
 
 def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(row, first, count): starts of windows whose word sequence also starts elsewhere."""
+    """(row, doc, first, count): starts of windows whose word sequence also starts elsewhere."""
     spans = repeated_spans(rows, word_units, window, seed)
     classes, kinds = span_classes(spans)
     copied = classes.where("copies > 1").select("anchor", "class")
-    whole = spans.join(copied, ["anchor", "class"], "left_semi").select("row", "first", "count")
-    edges = classes.join(kinds, "anchor").select("at.row", F.struct("at.first", "at.count", "copies").alias("span"))
-    edges = edges.groupBy("row").agg(F.collect_list("span").alias("spans"))  # spans of one document
-    texts = rows.join(edges, "row").select("row", "text", "spans")
-    windows = stored(texts.mapInArrow(_single_windows(window), "row long, first int, code long, copies long"), "single-windows")
+    whole = spans.join(copied, ["anchor", "class"], "left_semi").select("row", "doc", "first", "count")
+    edges = classes.join(kinds, "anchor").select("at.row", "at.doc", F.struct("at.first", "at.count", "copies", "anchor").alias("span"))
+    windows = with_spans(rows, edges).mapInArrow(_single_windows(window), "row long, doc long, first int, anchor long, code long, copies long")
+    windows = stored(windows, "single-windows")
     # a window of a span without copies is repeated if another distinct span holds it; repeated
     # rows have copies of every span, so counting them twice decides nothing here
-    again = windows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    single = windows.where("copies = 1").join(again, "code", "left_semi").select("row", "first", F.lit(1).alias("count"))
+    again = windows.groupBy("anchor", "code").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "code")
+    single = windows.where("copies = 1").join(again, ["anchor", "code"], "left_semi").select("row", "doc", "first", F.lit(1).alias("count"))
     return whole.unionByName(single)
 
 
@@ -93,6 +100,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")
+    if taken := {"doc", "row", "ranges", "n_words", "n_removed", "kept_text"} & set(also):
+        raise ValueError(f"columns named as results can't be carried along: {sorted(taken)}")
     rows = keyed(docs, key, text, also)
     extra = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
     return with_ranges(rows, repeated_word_ranges(rows, window, seed)).mapInArrow(_cut(window, also), f"doc long, n_words long, n_removed long, kept_text string{extra}")

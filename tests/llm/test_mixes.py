@@ -59,11 +59,30 @@ def test_ids_equal_the_tokenizer_files():
 
     rng = random.Random(3)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIALS)
     alphabet = "ab É日\n\t'sré  .,!1234567890  <|endoftext|>"
     texts = ["", "<|endoftext|>", "x<|endoftext|> y", "don't  we'll\r\n\n a", *["".join(rng.choice(alphabet) for _ in range(200)) for _ in range(200)]]
+    texts += [" " * 2_000_000, "x" + " \n" * 60_000 + "y", "a" * 1_000_000, "ab\u3000" * 100_000, "\u3000" * 60_000, "-" * 300_000, "no space" + "é1" * 200_000]
     for t in texts:
-        assert encoder.encode(t, allowed_special="all") == tokenizer.encode(t, add_special_tokens=False).ids
+        assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_by_weights(spark):
+    """A target mixture other than the corpus' own: every window follows it until a queue is dry."""
+    rows = [(i, f"word{i} " * 400, ["a", "b", None][i % 3]) for i in range(90)]
+    tokens = document_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    pieces = packing.pack_mixture(tokens, {"a": 6, "b": 3, None: 1}, period=8).collect()
+    check_layout(pieces)
+    source, totals = {i: s for i, _, s in rows}, Counter()
+    per = defaultdict(Counter)
+    for p in pieces:
+        per[p["sequence_id"]][source[p["doc"]]] += p["length"]
+        totals[source[p["doc"]]] += p["length"]
+    dry = int(totals["a"] // (0.6 * packing.WINDOW))
+    for w in range(dry - 8):
+        assert all(abs(per[w][s] - share * packing.WINDOW) <= 2 for s, share in (("a", 0.6), ("b", 0.3), (None, 0.1)))
+    with pytest.raises(ValueError):
+        packing.pack_mixture(tokens, {"a": 1})
 
 
 def test_windows_follow_the_target_mixture():
@@ -140,6 +159,20 @@ def test_stratified_shards(docs):
     assert Counter((r["doc_id"], r["shard"]) for r in rows) == Counter((r["doc_id"], r["shard"]) for r in stratified_shards(docs.repartition(7), 4, ties=("text",)).collect())
 
 
+def test_unsettled_multipliers_are_an_error(spark):
+    hist = spark.createDataFrame([("a", 10, 50), ("a", 100, 20)], "source string, _size long, _count long")
+    with pytest.raises(RuntimeError):
+        mixing.solve_multipliers(hist, "source", [("a", 2500, 70, 1234.0)], iterations=1)
+
+
+def test_large_groups_of_one_size(spark, monkeypatch):
+    """Documents of one source and size are numbered in ranges of their hash; the ranges don't change the result."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "'a' AS source", "cast(1 + id % 3 AS long) AS size")
+    whole = Counter((r["doc_id"], r["copies"]) for r in mixing.entropy_mix(df, share=0.7).collect())
+    monkeypatch.setattr(mixing, "SUB_ROWS", 100)
+    assert Counter((r["doc_id"], r["copies"]) for r in mixing.entropy_mix(df, share=0.7).collect()) == whole
+
+
 def test_empty_and_null_tables(no_docs, keyless):
     for df, n in ((no_docs, 0), (keyless, 5)):
         assert stratified_shards(df, 4).count() == n

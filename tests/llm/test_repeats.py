@@ -64,7 +64,7 @@ def test_blocks_are_suffix_arrays():
     text = rng.integers(97, 99, 3000).astype(np.uint8)
     text[1500:2200] = text[200:900]
     suffixes = np.arange(2800)
-    order = np.concatenate(list(sd.sorted_suffixes(text, suffixes, 100)))
+    order = np.concatenate([bucket for bucket, _ in sd.sorted_suffixes(text, suffixes, 100)])
     keys = [text[i : i + 100].tobytes() for i in order]
     assert sorted(order) == list(suffixes) and keys == sorted(keys)
     late = sd.later_copies(text, suffixes, np.zeros(2800, int), suffixes, 100)
@@ -119,23 +119,38 @@ def test_ngram_join_sample(sample):
     assert result(ngram_jaccard_join(sample)) == brute_join(pairs(sample))
 
 
-def test_ngram_join_of_a_large_group(spark, monkeypatch):
-    """A group above the crowd limit goes through tiles, and loses no link."""
+@pytest.mark.parametrize("edits", [(2, 2), (4, 9), (1, 14), (0, 30)])
+def test_ngram_join_of_a_large_group(spark, monkeypatch, edits):
+    """A group above the crowd limit goes through cores and tiles, and loses no link."""
     from ridgeline.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "CROWD", 6)
-    monkeypatch.setattr(ngram_join, "TILE", 5)
-    base = [f"w{i}" for i in range(200)]
-    rows = []
-    for i in range(40):
+    monkeypatch.setattr(ngram_join, "TILE", 900)
+    rng, rows = np.random.default_rng(sum(edits)), []
+    base = [f"w{i}" for i in range(300)]
+    for i in range(60):
         words = list(base)
-        words[(i * 37) % 200] = f"x{i}"
-        words[(i * 53 + 9) % 200] = f"y{i}"
+        for k in rng.integers(0, 300, rng.integers(edits[0], edits[1] + 1)):
+            words[k] = f"x{rng.integers(0, 4)}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(ngram_join.ngram_jaccard_join(df)) == brute_join(rows)
 
 
+def test_ngram_join_of_null_and_repeated_keys(spark):
+    """Links and classes go by text: a key may be null, or stand for several texts."""
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*base[:-1], f"x{k}"])
+    far = lambda k: " ".join([*(f"v{i}" for i in range(99)), f"x{k}"])
+    rows = [(5, near(1)), (5, far(1)), (6, near(2)), (7, far(2)), (None, near(3)), (None, "only here and nowhere else at all"), (8, near(2)), (8, near(2))]
+    found = Counter(result_null_safe(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert found == Counter([(5, 5, 1, 2, 5), (5, 5, 1, 1, 5), (6, 6, 3, 2, 5), (7, 7, 1, 1, 5), (None, None, 1, 2, 5), (None, None, 1, 0, None), (8, 6, 3, 2, 5), (8, 6, 3, 2, 5)])
+
+
+def result_null_safe(df):
+    return [(r["doc"], r["copy_of"], r["copies"], r["links"], r["class_id"]) for r in df.collect()]
+
+
 def test_banding_meets_its_recall():
     for threshold, recall in ((0.8, 0.995), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = choose_bands(threshold, recall)

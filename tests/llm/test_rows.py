@@ -63,6 +63,54 @@ def test_code_switching_changes_labels(sample):
     assert np.mean([x == "en" for x in labels[:half]]) > 0.9 and np.mean([x == "de" for x in labels[half:]]) > 0.9
 
 
+def test_short_runs_are_labelled(sample):
+    """Runs of a few words of another language are found, after training on whole texts and spliced runs."""
+    rows = [r for r in sample.collect() if r["lang"] in ("en", "de") and len(r["text"]) > 200]
+    model = crf.train([r["text"] for r in rows[10:]], [r["lang"] for r in rows[10:]])
+    en, de = ([w for r in rows[:10] if r["lang"] == x for w in r["text"].split()] for x in ("en", "de"))
+    pieces = [(" ".join((de if i % 2 else en)[i * 5 : i * 5 + 5]), "de" if i % 2 else "en") for i in range(12)]
+    truth = [lang for text, lang in pieces for _ in crf.featurize([text]).at]
+    words = crf.featurize([" ".join(t for t, _ in pieces)])
+    gamma = model.posteriors(model.scores(words), words.by_text)[0]
+    assert np.mean([model.labels[k] == t for k, t in zip(gamma.argmax(axis=1), truth)]) > 0.85
+    _, counts = model.label_words([" ".join(t for t, _ in pieces)])
+    assert counts.sum() == len(truth) and counts.min() >= 0.3 * len(truth)
+
+
+def test_blocks_of_a_chain():
+    """A chain cut into blocks has the posteriors of one that is not."""
+    rng = np.random.default_rng(2)
+    model = crf.Model(["a", "b", "c"], np.zeros((1 << crf.BITS, 3)), np.zeros(0, np.uint64), np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    scores, by_text = rng.normal(size=(500, 3)) * 3, np.array([0, 0, 130, 131, 400, 500])
+    for x, y in zip(model.posteriors(scores, by_text, True, block=7), model.posteriors(scores, by_text, True)):
+        assert x == pytest.approx(y)
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(4)
+    texts = ["der hund und the dog", "the dog and die katze", "le chat"]
+    codes = np.unique(crf.featurize(texts).codes)
+    model = crf.Model(["a", "b"], rng.normal(size=(1 << crf.BITS, 2)) * 0.1, codes[:3], rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    sequences = [[("der hund und", 0), ("the dog", 1)], [("the dog and", 1), ("die katze", 0)], [("", 0)], [("le chat", 0)]]
+    _, words, grads = crf.gradients(model, sequences)
+    assert words == 12
+    for name, grad in grads.items():
+        table = getattr(model, name)
+        for place in [tuple(p) for p in np.argwhere(grad)[:6]]:
+            old, found = table[place], []
+            for step in (1e-5, -1e-5):
+                table[place] = old + step
+                found.append(crf.gradients(model, sequences)[0])
+            table[place] = old
+            assert (found[0] - found[1]) / 2e-5 == pytest.approx(grad[place], abs=1e-5)
+
+
+def test_only_letters_have_a_language(spark, sample):
+    texts = ["½ ² Ⅷ", "123 --- !!", "a½", "日本", None]
+    rows = crf.identify(spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double"), crf.fit(sample)).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(rows)] == [True, True, False, False, True]
+
+
 def test_language_edges(spark, docs, no_docs, keyless):
     model = crf.fit(docs)
     rows = {r["doc_id"]: r for r in crf.identify(docs, model).collect()}
@@ -109,6 +157,52 @@ def test_interlaced_rows():
     assert frame.indices.tolist() == pixels
 
 
+# The bytes of a published sample image, ten by ten pixels of four colours.
+SAMPLE_GIF = "4749463839610a000a00910000ffffffff00000000ff00000021f90400000000002c000000000a000a000002168c2d99872a1cdc33a00275ec95faa8de608c04914c01003b"
+
+
+def slow_lzw(stream: bytes, least: int) -> list[int]:
+    """A decoder of its own: one bit and one code at a time."""
+    bits = [byte >> i & 1 for byte in stream for i in range(8)]
+    clear, at, out, width, table, previous = 1 << least, 0, [], least + 1, {}, None
+    while at + width <= len(bits):
+        code = sum(bits[at + i] << i for i in range(width))
+        at += width
+        if code == clear:
+            table, width, previous = {i: [i] for i in range(clear)} | {clear: [], clear + 1: []}, least + 1, None
+        elif code == clear + 1:
+            break
+        else:
+            entry = table[code] if code in table else previous + previous[:1]
+            if previous is not None and len(table) < 4096:
+                table[len(table)] = previous + entry[:1]
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            out += entry
+            previous = entry
+    return out
+
+
+def test_a_published_image():
+    (frame,) = gif.decode_gif(bytes.fromhex(SAMPLE_GIF))
+    top, edge, low = [1] * 5 + [2] * 5, [1] * 3 + [0] * 4 + [2] * 3, [2] * 3 + [0] * 4 + [1] * 3
+    assert frame.indices.tolist() == [top] * 3 + [edge] * 2 + [low] * 2 + [top[::-1]] * 3
+    assert frame.canvas[0, 0].tolist() == [255, 0, 0, 255] and frame.canvas[9, 0].tolist() == [0, 0, 255, 255]
+
+
+def test_streams_decode_elsewhere():
+    rng = random.Random(9)
+    for n in (1, 576, 5000, 30000):
+        samples = bytes(rng.randrange(256) if rng.random() < 0.4 else 7 for _ in range(n))
+        assert bytes(slow_lzw(gif.pack_codes([gif.lzw_codes(samples)])[0], 8)) == samples
+
+
+def test_media_columns_are_replaced(spark):
+    given = gif.store_texts(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).selectExpr("*", "1 AS payload", "2 AS frames", "3 AS histogram", "4 AS error", "5 AS other")
+    (row,) = gif.read_media(given).select("payload", "frames", "histogram", "error", "other", "doc").collect()
+    assert bytes(row["payload"][:3]) == b"abc" and row["other"] == 5 and row["error"] is None
+
+
 def test_media_keeps_every_byte(docs, no_docs, keyless, spark):
     media = gif.read_media(gif.store_texts(docs)).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
@@ -125,14 +219,14 @@ def test_media_keeps_every_byte(docs, no_docs, keyless, spark):
 # -- quality rules
 
 
-def brute_rules(rows, min_documents=20, max_share=0.25):
+def brute_rules(rows, min_documents=20, max_share=0.005, max_documents=10_000):
     normal = lambda line: re.sub("[0-9]", "0", " ".join(WORDS(line)).lower())
-    holders, hosts = {}, {}
-    for r in rows:
-        hosts.setdefault(r["source"], set()).add(r["text"] or "")
+    holders, hosts = {}, Counter()
+    for i, r in enumerate(rows):
+        hosts[r["source"]] += 1
         for line in (r["text"] or "").split("\n"):
             if WORDS(line):
-                holders.setdefault((r["source"], normal(line)), set()).add(r["text"])
+                holders.setdefault((r["source"], normal(line)), set()).add(i)
     out = []
     for r in rows:
         text = r["text"] or ""
@@ -143,7 +237,7 @@ def brute_rules(rows, min_documents=20, max_share=0.25):
             if count[w] > 1:
                 covered |= {i, i + 1, i + 2}
         lines = [x for x in text.split("\n") if WORDS(x)]
-        removed = sum(len(WORDS(x)) for x in lines if (n := len(holders[r["source"], normal(x)])) > min_documents and n > max_share * len(hosts[r["source"]]))
+        removed = sum(len(WORDS(x)) for x in lines if len(holders[r["source"], normal(x)]) > min(max(min_documents, max_share * hosts[r["source"]]), max_documents))
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
         out.append((r["doc_id"], len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed, not failed and len(words) - removed >= 0.5 * len(words), removed))
     return sorted(out)
@@ -152,7 +246,7 @@ def brute_rules(rows, min_documents=20, max_share=0.25):
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_documents": 2, "max_share": 0.1}])
+@pytest.mark.parametrize("limits", [{}, {"min_documents": 2, "max_share": 0.1}, {"min_documents": 2, "max_share": 0.5, "max_documents": 4}])
 def test_line_rules(docs, limits):
     assert sorted(tuple(r[c] for c in COLUMNS) for r in line_rules(docs, **limits).collect()) == brute_rules(docs.collect(), **limits)
 
@@ -175,10 +269,24 @@ def test_line_rules_edges(no_docs, keyless):
 
 def brute_license(text):
     text, best, units = text or "", None, 0
-    lines = text.split("\n")
-    for unit in lines + [text] * (len(lines) > 1):
-        words = re.sub(r"[^\w]+|_+", " ", unit.lower()).split()
-        own, top = {f"{a} {b}" for a, b in zip(words, words[1:])}, None
+    known, single = ls.known_bigrams(ls.TEMPLATES)
+    normal = lambda t: re.sub(r"[^\w]+|_+", " ", t.lower()).split()
+    grams = lambda words: {f"{a} {b}" for a, b in zip(words, words[1:])}
+    lines = [normal(x) for x in text.split("\n")]
+    all_units, run, broken = [grams(x) for x in lines], [], False
+    for words in [*lines, None]:
+        own = grams(words or [])
+        if words is not None and (not words or (words[0] in single if len(words) == 1 else 2 * len(own & set(known)) >= len(own))):
+            run += [words] if words else []
+            continue
+        broken |= words is not None
+        if len(run) > 1:
+            all_units.append(grams([x for w in run for x in w]))
+        run = []
+    if broken and len(lines) > 1:
+        all_units.append(grams([x for w in lines for x in w]))
+    for own in all_units:
+        top = None
         for name, template in ls.TEMPLATES.items():
             other = set(ls.bigrams(template))
             if own:
@@ -211,6 +319,26 @@ def test_license_at_the_threshold(spark):
         assert ls.size_bounds(n, 0.8) == (own[0], own[-1])
 
 
+def test_wrapped_licences_in_long_documents(spark):
+    """A licence wrapped into a comment is found among lines of code."""
+    import textwrap
+
+    code, rows = [f"value{i} = compute(item{i}, {i})" for i in range(60)], []
+    for name in ("mit-text", "bsd-3-clause-text", "apache-2.0-header", "gpl-notice", "isc-text", "zlib-text"):
+        for width, mark in ((78, ""), (60, "# "), (72, " * ")):
+            body = [mark + x for x in textwrap.wrap(ls.TEMPLATES[name], width)]
+            rows.append((name, "\n".join([f"{mark}Copyright 2024 Someone Else", mark.rstrip(), *body[:3], mark.rstrip(), *body[3:], "", *code])))
+    for row in ls.license_scan(spark.createDataFrame(rows, "name string, text string")).collect():
+        assert row["license"] == row["name"] and row["dice"] > 0.9
+        assert (row["license"], row["dice"], row["license_units"]) == brute_license(row["text"])
+
+
+def test_license_columns_are_replaced(spark):
+    given = spark.createDataFrame([("All rights reserved.", "x", 1, "y", "z")], "text string, license string, _m int, _lines string, other string")
+    (row,) = ls.license_scan(given).collect()
+    assert row.asDict() == {"text": "All rights reserved.", "license": "proprietary", "dice": 1.0, "license_units": 1, "other": "z"}
+
+
 def test_license_scan_is_native_and_narrow(docs):
     plan = ls.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") <= 1  # that of the fixture
