@@ -1,5 +1,9 @@
 """Corpus pipeline: quality rules, near-duplicate join, substring dedup, mixing, packing.
 
+Any column may be null, and ids may repeat: decisions go by row, a hash of all its columns, so no row
+decides for another and only equal rows share a decision. Ties go to the least id, then the least row
+hash. Columns besides those of documents are left out. Empty tables give empty tables.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it to the shared
 folder and rereads it as the next stage's docs. All but the last return the columns of documents.
 """
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.cluster import shared_dir, ship_package
+from ridgeline.cluster import delete, scope, shared_dir, ship_package
 from ridgeline.llm import packing
 from ridgeline.llm.common import word_count
 from ridgeline.llm.line_rules import line_rules
@@ -34,7 +38,7 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted go."""
+    """Documents that fail the base rules or are depleted of their own lines go. Null and empty texts fail."""
     ship_package(spark)
     docs = _identified(docs)
     rejected = line_rules(docs, key="_row").where("NOT kept").select("_row")
@@ -42,7 +46,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays: that of the least id, nulls last. Equal rows stay once."""
+    """One row of each group of near copies stays: that of the least id, nulls last. Equal rows stay once;
+    texts without words are no copies of each other."""
     ship_package(spark)
     docs = _identified(docs)
     classes = ngram_jaccard_join(docs, key="_row").select(F.col("doc").alias("_row"), "class_id").distinct()
@@ -52,7 +57,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; documents left without a word go too."""
+    """Words of repeated passages go; documents left without a word go too. Texts without a repeated
+    passage stay as they are, null and empty ones as well."""
     ship_package(spark)
     cut = substring_dedup(docs.withColumn("_null", F.col("text").isNull()), also=("doc_id", "lang", "source", "_null", "text"))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).when(~F.col("_null"), F.col("text"))
@@ -61,7 +67,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come 0, 1 or 2 times, so that sources reach their target sizes."""
+    """Documents come 0, 1 or 2 times, so that sources reach their target sizes.
+    Texts without words stay once. Equal rows come together, their copies summed."""
     ship_package(spark)
     docs = _identified(docs)
     rates = entropy_mix(docs.select("_row", "doc_id", "source", word_count(F.col("text")).alias("size"))).groupBy("_row").agg(F.sum("copies").cast("int").alias("copies"))
@@ -70,7 +77,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 1024-token sequences, every one filled in proportion to the mixture."""
+    """Pieces of 1024-token sequences, every one filled in proportion to the mixture.
+    Each row is a document; a null or empty text is its end id alone."""
     ship_package(spark)
     return packing.pack_mixture(document_tokens(docs)).withColumnRenamed("doc", "doc_id")
 
@@ -88,10 +96,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. What a stage stored for itself goes when its rows are written,
+    and these go when the next stage's are."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
