@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.cluster import stored
@@ -41,9 +41,9 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def keyed(docs: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """doc (key), text (null as empty), row (identity of the document) and the columns ``also``."""
+    """doc (key), text (null as empty), row and owner (identity of the document; owner is never null) and the columns ``also``."""
     text_ = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc"), text_.alias("text"), *[c for c in also if c != "text"]).withColumn("row", F.xxhash64("doc", "text"))
+    return docs.select(F.col(key).alias("doc"), text_.alias("text"), *[c for c in also if c != "text"]).withColumns({"row": F.xxhash64("doc", "text"), "owner": F.coalesce("doc", F.lit(NO_KEY))})
 
 
 _SPAN = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("anchor", pa.int64()), ("class", pa.int64()), ("first", pa.int32()), ("count", pa.int32())])
@@ -85,21 +85,19 @@ def span_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, stored(kinds, "span-kinds")
 
 
-def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every row with its ``ranges`` array<struct<first, count>>, null where it has none.
+def _lists(rows: DataFrame, value: str | Column, name: str) -> DataFrame:
+    """Lists by document of a table with row and doc (``NO_KEY`` for null); a document bounds its list."""
+    return rows.groupBy("row", F.col("doc").alias("owner")).agg(F.collect_list(value).alias(name))
 
-    ranges: row, doc (``NO_KEY`` for null), first, count. The list holds ranges of one document, so
-    its length is bounded by that document's.
-    """
-    lists = ranges.groupBy("row", "doc").agg(F.collect_list(F.struct("first", "count")).alias("ranges"))
-    lists = lists.select(F.col("row").alias("_row"), F.col("doc").alias("_doc"), "ranges")
-    same = (F.col("row") == F.col("_row")) & (F.coalesce("doc", F.lit(NO_KEY)) == F.col("_doc"))
-    return rows.join(lists, same, "left").drop("_row", "_doc")
+
+def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Every row with its ``ranges`` array<struct<first, count>>, null where it has none."""
+    return rows.join(_lists(ranges, F.struct("first", "count"), "ranges"), ["row", "owner"], "left")
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows that have ``spans``, a table of row, doc (``NO_KEY`` for null) and span, with a list of them."""
-    lists = spans.groupBy("row", "doc").agg(F.collect_list("span").alias("spans"))  # spans of one document
-    lists = lists.select(F.col("row").alias("_row"), F.col("doc").alias("_doc"), "spans")
-    keyed_rows = rows.select("row", F.coalesce("doc", F.lit(NO_KEY)).alias("doc"), "text")
-    return keyed_rows.join(lists, (F.col("row") == F.col("_row")) & (F.col("doc") == F.col("_doc"))).drop("_row", "_doc")
+    """The rows that have ``spans``, with the list of them.
+
+    Joined as ``with_ranges`` joins, so that the texts are shuffled once for both.
+    """
+    return rows.join(_lists(spans, "span", "spans"), ["row", "owner"]).select("row", F.col("owner").alias("doc"), "text", "spans")

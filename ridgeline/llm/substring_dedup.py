@@ -100,7 +100,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     if not 1 <= seed <= window:
         raise ValueError("a seed has 1 to window words")
-    if taken := {"doc", "row", "ranges", "n_words", "n_removed", "kept_text"} & set(also):
+    if taken := {"doc", "row", "owner", "ranges", "n_words", "n_removed", "kept_text"} & set(also):
         raise ValueError(f"columns named as results can't be carried along: {sorted(taken)}")
     rows = keyed(docs, key, text, also)
     extra = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
