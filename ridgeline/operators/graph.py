@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import stored
 from ridgeline.functions.cost import node_quality
-from ridgeline.functions.geo import angular_difference, bearing, half_up, haversine_m, num, project_on_segment
+from ridgeline.functions.geo import angular_difference, bearing, half_up, haversine_m, num, point_in_ring, project_on_segment
+from ridgeline.operators import grid
 
 # Limits of a request's graph.
 EDGE_LIMIT = {"cycling": 14000}
 EDGE_LIMIT_OTHER = 10000
 ANCHORS = 6
 GREEN_NEAREST, GREEN_RADIUS_M = 5, 300.0
-SECTOR_TOP = 4
+SECTOR_TOP, END_LINKS = 4, 4
+#: Metres within which points anywhere on the globe meet, and the factor by which a search grows.
+ANYWHERE_M, GROWTH = 20_100_000.0, 8
 
 REVERSED = {"src": "dst", "dst": "src", "lat1": "lat2", "lng1": "lng2", "lat2": "lat1", "lng2": "lng1", "from_elev": "to_elev", "to_elev": "from_elev"}
 
@@ -34,33 +40,89 @@ def node_qualities(directed: DataFrame, preferences: dict[str, Column]) -> DataF
     return directed.groupBy(F.col("src").alias("node_id")).agg((F.sum(half_up(worth * 1000000).cast("long")) / F.count("*") / 1000000).alias("quality"))
 
 
-def cells(lat: Column, lng: Column, degrees: float) -> tuple[Column, Column]:
-    return F.floor(lat / num(degrees)).cast("long"), F.floor(lng / num(degrees)).cast("long")
+def near_join(points: DataFrame, targets: DataFrame, metres: float) -> DataFrame:
+    """Pairs of points (lat, lng) and targets (to_lat, to_lng) at most so far apart, with ``metres``.
 
+    An equi join on grid cells: each point looks into the cells within its reach, about nine, so the
+    work follows the local density and no cross join is needed. Holds at every latitude and across
+    the date line; rows without a place meet nothing.
+    """
+    degrees = grid.height(metres)
+    around = grid.spread(points, (F.col("lat"), F.col("lng"), F.col("lat"), F.col("lng")), metres, degrees)
+    placed = targets.withColumn("_cell", grid.cell(F.col("to_lat"), F.col("to_lng"), degrees))
+    pairs = around.join(placed, "_cell").withColumn("metres", haversine_m(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")))
+    return pairs.where(F.col("metres") <= metres).drop("_cell")
 
-def near_join(points: DataFrame, targets: DataFrame, metres: float, most_latitude: float = 60.0) -> DataFrame:
-    """Pairs of points (lat, lng) and targets (to_lat, to_lng) at most so far apart, with ``metres``.
 
-    An equi join on grid cells at least as wide as the distance; each point looks into the nine
-    cells around it, so the work follows the local density and no cross join is needed. Cells are
-    wide enough up to ``most_latitude`` degrees; pairs across the date line are not found.
+def box_join(points: DataFrame, shapes: DataFrame, metres: float, cell_m: float) -> DataFrame:
+    """Pairs of points (lat, lng) and shapes (south, west, north, east) whose box, grown by ``metres``, shares the point's cell.
+
+    A shape lies in every cell that its grown box touches, a point in one, so each pair comes once
+    and a shape of any size is found. The caller tests the exact distance.
+    """
+    degrees = grid.height(cell_m)
+    box = tuple(map(F.col, ("south", "west", "north", "east")))
+    spread = grid.spread(shapes, box, metres, degrees).drop("south", "west", "north", "east")
+    return points.withColumn("_cell", grid.cell(F.col("lat"), F.col("lng"), degrees)).join(spread, "_cell").drop("_cell")
+
+
+def growing(points: DataFrame, key: str, metres: float, enough: int, find: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """What ``find(points, metres)`` returns for each point, at the first radius at which it has ``enough`` rows.
+
+    find returns complete results within the radius. Points that have too few there, and only those,
+    look again eight times as far, until the globe is covered; each round is stored.
     """
-    import math
+    found, left = None, points
+    while True:
+        part = stored(find(left, metres), "near")
+        if metres < ANYWHERE_M:
+            full = part.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= enough).select(key)
+            left = left.join(full, key, "left_anti")
+            part = part.join(full, key, "left_semi")
+        found = part if found is None else found.unionByName(part)
+        if metres >= ANYWHERE_M or not left.take(1):
+            return found
+        metres = min(metres * GROWTH, ANYWHERE_M)
+
+
+def nearest(points: DataFrame, nodes: DataFrame, key: str, metres: float = 400.0) -> DataFrame:
+    """Each point's nearest node at any distance, ties to the least id. ``metres`` is where the search starts."""
+    targets = nodes.select("node_id", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
+
+    def find(left: DataFrame, radius: float) -> DataFrame:
+        near = F.min(F.struct(half_up(F.col("metres"), 3).alias("metres"), "node_id")).alias("n")
+        return near_join(left.select(key, "lat", "lng"), targets, radius).groupBy(key).agg(near).select(key, "n.node_id", "n.metres")
 
-    degrees = metres / (111_000.0 * math.cos(math.radians(most_latitude)))
-    y, x = cells(F.col("lat"), F.col("lng"), degrees)
-    around = points.withColumns({"_y": y, "_x": x})
-    around = around.withColumn("_y", F.explode(F.sequence(F.col("_y") - 1, F.col("_y") + 1))).withColumn("_x", F.explode(F.sequence(F.col("_x") - 1, F.col("_x") + 1)))
-    ty, tx = cells(F.col("to_lat"), F.col("to_lng"), degrees)
-    cell = targets.withColumns({"_y": ty, "_x": tx})
-    pairs = around.join(cell, ["_y", "_x"]).withColumn("metres", haversine_m(F.col("lat"), F.col("lng"), F.col("to_lat"), F.col("to_lng")))
-    return pairs.where(F.col("metres") <= metres).drop("_y", "_x")
+    return growing(points, key, metres, 1, find)
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, metres: float) -> DataFrame:
-    """Each point's nearest node within ``metres``, ties to the least id."""
+def nearest_k(points: DataFrame, nodes: DataFrame, key: str, most: int, metres: float = 400.0) -> DataFrame:
+    """Each point's nearest nodes at any distance, with ``rank`` from 1; ties to the least id."""
     targets = nodes.select("node_id", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
-    return near_join(points, targets, metres).groupBy(key).agg(F.min(F.struct(half_up(F.col("metres"), 3).alias("metres"), "node_id")).alias("n")).select(key, "n.node_id", "n.metres")
+    order = Window.partitionBy(key).orderBy("metres", "node_id")
+
+    def find(left: DataFrame, radius: float) -> DataFrame:
+        pairs = near_join(left.select(key, "lat", "lng"), targets, radius).withColumn("metres", half_up(F.col("metres"), 3))
+        return best_of(pairs.select(key, "node_id", "metres"), order, most)
+
+    return growing(points, key, metres, most, find)
+
+
+def end_links(ends: DataFrame, nodes: DataFrame, key: str = "request_id", most: int = END_LINKS) -> DataFrame:
+    """Edges (id, node_id, distance_m) that tie each end point to its nearest nodes."""
+    return nearest_k(ends, nodes, key, most).select(key, F.concat(F.lit("end-link-"), (F.col("rank") - 1).cast("string")).alias("id"), "node_id", half_up(F.col("metres")).alias("distance_m"))
+
+
+def pick(points: DataFrame, nodes: DataFrame, excluded: DataFrame, key: str, metres: float) -> DataFrame:
+    """The best node (quality, less a tenth at the rim) within reach of each point, but for those excluded for it.
+
+    nodes: node_id, lat, lng, quality. excluded: key, node_id. Ties go to the least id.
+    """
+    targets = nodes.select("node_id", "quality", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
+    near = near_join(points, targets, metres).join(excluded, [key, "node_id"], "left_anti")
+    score = F.col("quality") - F.col("metres") / num(metres) * num(0.1)
+    best = near.groupBy(key).agg(F.max(F.struct(score.alias("score"), (-F.col("node_id")).alias("_id"))).alias("b"))
+    return best.select(key, (-F.col("b._id")).alias("node_id"), "b.score")
 
 
 def ring(points: DataFrame, nodes: DataFrame, radius: float, slack: float) -> DataFrame:
@@ -76,8 +138,12 @@ def sector(lat0: Column, lng0: Column, lat: Column, lng: Column) -> Column:
 
 def sector_top(candidates: DataFrame, request: str = "request_id", most: int = SECTOR_TOP) -> DataFrame:
     """The best candidates (quality, then id, both descending) of each request and sector, with ``rank``."""
-    order = Window.partitionBy(request, "sector").orderBy(F.desc("quality"), F.desc("node_id"))
-    return candidates.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    return best_of(candidates, Window.partitionBy(request, "sector").orderBy(F.desc("quality"), F.desc("node_id")), most)
+
+
+def best_of(rows: DataFrame, order: Window, most: int) -> DataFrame:
+    """The first rows of each group, with ``rank``. Spark cuts the groups before it shuffles them."""
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumn("rank", F.col("rank").cast("long"))
 
 
 def nondegenerate(pivot: tuple[Column, Column], a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -117,6 +183,14 @@ def sector_triples(top: DataFrame, request: str = "request_id") -> DataFrame:
     return t.where(F.col("ok") & (F.col("base_ok") == 1)).select(request, "a", "b", "c", F.col("rank_a").alias("tier"))
 
 
+def waypoint_order(pairs: DataFrame, triples: DataFrame, request: str = "request_id") -> DataFrame:
+    """Pairs and triples of a request in the order in which they are tried, ``place`` from 1: by tier, within it pairs first."""
+    both = pairs.select(request, "a", "b", F.lit(None).cast("long").alias("c"), "strategy", "tier", F.lit(0).alias("_kind"))
+    both = both.unionByName(triples.select(request, "a", "b", "c", F.lit("park").alias("strategy"), "tier", F.lit(1).alias("_kind")))
+    order = Window.partitionBy(request).orderBy("tier", "_kind", "a", "b", "c")
+    return both.withColumn("place", F.row_number().over(order).cast("long")).drop("_kind")
+
+
 def trim(edges: DataFrame, lat0: Column, lng0: Column, radius_m: Column, limit: int) -> DataFrame:
     """Edges whose midpoint lies within the radius, best first: near ones and those of high scores."""
     away = haversine_m(lat0, lng0, (F.col("lat1") + F.col("lat2")) / 2, (F.col("lng1") + F.col("lng2")) / 2)
@@ -125,13 +199,25 @@ def trim(edges: DataFrame, lat0: Column, lng0: Column, radius_m: Column, limit:
     return ranked.drop("_away").orderBy("trim_score", "edge_id").limit(limit)
 
 
-def anchors(edges: DataFrame, points: DataFrame, key: str, metres: float, most: int = ANCHORS) -> DataFrame:
-    """The nearest edges of each point with the snapped place: ``rank``, ``snap_lat``, ``snap_lng``, ``metres``."""
+def anchors(edges: DataFrame, points: DataFrame, key: str, metres: float = 400.0, most: int = ANCHORS) -> DataFrame:
+    """The nearest edges of each point with the snapped place: ``rank``, ``snap_lat``, ``snap_lng``, ``metres``.
+
+    Edges count by the distance of their nearest place, however long they are and wherever they
+    start. A point has ``most`` of them, at any distance, where the map has as many; ``metres`` is
+    where the search starts. Only ids and ends take part in the search.
+    """
     lat, lng, away = project_on_segment(F.col("lat"), F.col("lng"), F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    targets = edges.where(F.col("road_type") != "connector").select("edge_id", "src", "dst", "lat1", "lng1", "lat2", "lng2", "elevation_gain_m", F.col("lat1").alias("to_lat"), F.col("lng1").alias("to_lng"))
-    pairs = near_join(points, targets, metres).drop("metres").withColumns({"snap_lat": lat, "snap_lng": lng, "metres": away})
+    ends = edges.where(F.col("road_type") != "connector").select("edge_id", "lat1", "lng1", "lat2", "lng2")
+    boxed = ends.withColumns({"south": F.least("lat1", "lat2"), "north": F.greatest("lat1", "lat2"), "west": F.least("lng1", "lng2"), "east": F.greatest("lng1", "lng2")})
     order = Window.partitionBy(key).orderBy(half_up(F.col("metres"), 6), "edge_id")
-    return pairs.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+
+    def find(left: DataFrame, radius: float) -> DataFrame:
+        pairs = box_join(left.select(key, "lat", "lng"), boxed, radius, radius).withColumn("metres", away)
+        return best_of(pairs.select(key, "edge_id", "metres"), order, most).where(F.col("metres") <= radius)  # cut last: the distance is computed once
+
+    found = growing(points, key, metres, most, find)
+    wide = edges.select("edge_id", "src", "dst", "lat1", "lng1", "lat2", "lng2", "elevation_gain_m")
+    return points.join(found, key).join(wide, "edge_id").withColumns({"snap_lat": lat, "snap_lng": lng})
 
 
 def split_at_anchor(snapped: DataFrame, key: str) -> DataFrame:
@@ -177,23 +263,31 @@ def with_penalties(edges: DataFrame, by_edge: DataFrame, by_key: DataFrame) -> D
     )
 
 
-def green_scores(points: DataFrame, features: DataFrame, key: str, metres: float = GREEN_RADIUS_M, most: int = GREEN_NEAREST, widest_m: float = 3000.0) -> DataFrame:
-    """Park, shade and scenery values of each point from its nearest green features (square rings).
+def green_scores(points: DataFrame, features: DataFrame, key: str, metres: float = GREEN_RADIUS_M, most: int = GREEN_NEAREST) -> DataFrame:
+    """Park, shade and scenery values of each point from its nearest green features, of any size.
 
-    features: ord, kind, lat, lng, half (degrees). Distance is 0 inside a ring, else that to its
-    nearest side; ties keep source order. widest_m bounds the distance from a feature's centre to its
-    corners.
+    features: ord, kind, and either lat, lng, half (a square of so many degrees) or geometry
+    array<struct<lat, lng>> (a ring if it has three points, else a line). Distance is 0 inside, else
+    that to the nearest side; ties keep source order. Points without a feature within reach have no row.
     """
-    targets = features.select("ord", "kind", "half", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
-    pairs = near_join(points, targets, metres + widest_m).drop("metres")
-    south, north = F.col("to_lat") - F.col("half"), F.col("to_lat") + F.col("half")
-    west, east = F.col("to_lng") - F.col("half"), F.col("to_lng") + F.col("half")
-    inside = (F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lng") >= west) & (F.col("lng") < east)
-    corners = [(south, west), (south, east), (north, east), (north, west), (south, west)]
-    side = F.least(*[project_on_segment(F.col("lat"), F.col("lng"), *a, *b)[2] for a, b in zip(corners, corners[1:])])
+    if "geometry" in features.columns:
+        lat, lng = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lng"])
+        boxed = features.select("ord", "kind", "geometry", F.array_min(lat).alias("south"), F.array_min(lng).alias("west"), F.array_max(lat).alias("north"), F.array_max(lng).alias("east"))
+        ring, size = F.col("geometry"), F.size("geometry")
+        inside = (size >= 3) & point_in_ring(F.col("lat"), F.col("lng"), ring)
+        around = F.when((size >= 3) & (F.get(ring, F.lit(0)) != F.get(ring, size - 1)), F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+        sides = F.zip_with(F.slice(around, F.lit(1), F.size(around) - 1), F.slice(around, F.lit(2), F.size(around) - 1), lambda a, b: project_on_segment(F.col("lat"), F.col("lng"), a["lat"], a["lng"], b["lat"], b["lng"])[2])
+        side = F.array_min(sides)
+    else:
+        south, north = F.col("to_lat") - F.col("half"), F.col("to_lat") + F.col("half")
+        west, east = F.col("to_lng") - F.col("half"), F.col("to_lng") + F.col("half")
+        boxed = features.select("ord", "kind", "half", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng")).withColumns({"south": south, "west": west, "north": north, "east": east})
+        inside = (F.col("lat") >= south) & (F.col("lat") < north) & (F.col("lng") >= west) & (F.col("lng") < east)
+        corners = [(south, west), (south, east), (north, east), (north, west), (south, west)]
+        side = F.least(*[project_on_segment(F.col("lat"), F.col("lng"), *a, *b)[2] for a, b in zip(corners, corners[1:])])
+    pairs = box_join(points.select(key, "lat", "lng"), boxed, metres, metres)
     pairs = pairs.withColumn("away", F.when(inside, num(0)).otherwise(half_up(side, 6)))
-    order = Window.partitionBy(key).orderBy("away", "ord")
-    best = pairs.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    best = best_of(pairs.select(key, "kind", "away", "ord"), Window.partitionBy(key).orderBy("away", "ord"), most).where(F.col("away") <= metres)
     worth = F.greatest(num(0), F.least(num(1), num(1) - F.col("away") / num(metres)))
     kind = F.col("kind")
     return best.groupBy(key).agg(

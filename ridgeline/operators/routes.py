@@ -147,3 +147,21 @@ def greedy_diverse(ranked: DataFrame, conflicts: DataFrame, group: str = "reques
         lambda kept, r: F.when((F.size(kept) < limit) & ~F.arrays_overlap(kept, r["hits"]), F.array_append(kept, r["id"])).otherwise(kept),
     )
     return lists.select(group, F.posexplode(kept).alias("slot", key)).withColumn("slot", (F.col("slot") + 1).cast("long"))
+
+
+def until_enough(found: DataFrame, least: int = 8, group: str = "request_id") -> DataFrame:
+    """Rows of the tiers up to the first, from the second on, by which ``least`` rows of the group ``fits``.
+
+    A search that goes tier by tier stops there; groups that never have enough keep all.
+    """
+    tiers = found.groupBy(group, "tier").agg(F.count_if("fits").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy("tier"))
+    stop = tiers.withColumn("_upto", upto).where((F.col("tier") >= 2) & (F.col("_upto") >= least)).groupBy(group).agg(F.min("tier").alias("_stop"))
+    return found.join(stop, group, "left").where(F.col("_stop").isNull() | (F.col("tier") <= F.col("_stop"))).drop("_stop")
+
+
+def distinct_paths(edges: DataFrame, group: str = "request_id", key: str = "route_id") -> DataFrame:
+    """(group, key): the first route of each sequence of edges within a group. A route bounds the list that signs it."""
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("seq", "edge_key"))), lambda s: s["edge_key"])
+    signed = edges.groupBy(group, key).agg(steps.alias("_signature"))
+    return signed.groupBy(group, "_signature").agg(F.min(key).alias(key)).select(group, key)

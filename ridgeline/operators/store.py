@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import num, segment_distance_km
+from ridgeline.functions.geo import half_up, haversine_m, num, segment_distance_km
+from ridgeline.operators.graph import best_of, box_join
 
 # Cache limits.
 TTL_S, LEAST_TTL_S, MOST_TTL_S, MOST_CACHED = 600, 60, 86400, 30
+SEGMENTS, MOST_SEGMENTS = 10, 50
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -54,6 +56,39 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def segment_distance(lat: Column, lng: Column, points: Column) -> Column:
-    """Kilometres from a point to a polyline array<struct<lat, lng>>."""
-    pairs = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda a, b: segment_distance_km(lat, lng, a["lat"], a["lng"], b["lat"], b["lng"]))
-    return F.coalesce(F.array_min(pairs), num(float("inf")))
+    """Kilometres from a point to a polyline array<struct<lat, lng>>; infinite if it is empty."""
+    pairs = F.zip_with(F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), lambda a, b: segment_distance_km(lat, lng, a["lat"], a["lng"], b["lat"], b["lng"]))
+    first = F.get(points, F.lit(0))
+    return F.coalesce(F.array_min(pairs), haversine_m(lat, lng, first["lat"], first["lng"]) / 1000, num(float("inf")))
+
+
+def nearby_segments(requests: DataFrame, segments: DataFrame, radius_km: float, limit: int | None = None, key: str = "request_id") -> DataFrame:
+    """Each request's (key, lat, lng) segments within the radius, nearest first: ``segment_id``, ``km``, ``rank``.
+
+    segments: segment_id, geometry. limit: 1 to 50, 10 by default.
+    """
+    most = min(max(SEGMENTS if limit is None else limit, 1), MOST_SEGMENTS)
+    lat, lng = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lng"])
+    boxed = segments.select("segment_id", "geometry", F.array_min(lat).alias("south"), F.array_max(lat).alias("north"), F.array_min(lng).alias("west"), F.array_max(lng).alias("east"))
+    pairs = box_join(requests.select(key, "lat", "lng"), boxed, radius_km * 1000, radius_km * 1000)
+    near = pairs.withColumn("km", segment_distance(F.col("lat"), F.col("lng"), F.col("geometry"))).where(F.col("km") <= radius_km)
+    return best_of(near.select(key, "segment_id", half_up(F.col("km"), 6).alias("km")), Window.partitionBy(key).orderBy("km", "segment_id"), most)
+
+
+def of_activity(routes: DataFrame, wanted: str) -> DataFrame:
+    """Routes of one activity, or of all."""
+    return routes if wanted == "all" else routes.where(F.col("activity") == wanted)
+
+
+def as_imported(routes: DataFrame) -> DataFrame:
+    """Imported routes aim at their own length: ``target_km`` is ``km``."""
+    return routes.withColumn("target_km", F.col("km"))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows) of each table, counted in one job."""
+    parts = [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, t in tables.items()]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found

@@ -124,8 +124,8 @@ def point_in_polygon(spark, sf_dir):
     south, north, west, east = C("lat") - C("half"), C("lat") + C("half"), C("lng") - C("half"), C("lng") + C("half")
     corner = lambda a, b: F.struct(a.alias("lat"), b.alias("lng"))
     ring = F.array(corner(south, west), corner(south, east), corner(north, east), corner(north, west))
-    rings = g.select("feature_id", ring.alias("ring"), C("lat").alias("to_lat"), C("lng").alias("to_lng"))
-    near = graph.near_join(n, rings, 200)
+    rings = g.select("feature_id", ring.alias("ring"), south.alias("south"), west.alias("west"), north.alias("north"), east.alias("east"))
+    near = graph.box_join(n, rings, 1, 300)
     return near.where(geo.point_in_ring(C("lat"), C("lng"), C("ring"))).select("node_id", "feature_id")
 
 

@@ -137,12 +137,12 @@ TO_NODE = haversine_sql("r.lat", "r.lng", "n.lat", "n.lng")
 
 
 @query(
-    f"""SELECT request_id, node_id, metres FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY metres, node_id) AS k FROM
-        (SELECT r.request_id, n.node_id, {half_up_sql(TO_NODE, 3)} AS metres FROM {REQUESTS} r JOIN v_node n ON abs(n.lat - r.lat) < 0.004 AND abs(n.lng - r.lng) < 0.006) WHERE metres <= 400) WHERE k = 1"""
+    f"""SELECT request_id, best.node_id AS node_id, best.metres AS metres FROM (SELECT request_id, min(struct_pack(metres := metres, node_id := node_id)) AS best FROM
+        (SELECT r.request_id, n.node_id, {half_up_sql(TO_NODE, 3)} AS metres FROM {REQUESTS} r CROSS JOIN v_node n) GROUP BY request_id)"""
 )
 def nearest_node(spark, sf_dir):
     (n,) = views(spark, sf_dir, "v_node")
-    return graph.nearest(requests(spark, sf_dir), n, "request_id", 400)
+    return graph.nearest(requests(spark, sf_dir), n, "request_id")
 
 
 @query(
@@ -196,22 +196,25 @@ def _at(t: str):
     return f"{t}.lat", f"{t}.lng"
 
 
-@query(
-    f"""WITH t AS {TOP} SELECT a.request_id, a.node_id AS a, b.node_id AS b, CASE WHEN s.step = 4 AND a.sector % 2 = 0 THEN 'recommended' ELSE 'exploration' END AS strategy, greatest(a.rank, b.rank) AS tier
-        FROM t a JOIN (SELECT 4 AS step UNION ALL SELECT 2) s ON s.step = 2 OR a.sector < 4 JOIN t b ON b.request_id = a.request_id AND b.sector = (a.sector + s.step) % 8
-        WHERE a.node_id <> b.node_id AND {_apart(('a.lat0', 'a.lng0'), _at('a'), _at('b'))}"""
-)
+PAIRS_SQL = f"""a AS MATERIALIZED (SELECT t.*, s.step, (t.sector + s.step) % 8 AS other FROM t CROSS JOIN (SELECT 4 AS step UNION ALL SELECT 2) s WHERE s.step = 2 OR t.sector < 4),
+    p AS MATERIALIZED (SELECT a.request_id, a.node_id AS a, b.node_id AS b, a.step, a.sector, greatest(a.rank, b.rank) AS tier, {_bear(('a.lat0', 'a.lng0'), _at('a'))} AS x, {_bear(('a.lat0', 'a.lng0'), _at('b'))} AS y
+        FROM a JOIN t b ON b.request_id = a.request_id AND b.sector = a.other),
+    pairs AS MATERIALIZED (SELECT request_id, a, b, CASE WHEN step = 4 AND sector % 2 = 0 THEN 'recommended' ELSE 'exploration' END AS strategy, tier FROM p WHERE a <> b AND least(abs(x - y), 360e0 - abs(x - y)) >= 25)"""
+
+
+@query(f"WITH t AS MATERIALIZED {TOP}, {PAIRS_SQL} SELECT request_id, a, b, strategy, tier FROM pairs")
 def waypoint_pairs(spark, sf_dir):
     return graph.sector_pairs(graph.sector_top(sector_candidates(spark, sf_dir)))
 
 
-@query(
-    f"""WITH t AS {TOP}, x AS (SELECT a.request_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, a.rank AS tier, a.sector,
-          {_apart(('a.lat0', 'a.lng0'), _at('a'), _at('b'))} AND {_apart(('a.lat0', 'a.lng0'), _at('a'), _at('c'))} AND (a.rank > 1 OR {_apart(_at('b'), _at('a'), _at('c'))}) AS ok
-        FROM t a JOIN t b ON b.request_id = a.request_id AND b.sector = (a.sector + 2) % 8 AND b.rank = 1 JOIN t c ON c.request_id = a.request_id AND c.sector = (a.sector + 4) % 8 AND c.rank = 1
-        WHERE a.rank <= 2 AND a.node_id <> b.node_id AND a.node_id <> c.node_id AND b.node_id <> c.node_id)
-        SELECT request_id, a, b, c, tier FROM x WHERE ok AND EXISTS (SELECT 1 FROM x y WHERE y.request_id = x.request_id AND y.sector = x.sector AND y.tier = 1 AND y.ok)"""
-)
+TRIPLES_SQL = f"""z AS MATERIALIZED (SELECT a.request_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, a.rank AS tier, a.sector,
+      {_apart(('a.lat0', 'a.lng0'), _at('a'), _at('b'))} AND {_apart(('a.lat0', 'a.lng0'), _at('a'), _at('c'))} AND (a.rank > 1 OR {_apart(_at('b'), _at('a'), _at('c'))}) AS ok
+    FROM t a JOIN t b ON b.request_id = a.request_id AND b.sector = (a.sector + 2) % 8 AND b.rank = 1 JOIN t c ON c.request_id = a.request_id AND c.sector = (a.sector + 4) % 8 AND c.rank = 1
+    WHERE a.rank <= 2 AND a.node_id <> b.node_id AND a.node_id <> c.node_id AND b.node_id <> c.node_id),
+    triples AS MATERIALIZED (SELECT request_id, a, b, c, tier FROM z WHERE ok AND EXISTS (SELECT 1 FROM z y WHERE y.request_id = z.request_id AND y.sector = z.sector AND y.tier = 1 AND y.ok))"""
+
+
+@query(f"WITH t AS MATERIALIZED {TOP}, {TRIPLES_SQL} SELECT request_id, a, b, c, tier FROM triples")
 def waypoint_triples(spark, sf_dir):
     return graph.sector_triples(graph.sector_top(sector_candidates(spark, sf_dir)))
 
@@ -231,23 +234,32 @@ def trim_graph(spark, sf_dir):
 _LOCAL_M = "(pi() * 6371000e0 / 180e0)"
 
 
-@query(
-    f"""SELECT request_id, edge_id, rank, {half_up_sql('metres', 4)} AS metres FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {half_up_sql('metres', 6)}, edge_id) AS rank FROM
-        (SELECT request_id, edge_id, sqrt((x1 + (x2 - x1) * t) * (x1 + (x2 - x1) * t) + (y1 + (y2 - y1) * t) * (y1 + (y2 - y1) * t)) AS metres FROM
-        (SELECT *, least(greatest(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0e0), 1e0) AS t FROM
-        (SELECT r.request_id, e.edge_id, (e.lng1 - r.lng) * {_LOCAL_M} * cos(radians(r.lat)) AS x1, (e.lat1 - r.lat) * {_LOCAL_M} AS y1, (e.lng2 - r.lng) * {_LOCAL_M} * cos(radians(r.lat)) AS x2,
-         (e.lat2 - r.lat) * {_LOCAL_M} AS y2 FROM {REQUESTS} r JOIN v_edge e ON abs(e.lat1 - r.lat) < 0.006 AND abs(e.lng1 - r.lng) < 0.009
-         WHERE {haversine_sql('r.lat', 'r.lng', 'e.lat1', 'e.lng1')} <= 400)))) WHERE rank <= 6"""
-)
+#: The six nearest edges of every request, all edges of the map considered.
+_SNAPPED = f"""(SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY {half_up_sql('metres', 6)}, edge_id) AS rank FROM
+    (SELECT *, sqrt((x1 + (x2 - x1) * t) * (x1 + (x2 - x1) * t) + (y1 + (y2 - y1) * t) * (y1 + (y2 - y1) * t)) AS metres, lat1 + (lat2 - lat1) * t AS snap_lat, lng1 + (lng2 - lng1) * t AS snap_lng FROM
+    (SELECT *, least(greatest(-(x1 * (x2 - x1) + y1 * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0e0), 1e0) AS t FROM
+    (SELECT r.*, e.edge_id, e.lat1, e.lng1, e.lat2, e.lng2, e.elevation_gain_m AS gain, (e.lng1 - r.lng) * {_LOCAL_M} * cos(radians(r.lat)) AS x1, (e.lat1 - r.lat) * {_LOCAL_M} AS y1,
+     (e.lng2 - r.lng) * {_LOCAL_M} * cos(radians(r.lat)) AS x2, (e.lat2 - r.lat) * {_LOCAL_M} AS y2 FROM {REQUESTS} r CROSS JOIN v_edge e))) QUALIFY rank <= 6)"""
+
+
+@query(f"SELECT request_id, edge_id, rank, {half_up_sql('metres', 4)} AS metres FROM {_SNAPPED}")
 def anchor_top6(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_edge")
-    return graph.anchors(e, requests(spark, sf_dir), "request_id", 400).select("request_id", "edge_id", "rank", half_up(C("metres"), 4).alias("metres"))
+    return graph.anchors(e, requests(spark, sf_dir), "request_id").select("request_id", "edge_id", "rank", half_up(C("metres"), 4).alias("metres"))
 
 
-@query()
+_PARTS = {"connector": haversine_sql("lat", "lng", "snap_lat", "snap_lng"), "first": haversine_sql("lat1", "lng1", "snap_lat", "snap_lng"), "second": haversine_sql("snap_lat", "snap_lng", "lat2", "lng2")}
+
+
+@query(
+    f"""WITH s AS MATERIALIZED (SELECT *, {', '.join(f'greatest({half_up_sql(x)}, 1e0) AS d_{k}' for k, x in _PARTS.items())} FROM {_SNAPPED})
+        SELECT request_id, rank, edge_id, 'connector' AS part, d_connector AS distance_m, 0e0 AS elevation_gain_m FROM s
+        UNION ALL SELECT request_id, rank, edge_id, 'first', d_first, {half_up_sql('coalesce(gain, 0e0) * (d_first / (d_first + d_second))', 1)} FROM s
+        UNION ALL SELECT request_id, rank, edge_id, 'second', d_second, {half_up_sql('coalesce(gain, 0e0) * (d_second / (d_first + d_second))', 1)} FROM s"""
+)
 def anchor_splits(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_edge")
-    return graph.split_at_anchor(graph.anchors(e, requests(spark, sf_dir), "request_id", 400), "request_id")
+    return graph.split_at_anchor(graph.anchors(e, requests(spark, sf_dir), "request_id"), "request_id")
 
 
 @query("SELECT node_id FROM v_node WHERE node_id IN (SELECT src FROM v_edge WHERE access_allowed UNION SELECT dst FROM v_edge WHERE access_allowed)")
@@ -302,11 +314,11 @@ def _side(i: int) -> str:
         FROM (SELECT *, greatest(0e0, least(1e0, 1 - away / 300e0)) AS w, row_number() OVER (PARTITION BY node_id ORDER BY away, ord) AS k FROM
         (SELECT n.node_id, g.ord, g.kind, CASE WHEN n.lat >= g.lat - g.half AND n.lat < g.lat + g.half AND n.lng >= g.lng - g.half AND n.lng < g.lng + g.half THEN 0e0
                 ELSE {half_up_sql('least(' + ', '.join(_side(i) for i in range(4)) + ')', 6)} END AS away
-         FROM v_node n JOIN v_green g ON {haversine_sql('n.lat', 'n.lng', 'g.lat', 'g.lng')} <= 500)) WHERE k <= 5 GROUP BY node_id"""
+         FROM v_node n CROSS JOIN v_green g) WHERE away <= 300) WHERE k <= 5 GROUP BY node_id"""
 )
 def green_knn_scores(spark, sf_dir):
     n, g = views(spark, sf_dir, "v_node", "v_green")
-    found = graph.green_scores(n.select("node_id", "lat", "lng"), g, "node_id", widest_m=200)
+    found = graph.green_scores(n.select("node_id", "lat", "lng"), g, "node_id")
     return found.select("node_id", *[half_up(C(c), 4).alias(c) for c in ("park_near", "shade_near", "scenery_near")])
 
 

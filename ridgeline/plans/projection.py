@@ -73,6 +73,16 @@ VIEWS: dict[str, str] = {
         SELECT concat('saved-', CAST(o_orderkey AS varchar(20))) AS id, o_orderkey AS route_key, o_custkey AS user_id, o_orderstatus AS status,
                o_totalprice / 1000 AS distance_km, o_orderdate AS saved_at
         FROM orders""",
+    "v_payload": """
+        SELECT route_key, user_id, CASE WHEN route_key % 29 = 0 THEN concat(chr(123), 'broken') WHEN route_key % 31 = 0 THEN '[1, 2]' ELSE translate(concat(
+               '<"id": ', CASE WHEN route_key % 7 = 0 THEN '5' WHEN route_key % 11 = 0 THEN '" "' ELSE concat('"', id, '"') END, ', "source": "generated", "name": ',
+               CASE WHEN route_key % 13 = 0 THEN 'null' ELSE concat('"Route ', CAST(route_key AS varchar(20)), '"') END, ', "activity": "running", "routeType": ',
+               CASE WHEN route_key % 17 = 0 THEN '[]' WHEN route_key % 3 = 0 THEN 'null' ELSE '"loop"' END, ', "distanceKm": ',
+               CASE WHEN route_key % 19 = 0 THEN '"far"' ELSE concat(CAST(route_key % 40 AS varchar(20)), '.5') END, ', "estimatedDurationMin": ', CAST(route_key % 200 AS varchar(20)),
+               ', "elevationGainM": ', CAST(route_key % 900 AS varchar(20)), ', "savedAt": ', CASE WHEN route_key % 23 = 0 THEN '"yesterday"' WHEN route_key % 2 = 0 THEN 'null' ELSE '"2024-05-01T10:00:00Z"' END,
+               ', "geometry": [<"lat": ', CASE WHEN route_key % 37 = 0 THEN '95.0' ELSE '40.25' END, ', "lng": ', CASE WHEN route_key % 41 = 0 THEN '"west"' ELSE '-105.5' END, '>',
+               CASE WHEN route_key % 43 = 0 THEN '' WHEN route_key % 47 = 0 THEN ', 7' ELSE ', <"lat": 40.5, "lng": -105.25>' END, ']>'), '<>', concat(chr(123), chr(125))) END AS payload
+        FROM v_saved""",
     "v_share": """
         SELECT md5(CAST(o_orderkey AS varchar(20))) AS token, o_orderkey AS route_key, o_custkey AS user_id, (o_orderkey % 2160) + 1 AS hours, o_orderdate AS created_at
         FROM orders WHERE o_orderkey % 3 = 0""",

@@ -144,7 +144,15 @@ def geojson_linestring(spark, sf_dir):
     return t.select("user_id", parsed["type"].alias("type"), F.size(parsed["coordinates"]).cast("long").alias("points"))
 
 
-@query()
+_NUMBER_TEXT = r"regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '[.]$', '')"
+
+
+@query(
+    f"""WITH t AS (SELECT user_id, list(concat({_NUMBER_TEXT.format('lat')}, ',', {_NUMBER_TEXT.format('lng')}) ORDER BY seq) AS p FROM {_TRACK} GROUP BY user_id),
+        c AS (SELECT *, greatest(len(p) - 2, 0) AS n, least(greatest(len(p) - 2, 0), 9) AS c FROM t)
+        SELECT user_id, concat('https://www.google.com/maps/dir/?api=1&origin=', url_encode(p[1]), '&destination=', url_encode(p[-1]), '&travelmode=bicycling',
+            CASE WHEN c > 0 THEN concat('&waypoints=', url_encode(array_to_string(list_transform(range(c), lambda i: p[(i + 1) * n // (c + 1) + 2]), '|'))) ELSE '' END) AS url FROM c"""
+)
 def maps_urls(spark, sf_dir):
     return tracks_as_arrays(spark, sf_dir).select("user_id", text.maps_url(C("points"), F.lit("cycling")).alias("url"))
 
@@ -254,7 +262,27 @@ def polyline_round_trip(spark, sf_dir):
     return decoded.select("user_id", F.size("p").cast("long").alias("points"), total("lat").alias("lat"), total("lng").alias("lng"))
 
 
-@query()
+def _ring_sql() -> str:
+    from ridgeline.plans.geo_queries import TARGET_SQL
+    from ridgeline.sources.synthetic import RADII, STEP
+
+    def place(angle: str, radius: str) -> tuple[str, str]:
+        d, p, b = f"(({radius}) / 6371000e0)", "radians(start_lat)", f"radians({angle})"
+        to = f"asin(sin({p}) * cos({d}) + cos({p}) * sin({d}) * cos({b}))"
+        return half_up_sql(f"degrees({to})", 6), half_up_sql(f"degrees(radians(start_lng) + atan2(sin({b}) * sin({d}) * cos({p}), cos({d}) - sin({p}) * sin({to})))", 6)
+
+    (a, b), (c, d) = place("angle", "radius"), place("to_angle", "to_radius")
+    return f"""WITH radii AS (SELECT unnest([{', '.join(f'{r}e0' for r in RADII)}]) AS radius, unnest(range({len(RADII)})) AS ring),
+        q AS (SELECT request_id, start_lat, start_lng, greatest(5000e0, {TARGET_SQL} * 480) + 4500 AS reach FROM v_pref),
+        b AS (SELECT q.*, r.radius, r.ring, r2.radius AS wide, r2.radius <= q.reach AS outward, g.angle, (g.angle + {STEP}) % 360 AS onward FROM q JOIN radii r ON r.radius <= q.reach LEFT JOIN radii r2 ON r2.ring = r.ring + 1
+              CROSS JOIN (SELECT unnest(range(0, 360, {STEP})) AS angle) g),
+        l AS (SELECT *, 0 AS to_angle, 0e0 AS to_radius, true AS open FROM b WHERE ring = 0 UNION ALL SELECT *, onward, radius, NOT (ring = 1 AND angle = 210) FROM b
+              UNION ALL SELECT *, angle, wide, true FROM b WHERE outward UNION ALL SELECT *, onward, wide, true FROM b WHERE outward AND angle % {2 * STEP} = 0),
+        e AS (SELECT request_id, open, {a} AS lat1, {b} AS lng1, CASE WHEN to_radius = 0 THEN start_lat ELSE {c} END AS lat2, CASE WHEN to_radius = 0 THEN start_lng ELSE {d} END AS lng2 FROM l)
+        SELECT request_id, count(*) AS edges, sum({half_up_sql(haversine_sql('lat1', 'lng1', 'lat2', 'lng2'))}) AS metres, count(*) FILTER (WHERE NOT open) AS closed FROM e GROUP BY request_id"""
+
+
+@query(_ring_sql())
 def ring_graphs(spark, sf_dir):
     """A synthetic graph around every request's start."""
     from ridgeline.plans.search_queries import requests

@@ -119,7 +119,8 @@ def test_generated_loops_keep_their_shape(spark, edges):
         e = arrays(edges)
         g = search.RoadGraph(e, *edge_cost_arrays(e, r))
         found = search.loops(g, g.nearest(r["start_lat"], r["start_lng"]), r)
-        for _, p in found:
+        for _, p, score in found:
+            assert 0 <= score <= 100
             f = search.shape(g, p, g.slope, 0.14)
             assert f["overlap"] <= 0.15 and f["dead_ends"] == 0 and f["compactness"] >= 0.025 and g.src[p[0]] == g.dst[p[-1]]
         seen += len(found)
