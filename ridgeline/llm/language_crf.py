@@ -33,7 +33,7 @@ TRAIN_ROWS, TRAIN_BYTES = 1200, 1 << 16
 #: Spliced sequences for each training text, and the most words of a run in them.
 SPLICES, RUN = 0.25, 12
 #: Words of a block of a chain.
-BLOCK = 4096
+BLOCK = 1024
 LEXICON = 4096
 BITS = 16
 EPOCHS = 3
@@ -95,6 +95,30 @@ def featurize(texts: list[str]) -> Words:
     return Words(grams, at, affixes, codes, by_text)
 
 
+def _in_step(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of these sizes that advance together, the longest first: (runs longer than t, rows before step t, rank of each run)."""
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty(len(size), np.int64)
+    rank[order] = np.arange(len(size))
+    live = np.searchsorted(-size[order], -np.arange(int(size.max()) if len(size) else 0), "left")
+    return live, np.append(0, np.cumsum(live)), rank
+
+
+def _transfers(local: np.ndarray, begin: np.ndarray, size: np.ndarray, part: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """For each of some blocks, the matrix that takes what enters it to what stands at its last word, up to a factor."""
+    n, (live, off, rank) = len(move), _in_step(size[part])
+    inner = np.arange(int(size[part].sum())) - np.repeat(np.cumsum(size[part]) - size[part], size[part])
+    here = np.empty((len(inner), n))
+    here[off[inner] + np.repeat(rank, size[part])] = local[np.repeat(begin[part], size[part]) + inner]
+    found = np.eye(n) * here[: live[0]][:, None, :]
+    for t, m in enumerate(live[1:], 1):
+        step = (found[:m].reshape(-1, n) @ move).reshape(m, n, n) * here[off[t] : off[t] + m][:, None, :]
+        if t % 8 == 0:
+            step /= (step.reshape(m, -1) @ np.ones(n * n))[:, None, None]
+        found[:m] = step
+    return found[rank]
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -117,50 +141,48 @@ class Model:
 
     def posteriors(self, scores: np.ndarray, by_text: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """(posterior of every word, summed posterior of neighbouring labels, log-likelihood scale of every word)."""
-        n = scores.shape[1]
-        length = np.diff(by_text)
+        n, length = scores.shape[1], np.diff(by_text)
         blocks = -(-length // block)
         text = np.repeat(np.arange(len(length)), blocks)
         number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        begin = by_text[:-1][text] + number * block
         size = np.minimum(length[text] - number * block, block)
-        order = np.argsort(-size, kind="stable")
-        live = np.searchsorted(-size[order], -np.arange(int(size.max()) if len(size) else 0), "left")  # blocks longer than t
         shift = scores.max(axis=1, keepdims=True) if len(scores) else scores
-        local, move, start = np.exp(scores - shift), np.exp(self.transition), np.exp(self.initial)
+        local, move, one = np.exp(scores - shift), np.exp(self.transition), np.ones(n)
         # what enters each block from the left, and what leaves it to the right
-        entry, leave = np.tile(start, (len(text), 1)), np.ones((len(text), n))
-        if len(text) and number.any():
-            transfer = np.tile(np.eye(n), (len(text), 1, 1))
-            for t, m in enumerate(live):
-                own = order[:m]
-                step = (transfer[own] if t == 0 else transfer[own] @ move) * local[begin[own] + t][:, None, :]
-                transfer[own] = step / step.sum(axis=(1, 2), keepdims=True)
-            for k in np.flatnonzero(number):
+        entry, leave = np.tile(np.exp(self.initial), (len(text), 1)), np.ones((len(text), n))
+        part = np.flatnonzero(blocks[text] > 1)
+        if len(part):
+            transfer = dict(zip(part.tolist(), _transfers(local, by_text[:-1][text] + number * block, size, part, move)))
+            for k in part[number[part] > 0]:
                 through = entry[k - 1] @ transfer[k - 1]
                 entry[k] = through / through.sum() @ move
-            for k in np.flatnonzero(number)[::-1]:
+            for k in part[number[part] > 0][::-1]:
                 back = move @ (transfer[k] @ leave[k])
                 leave[k - 1] = back / back.sum()
-        alpha, beta = np.empty_like(local), np.ones_like(local)
-        scale = np.ones(len(scores))
+        # one row a word, by place in the block and then by block, the longest first: a step is a slice
+        live, off, rank = _in_step(size)
+        at = off[np.arange(len(scores)) - np.repeat(np.cumsum(size) - size, size)] + np.repeat(rank, size)
+        here, alpha, beta, scale = np.empty_like(local), np.empty_like(local), np.empty_like(local), np.ones(len(scores))
+        here[at] = local
+        came = np.empty_like(entry)
+        came[rank] = entry
         for t, m in enumerate(live):
-            at = begin[order[:m]] + t
-            a = local[at] * (entry[order[:m]] if t == 0 else alpha[at - 1] @ move)
-            s = a.sum(axis=1)
-            alpha[at], scale[at] = a / s[:, None], s
-        last = begin + size - 1
+            own = slice(off[t], off[t] + m)
+            a = here[own] * (came if t == 0 else alpha[off[t - 1] : off[t - 1] + m] @ move)
+            scale[own] = a @ one
+            alpha[own] = a / scale[own, None]
+        last = off[size - 1] + rank
         beta[last] = leave / (alpha[last] * leave).sum(axis=1, keepdims=True)
         for t in range(len(live) - 2, -1, -1):
-            at = begin[order[: live[t + 1]]] + t
-            beta[at] = (local[at + 1] * beta[at + 1] / scale[at + 1][:, None]) @ move.T
+            ahead = slice(off[t + 1], off[t + 1] + live[t + 1])
+            beta[off[t] : off[t] + live[t + 1]] = (here[ahead] * beta[ahead] / scale[ahead, None]) @ move.T
         both = None
         if pairs:
             inner = np.ones(len(scores), bool)
             inner[by_text[1:][length > 0] - 1] = False
-            at = np.flatnonzero(inner)
-            both = alpha[at].T @ (local[at + 1] * beta[at + 1] / scale[at + 1][:, None]) * move
-        return alpha * beta, both, np.log(scale) + (shift[:, 0] if len(scores) else 0)
+            left, right = at[:-1][inner[:-1]], at[1:][inner[:-1]]
+            both = alpha[left].T @ (here[right] * beta[right] / scale[right][:, None]) * move
+        return (alpha * beta)[at], both, np.log(scale[at]) + (shift[:, 0] if len(scores) else 0)
 
     def label_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(mean posterior of each label over the words of each text, number of words of each label)."""
