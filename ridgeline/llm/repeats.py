@@ -98,6 +98,6 @@ def with_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """The rows that have ``spans``, with the list of them.
 
-    Joined as ``with_ranges`` joins, so that the texts are shuffled once for both.
+    Joined as ``with_ranges`` joins and with all columns, so that the texts are shuffled once for both.
     """
-    return rows.join(_lists(spans, "span", "spans"), ["row", "owner"]).select("row", F.col("owner").alias("doc"), "text", "spans")
+    return rows.join(_lists(spans, "span", "spans"), ["row", "owner"])

@@ -27,7 +27,7 @@ _WINDOW_ROW = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("first", pa.
 def _single_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_id, doc, lists = np.asarray(batch.column("row")), np.asarray(batch.column("doc")), batch.column("spans")
+            row_id, doc, lists = np.asarray(batch.column("row")), np.asarray(batch.column("owner")), batch.column("spans")
             for at, data, offsets in units.slices(batch.column("text")):
                 codes, by_row = word_units(data, offsets)
                 prefix = units.prefix_sums(codes)

@@ -209,7 +209,7 @@ def _span_bytes(window: int):
             cut = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(upto), pa.py_buffer(raw)])
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(take), batch.column("doc").take(take), *[span.field(c) for c in ("anchor", "crowded", "first", "count")], cut], schema=_SPAN_BYTES
+                [batch.column("row").take(take), batch.column("owner").take(take), *[span.field(c) for c in ("anchor", "crowded", "first", "count")], cut], schema=_SPAN_BYTES
             )
 
     return run
