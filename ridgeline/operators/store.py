@@ -11,6 +11,8 @@ from ridgeline.operators.graph import best_of, box_join
 # Cache limits.
 TTL_S, LEAST_TTL_S, MOST_TTL_S, MOST_CACHED = 600, 60, 86400, 30
 SEGMENTS, MOST_SEGMENTS = 10, 50
+#: Least side of the cells in which segments are found.
+SEGMENT_CELL_M = 1000.0
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -65,14 +67,17 @@ def segment_distance(lat: Column, lng: Column, points: Column) -> Column:
 def nearby_segments(requests: DataFrame, segments: DataFrame, radius_km: float, limit: int | None = None, key: str = "request_id") -> DataFrame:
     """Each request's (key, lat, lng) segments within the radius, nearest first: ``segment_id``, ``km``, ``rank``.
 
-    segments: segment_id, geometry. limit: 1 to 50, 10 by default.
+    segments: segment_id, geometry, of which the steps are joined. limit: 1 to 50, 10 by default.
     """
     most = min(max(SEGMENTS if limit is None else limit, 1), MOST_SEGMENTS)
-    lat, lng = F.transform("geometry", lambda p: p["lat"]), F.transform("geometry", lambda p: p["lng"])
-    boxed = segments.select("segment_id", "geometry", F.array_min(lat).alias("south"), F.array_max(lat).alias("north"), F.array_min(lng).alias("west"), F.array_max(lng).alias("east"))
-    pairs = box_join(requests.select(key, "lat", "lng"), boxed, radius_km * 1000, radius_km * 1000)
-    near = pairs.withColumn("km", segment_distance(F.col("lat"), F.col("lng"), F.col("geometry"))).where(F.col("km") <= radius_km)
-    return best_of(near.select(key, "segment_id", half_up(F.col("km"), 6).alias("km")), Window.partitionBy(key).orderBy("km", "segment_id"), most)
+    points = F.col("geometry")
+    steps = F.zip_with(points, F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, -1, 1)), lambda a, b: F.struct(a["lat"].alias("a"), a["lng"].alias("b"), b["lat"].alias("lat2"), b["lng"].alias("lng2")))
+    pieces = segments.where(F.size("geometry") > 0).select("segment_id", F.inline(steps))  # the last is a point
+    boxed = pieces.withColumns({"south": F.least("a", "lat2"), "north": F.greatest("a", "lat2"), "west": F.least("b", "lng2"), "east": F.greatest("b", "lng2")})
+    pairs = box_join(requests.select(key, "lat", "lng"), boxed, radius_km * 1000, max(radius_km * 1000, SEGMENT_CELL_M))
+    away = segment_distance_km(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"), F.col("lat2"), F.col("lng2"))
+    near = pairs.groupBy(key, "segment_id").agg(F.min(away).alias("km")).where(F.col("km") <= radius_km)
+    return best_of(near.withColumn("km", half_up(F.col("km"), 6)), Window.partitionBy(key).orderBy("km", "segment_id"), most)
 
 
 def of_activity(routes: DataFrame, wanted: str) -> DataFrame:

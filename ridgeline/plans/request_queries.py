@@ -272,3 +272,19 @@ def average_slopes(spark, sf_dir):
 
     m = routes.weighted_metrics(_edges(spark, sf_dir))
     return m.select("route_id", profiles.average_slope_pct(C("gain_m"), C("km") * 1000).alias("slope_pct"))
+
+
+@query(
+    """WITH e AS (SELECT row_number() OVER (ORDER BY s, k) - 1 AS edge_id, s AS src, CASE k WHEN 0 THEN s + 1 ELSE s + 90 END AS dst FROM range(8100) g(s) CROSS JOIN range(2) h(k) WHERE CASE k WHEN 0 THEN (s + 1) % 90 <> 0 ELSE s + 90 < 8100 END),
+       c AS (SELECT n AS edge_limit, m AS every FROM (SELECT unnest([10000, 14000]) AS n) CROSS JOIN (SELECT unnest([1, 7]) AS m))
+       SELECT CAST(edge_limit AS int) AS edge_limit, CAST(every AS int) AS every, count(*) AS edges, CAST(sum(src) AS bigint) AS src, CAST(sum(dst) AS bigint) AS dst, max(edge_id) AS last FROM e JOIN c ON edge_id < edge_limit AND edge_id % every = 0 GROUP BY ALL"""
+)
+def stress_grids(spark, sf_dir):
+    """The grids of the stress cases: dense and sparse, at both edge limits."""
+    found = None
+    for limit in (10000, 14000):
+        for every in (1, 7):
+            e = synthetic.grid(spark, 90, limit, every)
+            part = e.agg(F.count("*").alias("edges"), F.sum("src").alias("src"), F.sum("dst").alias("dst"), F.max("edge_id").alias("last")).select(F.lit(limit).alias("edge_limit"), F.lit(every).alias("every"), "*")
+            found = part if found is None else found.unionByName(part)
+    return found
