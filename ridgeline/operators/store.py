@@ -71,8 +71,9 @@ def nearby_segments(requests: DataFrame, segments: DataFrame, radius_km: float,
     """
     most = min(max(SEGMENTS if limit is None else limit, 1), MOST_SEGMENTS)
     points = F.col("geometry")
-    steps = F.zip_with(points, F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, -1, 1)), lambda a, b: F.struct(a["lat"].alias("a"), a["lng"].alias("b"), b["lat"].alias("lat2"), b["lng"].alias("lng2")))
-    pieces = segments.where(F.size("geometry") > 0).select("segment_id", F.inline(steps))  # the last is a point
+    inner = F.greatest(F.size(points) - 1, F.lit(1))  # a single point is a step to itself
+    steps = F.zip_with(F.slice(points, F.lit(1), inner), F.slice(points, F.least(F.size(points), F.lit(2)), inner), lambda a, b: F.struct(a["lat"].alias("a"), a["lng"].alias("b"), b["lat"].alias("lat2"), b["lng"].alias("lng2")))
+    pieces = segments.where(F.size("geometry") > 0).select("segment_id", F.inline(steps))
     boxed = pieces.withColumns({"south": F.least("a", "lat2"), "north": F.greatest("a", "lat2"), "west": F.least("b", "lng2"), "east": F.greatest("b", "lng2")})
     pairs = box_join(requests.select(key, "lat", "lng"), boxed, radius_km * 1000, max(radius_km * 1000, SEGMENT_CELL_M))
     away = segment_distance_km(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"), F.col("lat2"), F.col("lng2"))
