@@ -1,6 +1,6 @@
 """DuckDB SQL of the corpus queries that SQL can express, over whole tables and texts.
 
-Language prediction, media streams and token ids are no SQL. Tests hold those against brute force,
+Language prediction, media streams, token ids, cheapest edits and spans are no SQL. Tests hold those against brute force,
 exact round trips and held-out rows.
 """
 
@@ -149,6 +149,26 @@ k AS (SELECT a AS rep, least(a, min(b)) AS root FROM reach GROUP BY a)
 SELECT c.doc_id, coalesce(k.root, c.copy_of) AS class_id, CAST(coalesce(n.links, 0) AS bigint) AS n_links, c.copy_of, CAST(c.n_copies AS bigint) AS n_copies FROM c LEFT JOIN n ON n.rep = c.copy_of LEFT JOIN k ON k.rep = c.copy_of
 """
 
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """One common table per round; floored means in whole numbers."""
+    steps = [
+        f"kept AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})",
+        "v AS MATERIALIZED (SELECT r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS double)) AS bigint)) AS v FROM kept)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id IS NULL, h, v) - 1 AS integer) AS c, v FROM (SELECT vec_id, v, sha256('2:' || CAST(vec_id AS varchar)) AS h FROM v) ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        distance = "CAST(list_sum(list_transform(range(1, %d), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j]))) AS bigint)" % (width + 1)
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS distance, CAST(arg_min(c, d * {2 * k} + c) AS integer) AS cluster FROM (SELECT v.r, v.vec_id, v.v, c.c, {distance} AS d FROM v, c{i} c) GROUP BY r)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT cluster, j, CAST(sum(v[j]) AS hugeint) AS s, CAST(count(*) AS hugeint) AS n FROM a{i}, (SELECT unnest(range(1, {width + 1})) AS j) GROUP BY cluster, j)")
+            steps.append(f"n{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS bigint) ORDER BY j) AS v FROM m{i} GROUP BY cluster)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN n{i} n ON n.cluster = c.c)")
+    sums = "CAST(sum(distance) OVER (PARTITION BY cluster) AS bigint) AS cluster_inertia, CAST(sum(distance) OVER () AS bigint) AS inertia"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, cluster, distance, {sums}, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.c = cluster"
+
+
 ORACLES: dict[str, str] = {
     "op4_line_rules": OP4,
     "op5_license_scan": _license_sql(),
@@ -157,4 +177,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op9_suffix_dedup": OP9,
     "op10_ngram_jaccard_join": OP10,
+    "op12_centroid_clusters": _centroid_sql(),
 }

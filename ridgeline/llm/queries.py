@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import language_crf, packing
+from ridgeline.llm.centroids import centroid_clusters
 from ridgeline.llm.common import read_table, word_count
 from ridgeline.llm.gif_media import read_media, store_texts
 from ridgeline.llm.license_scan import license_scan
 from ridgeline.llm.line_rules import line_rules
 from ridgeline.llm.mixing import entropy_mix
 from ridgeline.llm.ngram_join import ngram_jaccard_join
+from ridgeline.llm.personal_data import find_personal_data
+from ridgeline.llm.repair import damaged_and_repaired
 from ridgeline.llm.sharding import stratified_shards
 from ridgeline.llm.substring_dedup import substring_dedup
 from ridgeline.llm.suffix_dedup import suffix_dedup
@@ -96,6 +99,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "class_id", F.col("links").alias("n_links"), "copy_of", F.col("copies").alias("n_copies"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = damaged_and_repaired(read_table(spark, sf_dir, "conversations"))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters(read_table(spark, sf_dir, "embeddings"))
+    text = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(F.col("vec").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(text, 256).alias("centroid_sha256"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_crf, op2_gif_media, op3_mixture_packing, op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_language_crf, op2_gif_media, op3_mixture_packing, op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join, op11_conversation_repair, op12_centroid_clusters, op13_personal_data)
 }
