@@ -22,6 +22,7 @@ Groups come from repeated min-label steps with pointer jumping, each written to
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +56,13 @@ def choose_bands(threshold: float, recall: float, max_rows: int = 8) -> tuple[in
 def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram codes of each row. A text of 1 to n - 1 words is one n-gram; without words, none."""
     codes, _, _, by_row = units.words(data, offsets)
-    prefix = units.prefix_sums(codes)
+    windows = units.Windows(codes)
+    grams = windows.every(n) if len(codes) >= n else codes[:0]
     for a, b in zip(by_row[:-1], by_row[1:]):
-        if a == b:
-            yield np.zeros(0, _U)
-            continue
-        start = np.arange(a, max(a + 1, b - n + 1))
-        yield np.unique(units.fingerprints(prefix, start, np.minimum(start + n, b)))
+        if b - a >= n:
+            yield np.unique(grams[a : b - n + 1])
+        else:
+            yield windows.between(np.array([a]), np.array([b])) if b > a else np.zeros(0, _U)
 
 
 def _constants(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +117,16 @@ def _sketches(n: int, bands: int, rows: int):
 
 
 def _sets(n: int):
-    """The sets of texts whose digest is the one asked for (``mark``, by which they came, is 64 bits only)."""
+    """The sets of texts whose digest is the one asked for (``mark``, by which they came, is 64 bits only).
+    Of the repeated rows of a task, one is cut into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[int] = set()
         for batch in batches:
+            ids, seen = batch.column("id").to_pylist(), set()
+            several = {x for x, k in Counter(ids).items() if k > 1}
+            fresh = [i for i, x in enumerate(ids) if x not in found and (x not in several or not ((y := (x, batch.column("text")[i].as_py())) in seen or seen.add(y)))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             for at, data, offsets in units.slices(batch.column("text")):
                 sets = list(ngram_sets(data, offsets, n))
                 wanted = [np.asarray(batch.column(c).slice(at, len(sets))) for c in ("digest", "digest2", "size")]
@@ -128,6 +135,7 @@ def _sets(n: int):
                     good &= x == y
                 pick = np.flatnonzero(good)
                 ids = np.asarray(batch.column("id").slice(at, len(sets)))[pick]
+                found.update(ids.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([sets[i].tobytes() for i in pick], pa.binary())], names=["id", "grams"])
 
     return run
@@ -227,7 +235,7 @@ def _roots(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(doc, group): the least node of each connected component of edges (a, b), a != b.
 
     Each round, every node's parent becomes the least label seen across its edges, then that parent's
@@ -235,7 +243,7 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("group")).withColumnRenamed("a", "doc"), "labels")
-    for _ in range(max_rounds):
+    while True:  # labels only sink, and a round that changes none is the last
         seen = both.join(label, both["b"] == label["doc"]).groupBy("a").agg(F.min("group").alias("seen"))
         low = label.join(seen, label["doc"] == seen["a"]).select("doc", "group", F.least("group", "seen").alias("low"))
         parent = label.select(F.col("doc").alias("low"), F.col("group").alias("jump"))
@@ -244,7 +252,6 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         label = new.select("doc", F.col("new").alias("group"))
         if not new.where("new <> old").take(1):
             return label
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def _cores(met: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:

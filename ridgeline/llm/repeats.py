@@ -9,9 +9,10 @@
    single windows compared, one row a distinct span.
 
 No pair of documents is ever formed. A document is identified by its key and a hash of its text:
-documents of different keys never meet, whatever their hashes. Spans and windows are equal if both
-the fingerprint of their anchor and that of their own units are, 128 bits in all, of which the second
-64 only ever decide between spans of one anchor.
+documents of different keys never meet, whatever their hashes. Equal rows are one document with a
+number of copies: their text is searched once, so they cost no more than their number. Spans and
+windows are equal if both the 64-bit fingerprint of their anchor and the 64-bit one of their own
+units are. Words take part by 64-bit hashes, which are mixed in steps of eight bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ NO_KEY = -(2**63)
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return units.BYTE_CODES[data], offsets
+    return data, offsets
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +56,7 @@ def span_rows(rows: DataFrame, to_units: Callable, window: int, seed: int) -> Da
             row_id, doc = np.asarray(batch.column("row")), np.asarray(batch.column("doc").fill_null(NO_KEY))
             for at, data, offsets in units.slices(batch.column("text")):
                 codes, by_row = to_units(data, offsets)
-                for row, anchor, kind, first, count in units.spans(units.prefix_sums(codes), by_row, window, seed):
+                for row, anchor, kind, first, count in units.spans(codes, by_row, window, seed):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(row_id[at + row]), pa.array(doc[at + row]), pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))],
                         schema=_SPAN,
@@ -85,8 +86,20 @@ def span_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, stored(kinds, "span-kinds")
 
 
+def one_each(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, each document once; the (row, owner) that stand in several rows, stored, or None where none do)."""
+    twins = stored(rows.groupBy("row", "owner").agg(F.count("*").alias("n")).where("n > 1").select("row", "owner"), "repeated-rows")
+    if not twins.take(1):
+        return rows, None
+    plain = ["row", "owner", "doc", "text"]
+    again = rows.select(*plain).join(twins, ["row", "owner"], "left_semi").groupBy("row", "owner").agg(F.first("doc").alias("doc"), F.first("text").alias("text"))
+    again = stored(again.select(*plain), "repeated-texts")
+    return rows.select(*plain).join(twins, ["row", "owner"], "left_anti").unionByName(again), twins
+
+
 def _lists(rows: DataFrame, value: str | Column, name: str) -> DataFrame:
-    """Lists by document of a table with row and doc (``NO_KEY`` for null); a document bounds its list."""
+    """Lists by document of a table with row and doc (``NO_KEY`` for null), made of documents that stand once;
+    so a document's text bounds its list."""
     return rows.groupBy("row", F.col("doc").alias("owner")).agg(F.collect_list(value).alias(name))
 
 

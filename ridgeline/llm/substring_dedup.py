@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.cluster import stored
 from ridgeline.llm import units
-from ridgeline.llm.repeats import keyed, repeated_spans, span_classes, with_ranges, with_spans, word_units
+from ridgeline.llm.repeats import keyed, one_each, repeated_spans, span_classes, with_ranges, with_spans, word_units
 
 WINDOW = 35
 SEED = 6
@@ -30,12 +30,12 @@ def _single_windows(window: int):
             row_id, doc, lists = np.asarray(batch.column("row")), np.asarray(batch.column("owner")), batch.column("spans")
             for at, data, offsets in units.slices(batch.column("text")):
                 codes, by_row = word_units(data, offsets)
-                prefix = units.prefix_sums(codes)
+                windows = units.Windows(codes)
                 for i in range(len(offsets) - 1):
                     spans = lists[at + i].values
                     first, count, copies, anchor = (np.asarray(spans.field(x), np.int64) for x in ("first", "count", "copies", "anchor"))
                     starts = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                    code = units.fingerprints(prefix, by_row[i] + starts, by_row[i] + starts + window)
+                    code = windows.between(by_row[i] + starts, by_row[i] + starts + window)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(len(starts), row_id[at + i])),
@@ -60,8 +60,7 @@ def repeated_word_ranges(rows: DataFrame, window: int = WINDOW, seed: int = SEED
     edges = classes.join(kinds, "anchor").select("at.row", "at.doc", F.struct("at.first", "at.count", "copies", "anchor").alias("span"))
     windows = with_spans(rows, edges).mapInArrow(_single_windows(window), "row long, doc long, first int, anchor long, code long, copies long")
     windows = stored(windows, "single-windows")
-    # a window of a span without copies is repeated if another distinct span holds it; repeated
-    # rows have copies of every span, so counting them twice decides nothing here
+    # a window of a span without copies is repeated if another distinct span holds it
     again = windows.groupBy("anchor", "code").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "code")
     single = windows.where("copies = 1").join(again, ["anchor", "code"], "left_semi").select("row", "doc", "first", F.lit(1).alias("count"))
     return whole.unionByName(single)
@@ -103,6 +102,11 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if taken := {"doc", "row", "owner", "ranges", "n_words", "n_removed", "kept_text"} & set(also):
         raise ValueError(f"columns named as results can't be carried along: {sorted(taken)}")
     rows = keyed(docs, key, text, also)
+    once, twins = one_each(rows)
+    ranges = repeated_word_ranges(once, window, seed)
+    if twins is not None:  # all windows of a repeated row start elsewhere
+        every = twins.select("row", F.col("owner").alias("doc"), F.lit(0).alias("first"), F.lit(2**31 - 1).alias("count"))
+        ranges = ranges.join(twins.withColumnRenamed("owner", "doc"), ["row", "doc"], "left_anti").unionByName(every)
     extra = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in also)
-    return with_ranges(rows, repeated_word_ranges(rows, window, seed)).mapInArrow(_cut(window, also), f"doc long, n_words long, n_removed long, kept_text string{extra}")
+    return with_ranges(rows, ranges).mapInArrow(_cut(window, also), f"doc long, n_words long, n_removed long, kept_text string{extra}")
 

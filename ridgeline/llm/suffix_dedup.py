@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import units
 from ridgeline.llm.common import by_bytes
-from ridgeline.llm.repeats import NO_KEY, byte_units, keyed, repeated_spans, span_classes, with_ranges, with_spans
+from ridgeline.llm.repeats import NO_KEY, byte_units, keyed, one_each, repeated_spans, span_classes, with_ranges, with_spans
 
 WINDOW = 100
 SEED = 48
@@ -265,9 +265,10 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     neither makes the other go. A null key comes before all others. Null text counts as empty; texts
     below a window are kept whole. Columns besides key and text are ignored, whatever their names.
     Remaining bytes can split a character, so they are binary. An empty table gives an empty table.
-    A text is held whole in its task and has fewer than 2**28 bytes.
+    A text is held whole in its task.
     """
     if not 1 <= seed <= window or window < PERIOD + DEPTH:
         raise ValueError(f"a window has {PERIOD + DEPTH} bytes or more and a seed at most as many")
     rows = keyed(docs, key, text)
-    return with_ranges(rows, repeated_byte_ranges(rows, window, seed, block_spans)).mapInArrow(_cut(window), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    once, _ = one_each(rows)
+    return with_ranges(rows, repeated_byte_ranges(once, window, seed, block_spans)).mapInArrow(_cut(window), "doc long, n_bytes long, n_removed long, n_spans long, kept binary")

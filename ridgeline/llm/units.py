@@ -7,6 +7,7 @@ holds more than one slice (or one document, if that is longer) in expanded form.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,26 +15,20 @@ import pyarrow as pa
 #: Bytes of text that are expanded at a time.
 SLICE = 1 << 18
 
+#: Starts of windows that are hashed and winnowed at a time; longer texts are cut there.
+CHUNK = 1 << 20
+
+#: Bytes of a word that are hashed in step with those of all others; longer words by BLAKE2b.
+WORD_BYTES = 64
+
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**64, 256, dtype=_U) | _U(1)
-BASE = _U(0x9E3779B97F4A7C15)
-BASE_INVERSE = _U(pow(int(BASE), -1, 2**64))
 #: ASCII white space, which separates words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = {BASE: np.ones(1, _U), BASE_INVERSE: np.ones(1, _U)}
-
-
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    known = _powers[base]
-    if len(known) < n:
-        known = np.full(max(n, 2 * len(known)), base, _U)
-        known[0] = 1
-        known = np.multiply.accumulate(known)
-        _powers[base] = known
-    return known[:n]
+#: By number of bytes: the bits of a little-endian 8-byte word that they fill.
+_FILLED = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -71,34 +66,80 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     by_row = np.searchsorted(start, offsets)
     if not len(start):
         return np.zeros(0, _U), start, end, by_row
+    return _word_codes(data, start, end), start, end, by_row
+
+
+def _word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: eight bytes a step, each step mixed with all before (no sum, no product of places)."""
     length = end - start
-    at = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(at, length)
-    values = BYTE_CODES[data[inside]] * powers(BASE, int(length.max()))[place]
-    return mix(np.add.reduceat(values, at) + length.astype(_U)), start, end, by_row
+    codes = mix(length.astype(_U) * _U(0xD6E8FEB86659FD93))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    own = np.flatnonzero(length <= WORD_BYTES)
+    for at in range(0, WORD_BYTES, 8):
+        own = own[length[own] > at]
+        if not len(own):
+            break
+        chunk = np.ascontiguousarray(eight[start[own] + at]).view("<u8").ravel() & _FILLED[np.minimum(length[own] - at, 8)]
+        codes[own] = mix((codes[own] ^ chunk) + _U(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(length > WORD_BYTES):
+        codes[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return codes
+
+
+class Windows:
+    """64-bit fingerprints of windows of units: equal for equal windows, wherever they stand.
+
+    A window of 2**k units is a mix of its two halves, any other one a mix of the two longest such
+    windows that begin and end it, and of its length. Every step is non-linear, so no two sequences
+    cancel out as they can in sums over powers of a base. Levels of other sizes than those asked for
+    are not kept.
+    """
 
+    def __init__(self, codes: np.ndarray):
+        self.codes, self._levels = codes, {0: codes}
 
-def prefix_sums(codes: np.ndarray) -> np.ndarray:
-    """Prefix sums from which ``fingerprints`` takes the code of any window."""
-    out = np.zeros(len(codes) + 1, _U)
-    np.cumsum(codes * powers(BASE, len(codes)), out=out[1:])
-    return out
+    def _level(self, k: int) -> np.ndarray:
+        """Fingerprints of all windows of 2**k units, by start."""
+        if k not in self._levels:
+            below = max(i for i in self._levels if i < k)
+            found = self._levels[below]
+            for i in range(below, k):
+                found = _joined(found[: -(1 << i)], found[1 << i :]) if len(found) > 1 << i else found[:0]
+            self._levels[k] = found
+        return self._levels[k]
 
+    def every(self, size: int) -> np.ndarray:
+        """Fingerprints of all windows of ``size`` units, by start."""
+        k, n = size.bit_length() - 1, len(self.codes) - size + 1
+        level = self._level(k)
+        return _closed(level[:n], level[size - (1 << k) :][:n], np.array([size], _U))
 
-def fingerprints(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of the units [start, end): equal for equal windows, wherever they stand."""
-    raw = (prefix[end] - prefix[start]) * powers(BASE_INVERSE, len(prefix))[start]
-    return mix(raw + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of the windows [start, end), which may not be empty."""
+        size = end - start
+        k = np.frexp(size.astype(float))[1] - 1
+        out = np.empty(len(start), _U)
+        for one in np.unique(k):
+            own = np.flatnonzero(k == one)
+            level = self._level(int(one))
+            out[own] = _closed(level[start[own]], level[end[own] - (1 << int(one))], size[own].astype(_U))
+        return out
 
 
-#: Bits of an anchor's place in a slice; the rest order the seeds.
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _U(0x9E3779B97F4A7C15) + b)
+
+
+def _closed(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(_joined(a, b) ^ (size * _U(0xD6E8FEB86659FD93)))
+
+
+#: Bits of an anchor's place in a chunk; the rest order the seeds.
 _PLACE = _U(28)
 
 
 def winnow(seeds: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` seeds, the place of its least one, the leftmost of equals."""
-    if len(seeds) >= 1 << int(_PLACE):
-        raise ValueError("a text of over 2**28 units")
+    """For each run of ``width`` seeds (at most 2**28 in all), the place of its least one, the leftmost of equals."""
     keys = (seeds >> _PLACE << _PLACE) | np.arange(len(seeds), dtype=_U)
     done, n = 1, len(keys)
     while done < width:
@@ -108,35 +149,32 @@ def winnow(seeds: np.ndarray, width: int) -> np.ndarray:
     return (keys & _U((1 << int(_PLACE)) - 1)).astype(np.int64)
 
 
-def spans(prefix: np.ndarray, by_row: np.ndarray, window: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
+def spans(codes: np.ndarray, by_row: np.ndarray, window: int, seed: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Winnowed anchors of every row, each extended both ways to all windows that chose it.
 
-    One tuple: row, anchor fingerprint, class (of the span's units and the anchor's place in them),
+    Tuples: row, anchor fingerprint, class (of the span's units and the anchor's place in them),
     first window (in the row), number of windows. Equal windows choose anchors at the same place in
-    them, so equal windows are always found under one anchor fingerprint.
+    them, so equal windows are always found under one anchor fingerprint. ``codes`` are hashes of
+    units, or bytes. A span ends where a chunk of ``CHUNK`` windows does, which makes two of it.
     """
-    total = len(prefix) - 1
-    if total < window:
-        return
-    at = np.arange(total - seed + 1)
-    codes = fingerprints(prefix, at, at + seed)
-    chosen = winnow(codes, window - seed + 1)  # by window start, over the whole slice
-    sizes = np.diff(by_row) - window + 1
-    rows = np.flatnonzero(sizes > 0)
-    if not len(rows):
-        return
-    first = by_row[rows]
-    # starts of windows that lie within one row
-    count = sizes[rows]
-    own = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    anchor, row = chosen[own], np.repeat(rows, count)
-    new = np.ones(len(own), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(new)
-    length = np.diff(np.append(begin, len(own)))
-    start, anchor, row = own[begin], anchor[begin], row[begin]
-    content = fingerprints(prefix, start, start + length - 1 + window)
-    yield row, codes[anchor], mix(content + (anchor - start).astype(_U)), start - by_row[row], length
+    for low in range(0, len(codes) - window + 1, CHUNK):
+        part = codes[low : low + CHUNK + window - 1]
+        windows = Windows(BYTE_CODES[part] if part.dtype == np.uint8 else part)
+        seeds = windows.every(seed)
+        chosen = winnow(seeds, window - seed + 1)  # by window start
+        starts = np.arange(len(chosen))
+        row = np.searchsorted(by_row, low + starts, "right") - 1
+        own = starts[low + starts + window <= by_row[row + 1]]  # windows within one row
+        if not len(own):
+            continue
+        anchor, row = chosen[own], row[own]
+        new = np.ones(len(own), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        length = np.diff(np.append(begin, len(own)))
+        start, anchor, row = own[begin], anchor[begin], row[begin]
+        content = windows.between(start, start + length - 1 + window)
+        yield row, seeds[anchor], mix(content + (anchor - start).astype(_U)), low + start - by_row[row], length
 
 
 def covered(ranges: pa.ListArray, by_row: np.ndarray, window: int) -> np.ndarray:
@@ -149,6 +187,8 @@ def covered(ranges: pa.ListArray, by_row: np.ndarray, window: int) -> np.ndarray
     values = ranges.flatten()
     first, count = (np.asarray(values.field(k), np.int64) for k in (0, 1))
     row = np.repeat(np.arange(len(per)), per)
+    long = by_row[row + 1] - by_row[row] >= window  # a shorter row has no window
+    row, first, count = row[long], first[long], count[long]
     start = by_row[row] + first
     end = np.minimum(by_row[row + 1], start + count - 1 + window)
     change = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)

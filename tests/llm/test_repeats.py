@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from ridgeline.llm import repeats, units
 from ridgeline.llm import suffix_dedup as sd
 from ridgeline.llm.ngram_join import choose_bands, ngram_jaccard_join
 from ridgeline.llm.substring_dedup import substring_dedup
@@ -151,6 +152,81 @@ def result_null_safe(df):
     return [(r["doc"], r["copy_of"], r["copies"], r["links"], r["class_id"]) for r in df.collect()]
 
 
+def morse(n):
+    """The Thue-Morse word of 2**n letters and its complement: sums over powers of an odd base can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(2**n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [5, 10, 11])
+def test_long_words_differ(spark, n):
+    """Twenty shared words on both sides of words that only differ in all their letters: no window is shared."""
+    one, other = morse(n)
+    left, right = [f"l{i}" for i in range(20)], [f"r{i}" for i in range(20)]
+    rows = [(1, " ".join([*left, one, *right])), (2, " ".join([*left, other, *right]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(df).collect())
+    assert found == brute_words(rows, 35) and [x[2] for x in found] == [0, 0]
+    assert result(ngram_jaccard_join(df)) == brute_join(rows)
+
+
+def test_windows_of_two_words_in_turn(spark):
+    """Windows and spans over two words, or two bytes, in Thue-Morse order."""
+    one, other = (" ".join(x) for x in morse(11))
+    rows = [(1, one), (2, other), (3, "x " + one[:300]), (4, morse(10)[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(df).collect()) == brute_words(rows, 35)
+    assert sorted((r["doc"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup(df).collect()) == brute_bytes(rows, 100)
+
+
+def test_fingerprints_tell_windows_apart():
+    rng = np.random.default_rng(3)
+    codes = units.BYTE_CODES[np.concatenate([[int(c) for c in morse(9)[0].replace("a", "0").replace("b", "1")], rng.integers(0, 3, 700)])]
+    raw, windows = codes.tobytes(), units.Windows(codes)
+    for size in (1, 2, 3, 5, 31, 32, 48, 100, 257):
+        found = defaultdict(set)
+        for i, code in enumerate(windows.every(size).tolist()):
+            found[raw[8 * i : 8 * (i + size)]].add(code)
+        assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found)
+        start = np.arange(len(codes) - size + 1)
+        assert (windows.between(start, start + size) == windows.every(size)).all()
+
+
+@pytest.mark.parametrize("copies", [3, 5000])
+def test_many_equal_rows(spark, copies):
+    """Equal rows cost in proportion to their number: a document's spans are listed once."""
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 120))
+    rows = [(1, text)] * copies + [(0, text[100:]), (2, " ".join(text.split()[40:80])), (None, text), (None, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    words = Counter((r["doc"], r["n_words"], r["n_removed"]) for r in substring_dedup(df).collect())
+    assert words == Counter({(1, 120, 120): copies, (0, len(text[100:].split()), len(text[100:].split()) - (text[99] != " ")): 1, (2, 40, 40): 1, (None, 120, 120): 2})
+    once = [(d if d is not None else -1, t) for d, t in dict.fromkeys(rows)]
+    want = {d: x[1:] for d, *x in ((r[0], *r) for r in brute_bytes(once, 100))}
+    found = Counter((r["doc"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup(df).collect())
+    assert found == Counter({(d if d >= 0 else None, *want[d][:2]): (copies if d == 1 else 2 if d < 0 else 1) for d in want})
+    keyed = repeats.keyed(df, "doc_id", "text")
+    once, twins = repeats.one_each(keyed)
+    assert once.count() == 4 and twins.count() == 2
+    joined = ngram_jaccard_join(df).where("doc = 1")
+    assert {(r["copies"], r["copy_of"]) for r in joined.collect()} == {(copies + 2, 1)}
+
+
+def test_chunks_of_a_long_text(spark, monkeypatch):
+    """Texts are cut into chunks of windows; no window is lost or found twice."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abc "), n)) for n in (900, 400, 50, 0)]
+    texts += [texts[0][200:700] + texts[1][:200], texts[0][:333]]
+    for chunk in (7, 64, 1 << 20):
+        monkeypatch.setattr(units, "CHUNK", chunk)
+        found = []
+        for to_units, window in ((repeats.byte_units, 20), (repeats.word_units, 6)):
+            data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            codes, by_row = to_units(data, offsets)
+            starts = sorted((int(r), int(f) + i) for row, _, _, first, count in units.spans(codes, by_row, window, 4) for r, f, c in zip(row, first, count) for i in range(c))
+            assert starts == [(r, i) for r in range(len(texts)) for i in range(int(by_row[r + 1] - by_row[r]) - window + 1)]
+
+
 def test_banding_meets_its_recall():
     for threshold, recall in ((0.8, 0.995), (0.9, 0.99), (0.5, 0.9)):
         bands, rows = choose_bands(threshold, recall)
