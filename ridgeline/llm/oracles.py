@@ -19,26 +19,33 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-OP4 = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_words('text')} AS words FROM documents),
+def _line_sql(table: str, key: str, host: str, text: str, share: str, columns: str) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, {key} AS key, {host} AS host, coalesce({text}, '') AS text, {_words(text)} AS words FROM {table}),
 w AS (SELECT r, unnest(range(1, len(words) - 1)) AS p, words FROM d WHERE len(words) >= 3),
 g AS (SELECT r, p, count(*) OVER (PARTITION BY r, words[p], words[p + 1], words[p + 2]) AS n FROM w),
 c AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM g WHERE n > 1) GROUP BY r),
-l AS (SELECT r, source, line, len(own) AS n, lower(regexp_replace(array_to_string(own, ' '), '[0-9]', '0', 'g')) AS norm
-      FROM (SELECT r, source, line, {_words('line')} AS own FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)) WHERE len(own) > 0),
-h AS (SELECT source, count(*) AS host_n FROM d GROUP BY source),
-o AS (SELECT l.source, l.norm FROM l JOIN h ON h.source IS NOT DISTINCT FROM l.source GROUP BY l.source, l.norm, h.host_n HAVING count(DISTINCT l.r) > least(greatest(20e0, 0.005e0 * h.host_n), 10000e0)),
-x AS (SELECT l.r, sum(l.n) AS removed FROM l JOIN o ON o.source IS NOT DISTINCT FROM l.source AND o.norm = l.norm GROUP BY l.r),
+a AS (SELECT r, host, line, k, len(own) AS n, lower(regexp_replace(array_to_string(own, ' '), '[0-9]', '0', 'g')) AS norm
+      FROM (SELECT r, host, line, k, {_words('line')} AS own FROM (SELECT r, host, unnest(u) AS line, generate_subscripts(u, 1) AS k FROM (SELECT r, host, string_split(text, chr(10)) AS u FROM d)))),
+l AS (SELECT * FROM a WHERE n > 0),
+h AS (SELECT host, count(*) AS host_n FROM d GROUP BY host),
+o AS (SELECT l.host, l.norm FROM l JOIN h ON h.host IS NOT DISTINCT FROM l.host GROUP BY l.host, l.norm, h.host_n HAVING count(DISTINCT l.r) > least(greatest(20e0, 0.005e0 * h.host_n), 10000e0)),
+x AS (SELECT l.r, sum(l.n) AS removed FROM l JOIN o ON o.host IS NOT DISTINCT FROM l.host AND o.norm = l.norm GROUP BY l.r),
+t AS (SELECT a.r, string_agg(a.line, chr(10) ORDER BY a.k) AS kept_text FROM a LEFT JOIN o ON o.host IS NOT DISTINCT FROM a.host AND o.norm = a.norm AND a.n > 0 WHERE o.norm IS NULL GROUP BY a.r),
 y AS (SELECT r, count(*) - count(DISTINCT line) AS dups FROM l GROUP BY r),
-z AS (SELECT d.doc_id, CAST(len(words) AS bigint) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda v: length(v))), 0) AS bigint) AS word_chars,
+z AS (SELECT d.key AS {key}, d.host AS site, CAST(len(words) AS bigint) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda v: length(v))), 0) AS bigint) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols, CAST(coalesce(y.dups, 0) AS bigint) AS n_dup_lines,
-        CAST(coalesce(c.n_repeat_words, 0) AS bigint) AS n_repeat_words, CAST(coalesce(x.removed, 0) AS bigint) AS removed_words
-      FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN x ON x.r = d.r LEFT JOIN y ON y.r = d.r)
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5e0 * n_words AS kept FROM z
+        CAST(coalesce(c.n_repeat_words, 0) AS bigint) AS n_repeat_words, CAST(coalesce(x.removed, 0) AS bigint) AS removed_words, sha256(coalesce(t.kept_text, '')) AS kept_sha256
+      FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN x ON x.r = d.r LEFT JOIN y ON y.r = d.r LEFT JOIN t ON t.r = d.r)
+SELECT {key}, {columns}, removed_words, kept_sha256, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= {share} * n_words AS kept FROM z
 """
 
 
+OP4 = _line_sql("documents", "doc_id", "source", "text", "0.5e0", "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words")
+PAGE_LINES = _line_sql("pages", "page_id", "array_to_string(string_split(split_part(url, '/', 3), '.')[-2:], '.')", "replace(html, '>', '>' || chr(10))", "0.85e0", "site, n_words")
+
+
 def _license_sql() -> str:
     sets = {name: b for name, t in sorted(license_scan.TEMPLATES.items()) if (b := license_scan.bigrams(t))}
     rows = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, b))}])" for name, b in sets.items())
@@ -177,5 +184,6 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": OP8,
     "op9_suffix_dedup": OP9,
     "op10_ngram_jaccard_join": OP10,
+    "page_line_rules": PAGE_LINES,
     "op12_centroid_clusters": _centroid_sql(),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import language_crf, packing
@@ -64,7 +64,20 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", kept_hash().alias("kept_sha256"))
+
+
+def kept_hash() -> Column:
+    return F.sha2(F.coalesce("kept_text", F.lit("")), 256)
+
+
+def page_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line rules over raw pages, one tag a line, by registered domain: markup that a site repeats goes, and
+    pages of which less than 0.85 is left are template."""
+    domain = F.element_at(F.split("url", "/"), 3)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.substring_index(domain, ".", -2).alias("site"), F.replace(F.col("html"), F.lit(">"), F.lit(">\n")).alias("text"))
+    found = line_rules(pages, "page_id", "site", min_kept_share=0.85)
+    return found.select("page_id", "site", "n_words", "removed_words", "base_failed", "kept", kept_hash().alias("kept_sha256"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,5 +129,5 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_crf, op2_gif_media, op3_mixture_packing, op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join, op11_conversation_repair, op12_centroid_clusters, op13_personal_data)
+    f.__name__: f for f in (op1_language_crf, op2_gif_media, op3_mixture_packing, op4_line_rules, op5_license_scan, op6_entropy_mix, op7_stratified_shards, op8_substring_dedup, op9_suffix_dedup, op10_ngram_jaccard_join, op11_conversation_repair, op12_centroid_clusters, op13_personal_data, page_line_rules)
 }

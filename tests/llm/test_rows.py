@@ -239,16 +239,18 @@ def brute_rules(rows, min_documents=20, max_share=0.005, max_documents=10_000):
         lines = [x for x in text.split("\n") if WORDS(x)]
         removed = sum(len(WORDS(x)) for x in lines if len(holders[r["source"], normal(x)]) > min(max(min_documents, max_share * hosts[r["source"]]), max_documents))
         failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
-        out.append((r["doc_id"], len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed, not failed and len(words) - removed >= 0.5 * len(words), removed))
-    return sorted(out)
+        over = lambda x: bool(WORDS(x)) and len(holders[r["source"], normal(x)]) > min(max(min_documents, max_share * hosts[r["source"]]), max_documents)
+        left = None if r["text"] is None else "\n".join(x for x in text.split("\n") if not over(x))
+        out.append((r["doc_id"], len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed, not failed and len(words) - removed >= 0.5 * len(words), removed, left))
+    return sorted(out, key=repr)
 
 
-COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "kept_text")
 
 
 @pytest.mark.parametrize("limits", [{}, {"min_documents": 2, "max_share": 0.1}, {"min_documents": 2, "max_share": 0.5, "max_documents": 4}])
 def test_line_rules(docs, limits):
-    assert sorted(tuple(r[c] for c in COLUMNS) for r in line_rules(docs, **limits).collect()) == brute_rules(docs.collect(), **limits)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in line_rules(docs, **limits).collect()), key=repr) == brute_rules(docs.collect(), **limits)
 
 
 def test_common_lines_are_removed(spark):
@@ -256,6 +258,7 @@ def test_common_lines_are_removed(spark):
     letters = lambda k: "".join("abcdefghij"[int(x)] for x in str(k))
     rows = [(i, f"{shared}\n" + " ".join(f"{letters(i)}x{letters(j)}" for j in range(60 if i % 2 else 5)) + f"\n{shared.upper()}", "h") for i in range(60)]
     found = line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=5).collect()
+    assert all(shared.lower() not in r["kept_text"].lower() and r["kept_text"].count("x") in (5, 60) for r in found)
     assert {r["removed_words"] for r in found} == {10} and all(r["kept"] == bool(r["doc_id"] % 2) for r in found)
 
 
@@ -355,8 +358,9 @@ def test_pipeline(spark, sample, tmp_path):
         kept[name] = docs
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == sample.columns
-    rules = {r[0] for r in brute_rules(sample.collect()) if r[7]}
-    assert {r["doc_id"] for r in kept["quality rules"].collect()} == rules
+    rules = {r[0]: r[9] for r in brute_rules(sample.collect()) if r[7]}
+    assert {r["doc_id"]: r["text"] for r in kept["quality rules"].collect()} == rules
+    assert all(r["n_chars"] == len(r["text"]) for r in kept["quality rules"].collect())
     from tests.llm.test_repeats import brute_join, brute_words
 
     left = [(r["doc_id"], r["text"]) for r in kept["quality rules"].collect()]
