@@ -38,11 +38,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted of their own lines go. Null and empty texts fail."""
+    """Lines that too many documents of their source hold are cut out; documents that fail the base rules, or
+    keep under half of their words, go. Null and empty texts fail. ``n_chars`` follows where a text changes."""
     ship_package(spark)
-    docs = _identified(docs)
-    rejected = line_rules(docs, key="_row").where("NOT kept").select("_row")
-    return _documents(docs.join(rejected, "_row", "left_anti"))
+    kept = line_rules(_documents(docs), also=("lang", "n_chars")).where("kept")
+    n_chars = F.when(F.col("removed_words") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return _documents(kept.withColumn("n_chars", n_chars).withColumnRenamed("kept_text", "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
