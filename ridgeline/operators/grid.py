@@ -64,3 +64,29 @@ def spread(shapes: DataFrame, box: tuple[Column, Column, Column, Column], metres
     names = ("_south", "_west", "_north", "_east")
     grown = shapes.withColumns(dict(zip(names, widened(*box, metres))))
     return grown.withColumn(out, F.explode(cover(*map(F.col, names), degrees))).drop(*names)
+
+
+def line_spread(lines: DataFrame, line: tuple[str, str, str, str], metres: float, degrees: float, out: str = "_cell") -> DataFrame:
+    """A row for each cell within ``metres`` of a row's line (columns lat1, lng1, lat2, lng2), each once.
+
+    In each row of cells only the stretch of the line that comes within reach of the row counts, so a
+    slanting line lies in the cells along it, not in all of its box. Lines are straight in degrees and
+    don't cross the date line; cells do.
+    """
+    lat1, lng1, lat2, lng2 = map(F.col, line)
+    reach = num(height(metres))
+    south, north, least = F.least(lat1, lat2), F.greatest(lat1, lat2), F.least(lng1, lng2)
+    sideways = least - widened(south, least, north, least, metres)[1]
+    rows = F.sequence(F.floor(F.greatest(south - reach, num(-90)) / num(degrees)).cast("long"), F.floor(F.least(north + reach, num(90)) / num(degrees)).cast("long"))
+    by_row = lines.withColumn("_sideways", sideways).withColumn("_y", F.explode(rows))
+    # the stretch of the line, from 0 to 1, that lies in the row grown by the reach
+    at = lambda lat: F.least(num(1), F.greatest(num(0), (lat - lat1) / (lat2 - lat1)))
+    level = lat1 == lat2
+    one, other = (at(x) for x in (F.col("_y") * num(degrees) - reach, (F.col("_y") + 1) * num(degrees) + reach))
+    by_row = by_row.withColumns({"_a": F.when(level, num(0)).otherwise(one), "_b": F.when(level, num(1)).otherwise(other), "_around": _around(F.col("_y"), degrees)})
+    by_row = by_row.withColumns({"_p": lng1 + (lng2 - lng1) * F.col("_a"), "_q": lng1 + (lng2 - lng1) * F.col("_b")})
+    column = lambda lng: F.floor((lng + 180) * F.col("_around") / 360).cast("long")
+    ends = by_row.withColumns({"_low": column(F.least("_p", "_q") - F.col("_sideways")), "_high": column(F.greatest("_p", "_q") + F.col("_sideways"))})
+    found = ends.withColumn("_x", F.explode(F.sequence("_low", F.least(F.col("_high"), F.col("_low") + F.col("_around") - 1))))
+    cell_ = F.struct(F.col("_y").alias("y"), F.pmod("_x", "_around").alias("x"))
+    return found.withColumn(out, cell_).drop("_sideways", "_y", "_a", "_b", "_around", "_p", "_q", "_low", "_high", "_x")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import half_up, haversine_m, num, segment_distance_km
-from ridgeline.operators.graph import best_of, box_join
+from ridgeline.operators import grid
+from ridgeline.operators.graph import best_of
 
 # Cache limits.
-TTL_S, LEAST_TTL_S, MOST_TTL_S, MOST_CACHED = 600, 60, 86400, 30
+TTL_S, LEAST_TTL_S, MOST_TTL_S = 600, 60, 86400
 SEGMENTS, MOST_SEGMENTS = 10, 50
 #: Least side of the cells in which segments are found.
-SEGMENT_CELL_M = 1000.0
+SEGMENT_CELL_M = 150.0
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -67,18 +68,27 @@ def segment_distance(lat: Column, lng: Column, points: Column) -> Column:
 def nearby_segments(requests: DataFrame, segments: DataFrame, radius_km: float, limit: int | None = None, key: str = "request_id") -> DataFrame:
     """Each request's (key, lat, lng) segments within the radius, nearest first: ``segment_id``, ``km``, ``rank``.
 
-    segments: segment_id, geometry, of which the steps are joined. limit: 1 to 50, 10 by default.
+    segments: segment_id, geometry, of which the steps are joined. limit: 1 to 50, 10 by default. A step lies in
+    the cells along its line, grown by the radius, so a request meets few steps that are too far; distinct
+    places are answered once.
     """
     most = min(max(SEGMENTS if limit is None else limit, 1), MOST_SEGMENTS)
     points = F.col("geometry")
     inner = F.greatest(F.size(points) - 1, F.lit(1))  # a single point is a step to itself
     steps = F.zip_with(F.slice(points, F.lit(1), inner), F.slice(points, F.least(F.size(points), F.lit(2)), inner), lambda a, b: F.struct(a["lat"].alias("a"), a["lng"].alias("b"), b["lat"].alias("lat2"), b["lng"].alias("lng2")))
     pieces = segments.where(F.size("geometry") > 0).select("segment_id", F.inline(steps))
-    boxed = pieces.withColumns({"south": F.least("a", "lat2"), "north": F.greatest("a", "lat2"), "west": F.least("b", "lng2"), "east": F.greatest("b", "lng2")})
-    pairs = box_join(requests.select(key, "lat", "lng"), boxed, radius_km * 1000, max(radius_km * 1000, SEGMENT_CELL_M))
+    metres = radius_km * 1000
+    degrees = grid.height(max(metres, SEGMENT_CELL_M))
+    whole = pieces.where("a IS NOT NULL AND b IS NOT NULL AND lat2 IS NOT NULL AND lng2 IS NOT NULL")
+    placed = grid.line_spread(whole, ("a", "b", "lat2", "lng2"), metres, degrees)
+    places = requests.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct().withColumn("_cell", grid.cell(F.col("lat"), F.col("lng"), degrees))
+    reach = num(grid.height(metres))
+    level = F.col("lat").between(F.least("a", "lat2") - reach, F.greatest("a", "lat2") + reach)  # a cheap test before the distance
+    pairs = places.join(placed, "_cell").where(level)
     away = segment_distance_km(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"), F.col("lat2"), F.col("lng2"))
-    near = pairs.groupBy(key, "segment_id").agg(F.min(away).alias("km")).where(F.col("km") <= radius_km)
-    return best_of(near.withColumn("km", half_up(F.col("km"), 6)), Window.partitionBy(key).orderBy("km", "segment_id"), most)
+    near = pairs.withColumn("km", away).where(F.col("km") <= radius_km).groupBy("lat", "lng", "segment_id").agg(F.min("km").alias("km"))
+    best = best_of(near.withColumn("km", half_up(F.col("km"), 6)), Window.partitionBy("lat", "lng").orderBy("km", "segment_id"), most)
+    return requests.select(key, "lat", "lng").join(best, ["lat", "lng"]).select(key, "segment_id", "km", "rank")
 
 
 def of_activity(routes: DataFrame, wanted: str) -> DataFrame:

@@ -85,3 +85,17 @@ def normalize_segments(raw: DataFrame, activity: str) -> DataFrame:
             num(24).alias("crossings"),
         ).alias("signals"),
     )
+
+
+#: Activities that a call asks for.
+ACTIVITIES = ("running", "riding")
+
+
+def explore(answers: DataFrame, activity: str) -> DataFrame:
+    """Normalised segments of recorded answers (the columns of ``normalize_segments`` and ``activity``); "all" is the union of the calls for each activity."""
+    wanted = ACTIVITIES if activity == "all" else (activity,)
+    parts = [normalize_segments(answers.where(F.col("activity") == a).drop("activity"), a) for a in wanted]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
