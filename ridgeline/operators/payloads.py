@@ -59,27 +59,29 @@ def read_routes(payloads: DataFrame, column: str = "payload") -> DataFrame:
     Fields: id, source, name, activity, route_type (may be missing), distance_km, minutes, gain_m,
     geometry array<struct<lat, lng>>, saved_at (may be missing).
     """
-    v = F.try_parse_json(F.col(column))
+    # parsed text and points are columns of their own, so each row is parsed once
+    parsed = payloads.withColumn("_v", F.try_parse_json(F.col(column)))
+    is_list = F.coalesce(_kind(F.col("_v"), "$.geometry").startswith("ARRAY"), F.lit(False))
+    parsed = parsed.withColumn("_points", F.when(is_list, F.try_variant_get(F.col("_v"), "$.geometry", "array<variant>")))
+    v, points = F.col("_v"), F.col("_points")
     texts = {c: _text(v, f, c != "route_type") for c, f in (("id", "id"), ("source", "source"), ("name", "name"), ("activity", "activity"), ("route_type", "routeType"))}
     numbers = {c: _decimal(v, f) for c, f in (("distance_km", "distanceKm"), ("minutes", "estimatedDurationMin"), ("gain_m", "elevationGainM"))}
     saved, said = _kind(v, "$.savedAt"), F.try_variant_get(v, "$.savedAt", "string")
     time = F.try_to_timestamp(F.when((saved == "STRING") & said.rlike(INSTANT), said))
-    is_list = F.coalesce(_kind(v, "$.geometry").startswith("ARRAY"), F.lit(False))
-    points = F.when(is_list, F.try_variant_get(v, "$.geometry", "array<variant>"))
     errors = [
         _fail(v.isNull(), NO_JSON),
         _fail(~F.schema_of_variant(v).startswith("OBJECT"), NO_OBJECT),
         _fail(saved.isNotNull() & (saved != "VOID") & time.isNull(), NO_TIME),
         *[e for _, e in texts.values()],
         *[e for _, e in numbers.values()],
-        _fail(~is_list | (F.coalesce(F.size(points), F.lit(0)) < 2), FEW_POINTS),
+        _fail(points.isNull() | (F.size(points) < 2), FEW_POINTS),
         F.get(F.filter(F.transform(points, _point_error), lambda e: e.isNotNull()), F.lit(0)),
     ]
     place = lambda p: F.struct(F.try_variant_get(p, "$.lat", "double").alias("lat"), F.try_variant_get(p, "$.lng", "double").alias("lng"))
     fields = {c: x for c, (x, _) in texts.items()} | {c: x for c, (x, _) in numbers.items()} | {"geometry": F.transform(points, place), "saved_at": time}
     fields["minutes"] = fields["minutes"].cast("int")
-    found = payloads.withColumn("error", F.coalesce(*errors))
-    return found.withColumns({c: F.when(F.col("error").isNull(), x) for c, x in fields.items()})
+    found = parsed.withColumn("error", F.coalesce(*errors))
+    return found.withColumns({c: F.when(F.col("error").isNull(), x) for c, x in fields.items()}).drop("_v", "_points")
 
 
 def renamed(payload: Column, name: Column, notes: Column) -> Column:

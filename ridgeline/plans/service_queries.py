@@ -153,7 +153,7 @@ _OWN_ID = _ERROR.replace(_fails("id"), "")
 def saved_batches(spark, sf_dir):
     """Generated batches after a write that was repeated: one batch a request, with its candidates and envelope."""
     p, v = views(spark, sf_dir, "v_pref", "v_payload")
-    sound = read_routes(v).where("error IS NULL").select(C("user_id").alias("request_id"), "payload")
+    sound = stored(read_routes(v).where("error IS NULL").select(C("user_id").alias("request_id"), "payload"), "payloads")
     asked = p.select("request_id", F.to_json(F.struct("activity", "route_type")).alias("preferences"))
     folder = _folder(spark)
     sinks.commit(folder, "only", sinks.batch_tables(asked, sound))

@@ -160,9 +160,9 @@ def batch_tables(requests: DataFrame, candidates: DataFrame) -> dict[str, DataFr
     makes the whole write fail, as half a batch is none.
     """
     named = with_drawn(requests.select("request_id", "preferences"), "batch_id", lambda: str(uuid.uuid4()))
-    read = read_routes(candidates.select("request_id", "payload"))
-    sound = read.withColumn("id", F.when(F.col("error").isNull(), F.col("id")).otherwise(F.raise_error(F.col("error"))))
-    routes = stored(sound, "batch-candidates")
+    routes = stored(read_routes(candidates.select("request_id", "payload")), "batch-candidates")
+    if bad := routes.where("error IS NOT NULL").select("error").first():
+        raise ValueError(bad["error"])
     box = envelope(F.col("geometry"))
     boxes = routes.withColumn("box", box).groupBy("request_id").agg(F.count("*").alias("n"), F.min("box.west").alias("west"), F.min("box.south").alias("south"), F.max("box.east").alias("east"), F.max("box.north").alias("north"))
     whole = F.when(F.col("west").isNotNull(), F.struct("west", "south", "east", "north"))
@@ -179,12 +179,14 @@ def new_saved(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Payloads as rows to save, stored: ``id`` (the server's, saved- and a random UUID, in the payload too), the fields
     of ``read_routes``, ``error``, ``notes``. What a client calls a route repeats, so its id is never kept; a payload that
     breaks a rule has an error and no id."""
-    drawn = with_drawn(payloads, "new_id", lambda: f"saved-{uuid.uuid4()}")
-    members = F.variant_get(F.try_parse_json(F.col(column)), "$", "map<string,variant>")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("OBJECT"), F.lit(False))
+    drawn = with_drawn(payloads, "new_id", lambda: f"saved-{uuid.uuid4()}").withColumn("_v", F.try_parse_json(F.col(column)))
+    members = F.variant_get(F.col("_v"), "$", "map<string,variant>")
+    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     own = F.map_concat(F.map_filter(members, lambda k, _: k != "id"), F.create_map(F.lit("id"), F.col("new_id").cast("variant")))
-    found = read_routes(drawn.withColumn(column, F.when(is_object, F.to_json(own)).otherwise(F.col(column))), column)
-    return found.withColumn("notes", F.when(F.col("error").isNull(), F.get_json_object(column, "$.notes"))).drop("new_id")
+    renamed = stored(drawn.withColumn(column, F.when(is_object, F.to_json(own)).otherwise(F.col(column))).drop("_v"), "renamed")
+    found = read_routes(renamed, column)
+    found = found.withColumn("notes", F.when(F.col("error").isNull(), F.get_json_object(column, "$.notes"))).drop("new_id")
+    return stored(found, "saved-routes")
 
 
 def new_shares(asked: DataFrame, now: Column) -> DataFrame:
