@@ -71,7 +71,7 @@ def test_packing_by_weights(spark):
     """A target mixture other than the corpus' own: every window follows it until a queue is dry."""
     rows = [(i, f"word{i} " * 400, ["a", "b", None][i % 3]) for i in range(90)]
     tokens = document_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    pieces = packing.pack_mixture(tokens, {"a": 6, "b": 3, None: 1}, period=8).collect()
+    pieces = packing.pack_mixture(tokens, {"a": 6, "b": 3, None: 1}).collect()
     check_layout(pieces)
     source, totals = {i: s for i, _, s in rows}, Counter()
     per = defaultdict(Counter)
@@ -79,37 +79,87 @@ def test_packing_by_weights(spark):
         per[p["sequence_id"]][source[p["doc"]]] += p["length"]
         totals[source[p["doc"]]] += p["length"]
     dry = int(totals["a"] // (0.6 * packing.WINDOW))
-    for w in range(dry - 8):
+    for w in range(dry - 1):
         assert all(abs(per[w][s] - share * packing.WINDOW) <= 2 for s, share in (("a", 0.6), ("b", 0.3), (None, 0.1)))
     with pytest.raises(ValueError):
         packing.pack_mixture(tokens, {"a": 1})
 
 
+def placed(schedule, queue, start, end):
+    parts = list(schedule.place(np.array([queue]), np.array([start]), np.array([end])))
+    return [np.concatenate(x) for x in zip(*parts)][1:] if parts else [np.zeros(0, np.int64)] * 4
+
+
 def test_windows_follow_the_target_mixture():
     tokens, weights = [400_000, 150_000, 90_000], [5, 3, 2]
-    segments = packing.schedule(tokens, weights)
+    schedule = packing.Schedule(tokens, weights)
     per = np.zeros((2000, 3), int)
     for q, n in enumerate(tokens):
-        _, length, window, _ = packing.place(segments, q, 0, n)
+        _, length, window, _ = placed(schedule, q, 0, n)
         np.add.at(per, (window, q), length)
-    # until the first queue is dry, each window has its share to within two tokens
+    # until the first queue is dry, each window, and all windows so far, have their share to within two tokens
     dry = min(np.flatnonzero(per[:, q])[-1] for q in range(3))
     wanted = np.array(weights) / 10 * packing.WINDOW
-    assert np.abs(per[: dry - packing.PERIOD] - wanted).max() <= 2
-    assert (np.abs(np.cumsum(per, axis=0)[: dry - packing.PERIOD] - wanted * np.arange(1, dry - packing.PERIOD + 1)[:, None]) < 3 + 0.01 * np.arange(1, dry - packing.PERIOD + 1)[:, None]).all()
-
-
-@pytest.mark.parametrize("tokens", [[1], [1023], [1024], [1025, 1], [0, 5, 0], [10**6, 1, 1, 1], [7] * 50])
-def test_schedule_places_every_token(tokens):
-    segments, seen = packing.schedule(tokens), []
+    assert np.abs(per[:dry] - wanted).max() <= 2
+    assert np.abs(np.cumsum(per, axis=0)[:dry] - wanted * np.arange(1, dry + 1)[:, None]).max() <= 2
+
+
+@pytest.mark.parametrize("share", [1e-3, 1e-5, 1e-7, 1e-9])
+def test_small_shares_are_spread(share):
+    """A source of 1,000 tokens has them evenly over all windows, however large the corpus is."""
+    small = 1000
+    large = round(small / share) - small
+    schedule = packing.Schedule([large, small, 7 * small])
+    _, length, window, _ = placed(schedule, 1, 0, small)
+    assert length.sum() == small and window.max() <= schedule.end // packing.WINDOW
+    target = packing.WINDOW * small / (large + 8 * small)
+    assert np.abs(np.cumsum(length) - (window + 1) * target).max() <= 2 and length.max() <= target + 2
+    assert np.diff(window).max(initial=0) <= 2 / target + 2
+    # a stretch in the middle of the large queue
+    first, length, window, _ = placed(schedule, 0, large // 2, large // 2 + 50_000)
+    assert length.sum() == 50_000 and first[0] == large // 2 and np.abs(length[1:-1] - packing.WINDOW * large / (large + 8 * small)).max() <= 2
+
+
+def test_ten_thousand_sources():
+    import pickle
+
+    rng = np.random.default_rng(7)
+    tokens = rng.integers(1, 10**7, 10_000).tolist()
+    for weights in (None, rng.integers(1, 100, 10_000).tolist()):
+        schedule = packing.Schedule(tokens, weights)
+        assert len(pickle.dumps(schedule)) < 2_000_000 and len(schedule.start) <= 8
+        if weights is None:
+            assert len(pickle.dumps(schedule)) < 1_000_000
+        base = [*schedule.base, np.array(tokens)]
+        assert all((a <= b).all() for a, b in zip(base, base[1:])) and [int(b.sum()) for b in base] == [*schedule.start, schedule.end]
+        for q in (0, 5000, 9999):
+            begin = max(0, tokens[q] - 20_000)
+            first, length, window, offset = placed(schedule, q, begin, tokens[q])
+            assert (first == begin + np.cumsum(length) - length).all() and length.sum() == tokens[q] - begin and (np.diff(window) >= 0).all() and (offset + length).max() <= packing.WINDOW
+
+
+def test_muldiv():
+    rng = np.random.default_rng(1)
+    a, b, c = (rng.integers(1, 2 ** rng.integers(1, 46, 4000)) for _ in range(3))
+    b = np.minimum(b, c)
+    add = rng.integers(-(2**45), 2**45, 4000)
+    want = [(int(x) * int(y) + int(z)) // int(w) for x, y, z, w in zip(a, b, add, c)]
+    assert packing.muldiv(a, b, c, add).tolist() == want
+
+
+@pytest.mark.parametrize("weights", [None, "given"])
+@pytest.mark.parametrize("tokens", [[1], [1023], [1024], [1025, 1], [0, 5, 0], [10**6, 1, 1, 1], [7] * 50, list(range(1, 40))])
+def test_schedule_places_every_token(tokens, weights):
+    given = None if weights is None else [1 + (7 * i) % 11 for i in range(len(tokens))]
+    schedule, seen = packing.Schedule(tokens, given), []
     for q, n in enumerate(tokens):
         if n:
-            first, length, window, offset = packing.place(segments, q, 0, n)
+            first, length, window, offset = placed(schedule, q, 0, n)
             assert (first == np.cumsum(length) - length).all() and length.sum() == n
             seen += [{"sequence_id": int(w), "offset": int(o), "length": int(x)} for w, o, x in zip(window, offset, length)]
-            a = packing.place(segments, q, n // 3, n)
-            assert a[1].sum() == n - n // 3
+            assert placed(schedule, q, n // 3, n)[1].sum() == n - n // 3
     check_layout(seen)
+    assert schedule.end == sum(tokens)
 
 
 def test_entropy_mix(docs):
