@@ -376,12 +376,16 @@ def _shown(width: int, height: int, images: list[_Image], raw: dict[int, bytes])
     """Draws the images on the canvas, one after the other."""
     canvas, frames = np.zeros((height, width, 4), np.uint8), []
     for k, i in enumerate(images):
-        plane = np.frombuffer(raw[k].ljust(i.width * i.height, b"\0"), np.uint8).reshape(i.height, i.width)
+        if len(raw[k]) < i.width * i.height:
+            raise GifError("a frame with too few samples")
+        plane = np.frombuffer(raw[k], np.uint8, i.width * i.height).reshape(i.height, i.width)
+        if plane.size and plane.max() >= len(i.colours):
+            raise GifError("a sample beyond the palette")
         if i.interlaced:
             plane = plane[np.argsort(_interlaced(i.height))]
         before = canvas
         part = plane[: max(0, height - i.top), : max(0, width - i.left)]
-        shown = i.colours.take(part, axis=0, mode="clip")
+        shown = i.colours.take(part, axis=0)
         if i.hidden is None and part.shape == canvas.shape[:2]:
             canvas = shown
         else:

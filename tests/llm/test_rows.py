@@ -150,6 +150,23 @@ def test_disposal_and_transparency():
     assert [f.delay_ms for f in frames] == [50] * 4 and [f.transparent for f in frames] == [False, True, False, False]
 
 
+def test_damaged_frames_are_errors(spark):
+    """A code stream with too few samples, and a sample that the palette doesn't have, are told, not painted over."""
+    good = _gif([(0, 0, 2, 2, [1, 0, 1, 0], 0, None, False)])
+    short = _gif([(0, 0, 2, 2, [1, 0, 1], 0, None, False)])
+    two_colours = lambda data: data[:10] + b"\x80" + data[11:19] + data[25:]
+    beyond = two_colours(_gif([(0, 0, 2, 2, [1, 0, 3, 0], 0, None, False)]))
+    rows = [(i, bytearray(x)) for i, x in enumerate((good, two_colours(good), short, beyond))]
+    found = gif.read_media(spark.createDataFrame(rows, "doc long, media binary")).orderBy("doc").collect()
+    assert [r["error"] for r in found] == [None, None, "a frame with too few samples", "a sample beyond the palette"]
+    assert [len(r["frames"]) for r in found] == [1, 1, 0, 0] and bytes(found[0]["payload"]) == b"\1\0\1\0"
+    stored = gif.store_texts(spark.createDataFrame([(1, "some text")], "doc_id long, text string")).first()["media"]
+    at = bytes(stored).index(b"\x2c\0\0\0\0") + 11  # the first block of the first frame's codes
+    cut = bytes(stored)[:at] + b"\3" + bytes(stored)[at + 1 : at + 4] + b"\0;"
+    (r,) = gif.read_media(spark.createDataFrame([(1, bytearray(cut))], "doc long, media binary")).collect()
+    assert r["error"] == "a frame with too few samples"
+
+
 def test_interlaced_rows():
     pixels = [[r % 4] * 2 for r in range(16)]
     order = [*range(0, 16, 8), *range(4, 16, 8), *range(2, 16, 4), *range(1, 16, 2)]
