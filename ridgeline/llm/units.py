@@ -11,6 +11,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 
 #: Bytes of text that are expanded at a time.
 SLICE = 1 << 18
@@ -73,7 +74,7 @@ def _word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hashes of words: eight bytes a step, each step mixed with all before (no sum, no product of places)."""
     length = end - start
     codes = mix(length.astype(_U) * _U(0xD6E8FEB86659FD93))
-    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    eight = sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
     own = np.flatnonzero(length <= WORD_BYTES)
     for at in range(0, WORD_BYTES, 8):
         own = own[length[own] > at]
@@ -91,15 +92,21 @@ class Windows:
 
     A window of 2**k units is a mix of its two halves, any other one a mix of the two longest such
     windows that begin and end it, and of its length. Every step is non-linear, so no two sequences
-    cancel out as they can in sums over powers of a base. Levels of other sizes than those asked for
-    are not kept.
+    cancel out as they can in sums over powers of a base. Units are codes, or bytes, of which eight make
+    one code as they stand. Levels of other sizes than those asked for are not kept.
     """
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self._levels = codes, {0: codes}
+        self.codes, self._levels = codes, {}
 
     def _level(self, k: int) -> np.ndarray:
         """Fingerprints of all windows of 2**k units, by start."""
+        plain = self.codes.dtype == np.uint8
+        if plain and k >= 3 and 3 not in self._levels:
+            eight = sliding_window_view(self.codes, 8) if len(self.codes) >= 8 else np.zeros((0, 8), np.uint8)
+            self._levels[3] = mix(np.ascontiguousarray(eight).view("<u8").ravel())
+        if not plain or k < 3:
+            self._levels.setdefault(0, BYTE_CODES[self.codes] if plain else self.codes)
         if k not in self._levels:
             below = max(i for i in self._levels if i < k)
             found = self._levels[below]
@@ -127,7 +134,11 @@ class Windows:
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _U(0x9E3779B97F4A7C15) + b)
+    out = a * _U(0x9E3779B97F4A7C15)
+    out += b
+    out ^= out >> _U(29)
+    out *= _U(0xBF58476D1CE4E5B9)
+    return out
 
 
 def _closed(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -159,15 +170,16 @@ def spans(codes: np.ndarray, by_row: np.ndarray, window: int, seed: int) -> Iter
     """
     for low in range(0, len(codes) - window + 1, CHUNK):
         part = codes[low : low + CHUNK + window - 1]
-        windows = Windows(BYTE_CODES[part] if part.dtype == np.uint8 else part)
+        windows = Windows(part)
         seeds = windows.every(seed)
         chosen = winnow(seeds, window - seed + 1)  # by window start
-        starts = np.arange(len(chosen))
-        row = np.searchsorted(by_row, low + starts, "right") - 1
-        own = starts[low + starts + window <= by_row[row + 1]]  # windows within one row
+        # starts of windows that lie within one row
+        first = np.clip(by_row[:-1] - low, 0, len(chosen))
+        count = np.maximum(np.clip(by_row[1:] - window + 1 - low, 0, len(chosen)) - first, 0)
+        own = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         if not len(own):
             continue
-        anchor, row = chosen[own], row[own]
+        anchor, row = chosen[own], np.repeat(np.arange(len(count)), count)
         new = np.ones(len(own), bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
         begin = np.flatnonzero(new)
