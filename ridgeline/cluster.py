@@ -7,13 +7,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
-_scopes: list[list[str]] = []
+#: Tables of the innermost scope of this thread or task; each has its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+_unscoped: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
@@ -48,12 +51,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: a lost executor costs the tasks that run, not what came before. The table
-    stays until the innermost ``scope`` around the call ends; without one, it is the caller's.
+    stays until the innermost ``scope`` around the call ends; without one, until ``release``.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    scoped = _scope.get()
+    (_unscoped if scoped is None else scoped).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,10 +68,24 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes the tables stored inside, at its end. Results that read them must be written before."""
-    _scopes.append([])
+    """Deletes the tables stored inside, at its end. Results that read them must be written before.
+
+    A scope is that of its thread: queries in other threads keep their tables.
+    """
+    tables: list[str] = []
+    token = _scope.set(tables)
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scope.reset(token)
+        for path in tables:
             delete(spark, path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that were stored outside scopes so far, once the results that read them are written; their number."""
+    gone = 0
+    while _unscoped:
+        delete(spark, _unscoped.pop())
+        gone += 1
+    return gone

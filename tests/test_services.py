@@ -301,3 +301,35 @@ def test_every_request_has_one_outcome(spark):
 def test_requests_without_a_start_begin_at_the_default(spark):
     rows = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 1.0, None)], "request_id long, start_lat double, start_lng double")
     assert [(r["start_lat"], r["start_lng"]) for r in requests.with_start(rows).orderBy("request_id").collect()] == [(1.0, 2.0), (40.0149, -105.2705), (40.0149, -105.2705)]
+
+
+# -- stored tables
+
+
+def test_scopes_are_those_of_their_threads(spark, tmp_path):
+    """Two queries at once delete their own tables and no others; what is stored outside scopes goes when it is released."""
+    from pathlib import Path
+
+    from ridgeline import cluster
+
+    cluster.release(spark)
+    paths, barrier, kept = {}, threading.Barrier(2), {}
+
+    def run(name, first):
+        with cluster.scope(spark):
+            df = cluster.stored(spark.range(10), f"of-{name}")
+            paths[name] = Path(df.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+            barrier.wait(60)
+            if first:
+                return
+            while paths[other].exists():  # the other scope has ended
+                pass
+            kept[name] = df.count()
+
+    other = "one"
+    threads = [threading.Thread(target=run, args=("one", True)), threading.Thread(target=run, args=("two", False))]
+    [t.start() for t in threads], [t.join(120) for t in threads]
+    assert kept == {"two": 10} and not any(p.exists() for p in paths.values())
+    loose = cluster.stored(spark.range(3), "loose")
+    folder = Path(loose.inputFiles()[0].removeprefix("file:").replace("///", "/")).parent
+    assert loose.count() == 3 and cluster.release(spark) == 1 and not folder.exists() and cluster.release(spark) == 0
