@@ -11,6 +11,7 @@ from ridgeline.cluster import stored
 from ridgeline.functions.cost import node_quality
 from ridgeline.functions.geo import angular_difference, bearing, half_up, haversine_m, num, point_in_ring, project_on_segment
 from ridgeline.operators import grid
+from ridgeline.operators.pyramid import nearest_pairs
 
 # Limits of a request's graph.
 EDGE_LIMIT = {"cycling": 14000}
@@ -85,27 +86,34 @@ def growing(points: DataFrame, key: str, metres: float, enough: int, find: Calla
         metres = min(metres * GROWTH, ANYWHERE_M)
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, metres: float = 400.0) -> DataFrame:
-    """Each point's nearest node at any distance, ties to the least id. ``metres`` is where the search starts."""
-    targets = nodes.select("node_id", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
+def _near_first(points: DataFrame, key: str, metres: float, enough: int, find: Callable[[DataFrame], DataFrame], targets: DataFrame) -> DataFrame:
+    """``find(pairs)``: over a point's pairs within ``metres`` where there are enough, else over those that the pyramid gives.
+
+    Most points have targets near by, which one join on cells finds. What is left, and only that, descends
+    the pyramid, so a point far from everything reads a bounded number of rows.
+    """
+    own = points.select(key, "lat", "lng")
+    part = stored(find(near_join(own, targets, metres)), "near")
+    full = part.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= enough).select(key)
+    left = own.join(full, key, "left_anti")
+    if not left.take(1):
+        return part
+    far = find(nearest_pairs(stored(left, "far-points"), targets, key, enough))
+    return part.join(full, key, "left_semi").unionByName(far)
 
-    def find(left: DataFrame, radius: float) -> DataFrame:
-        near = F.min(F.struct(half_up(F.col("metres"), 3).alias("metres"), "node_id")).alias("n")
-        return near_join(left.select(key, "lat", "lng"), targets, radius).groupBy(key).agg(near).select(key, "n.node_id", "n.metres")
 
-    return growing(points, key, metres, 1, find)
+def nearest(points: DataFrame, nodes: DataFrame, key: str, metres: float = 400.0) -> DataFrame:
+    """Each point's nearest node at any distance, ties to the least id. ``metres`` is how far is looked first."""
+    targets = nodes.select("node_id", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
+    near = F.min(F.struct(half_up(F.col("metres"), 3).alias("metres"), "node_id")).alias("n")
+    return _near_first(points, key, metres, 1, lambda pairs: pairs.groupBy(key).agg(near).select(key, "n.node_id", "n.metres"), targets)
 
 
 def nearest_k(points: DataFrame, nodes: DataFrame, key: str, most: int, metres: float = 400.0) -> DataFrame:
     """Each point's nearest nodes at any distance, with ``rank`` from 1; ties to the least id."""
     targets = nodes.select("node_id", F.col("lat").alias("to_lat"), F.col("lng").alias("to_lng"))
     order = Window.partitionBy(key).orderBy("metres", "node_id")
-
-    def find(left: DataFrame, radius: float) -> DataFrame:
-        pairs = near_join(left.select(key, "lat", "lng"), targets, radius).withColumn("metres", half_up(F.col("metres"), 3))
-        return best_of(pairs.select(key, "node_id", "metres"), order, most)
-
-    return growing(points, key, metres, most, find)
+    return _near_first(points, key, metres, most, lambda pairs: best_of(pairs.withColumn("metres", half_up(F.col("metres"), 3)).select(key, "node_id", "metres"), order, most), targets)
 
 
 def end_links(ends: DataFrame, nodes: DataFrame, key: str = "request_id", most: int = END_LINKS) -> DataFrame:

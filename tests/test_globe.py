@@ -180,3 +180,43 @@ def test_costs_to_are_bounds(spark, edges):  # noqa: F811
 def test_haversine_of_the_globe(spark):
     row = spark.range(1).select(haversine_m(F.lit(12.0), F.lit(179.9999), F.lit(12.0), F.lit(-179.9999)).alias("m")).first()
     assert row["m"] == pytest.approx(far((12.0, 179.9999), (12.0, -179.9999)))
+
+
+@pytest.mark.parametrize("most", [1, 4])
+def test_nearest_by_the_pyramid(spark, most):
+    """Points anywhere, far from clusters, at the poles and across the date line find their nearest targets."""
+    import math
+    import random
+
+    from ridgeline.operators import graph, pyramid
+
+    rng = random.Random(most)
+    clusters = [(40.0, -105.2), (-33.0, 179.99), (89.9, 10.0), (0.0, -180.0), (-89.99, 100.0)]
+    nodes = [(i, max(-90.0, min(90.0, a + rng.uniform(-0.2, 0.2))), b + rng.uniform(-0.2, 0.2)) for i in range(150) for a, b in [rng.choice(clusters)]] + [(500, 40.0, -105.2), (501, 40.0, -105.2)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(60)] + [(100, 90.0, 0.0), (101, -90.0, 5.0), (102, 0.0, 180.0), (103, 40.0, -105.2), (104, -33.0, -179.95), (105, None, 1.0)]
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(min(1.0, h)))
+
+    n = spark.createDataFrame(nodes, "node_id long, lat double, lng double").repartition(3)
+    p = spark.createDataFrame(points, "request_id long, lat double, lng double").repartition(3)
+    pairs = pyramid.nearest_pairs(p, n.selectExpr("node_id", "lat AS to_lat", "lng AS to_lng"), "request_id", most).collect()
+    near = {}
+    for r in pairs:
+        near.setdefault(r["request_id"], []).append(r["metres"])
+    ranked = {(r["request_id"], r["rank"]): r["metres"] for r in graph.nearest_k(p, n, "request_id", most).collect()}
+    for key, lat, lng in points:
+        want = sorted(metres(lat, lng, b, c) for _, b, c in nodes)[:most] if lat is not None else []
+        assert sorted(near.get(key, []))[:most] == pytest.approx(want, abs=0.01)
+        assert [ranked[key, k + 1] for k in range(len(want))] == pytest.approx(want, abs=0.01)
+    assert graph.nearest(p, n.limit(0), "request_id").count() == 0
+
+
+def test_far_points_read_few_rows(spark):
+    """A point at sea reads a handful of the ten thousand targets of a town."""
+    from ridgeline.operators import pyramid
+
+    town = spark.range(10_000).selectExpr("id AS node_id", "40 + (id % 100) * 0.001 AS to_lat", "-105 + floor(id / 100) * 0.001 AS to_lng")
+    sea = spark.createDataFrame([(1, 0.0, -30.0), (2, -60.0, 150.0)], "request_id long, lat double, lng double")
+    assert pyramid.nearest_pairs(sea, town, "request_id", 4).count() <= 600
