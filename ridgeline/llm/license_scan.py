@@ -87,10 +87,31 @@ def known_bigrams(templates: dict[str, str]) -> tuple[list[str], list[str]]:
     return known, sorted({w for x in known for w in x.split()})
 
 
+def _stretches(runs: Column, most: int) -> Column:
+    """The words of every stretch of paragraphs of a run, but for the run itself and for single lines, which are units
+    already; of at most ``most`` words. Licences that stand side by side are one run, and stretches of it each."""
+    parts = F.transform(runs, lambda r: F.filter(F.split(r, r"\n{2,}"), lambda x: x != ""))
+    parts = F.transform(parts, lambda p: F.struct(F.transform(p, lambda x: F.split(x, "\n| ")).alias("words"), F.transform(p, lambda x: x.contains("\n")).alias("lines")))
+    upto = lambda words: F.aggregate(words, F.array(F.lit(0)), lambda sums, w: F.array_append(sums, F.element_at(sums, -1) + F.size(w)))
+    parts = F.transform(parts, lambda p: F.struct(p["words"].alias("words"), p["lines"].alias("lines"), upto(p["words"]).alias("upto")))
+
+    def of_run(p: Column) -> Column:
+        last = F.size(p["words"]) - 1
+
+        def from_(i: Column) -> Column:
+            wanted = lambda j: ((i > 0) | (j < last)) & ((j > i) | p["lines"][i]) & (p["upto"][j + 1] - p["upto"][i] <= most)
+            return F.transform(F.filter(F.sequence(i, F.least(i + most, last)), wanted), lambda j: F.flatten(F.slice(p["words"], i + 1, j - i + 1)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), from_))
+
+    return F.flatten(F.transform(parts, of_run))
+
+
 def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``license`` (template of the best match, else null), ``dice`` (its score, else null) and ``license_units`` (matching units).
 
-    A unit matches if its best template scores ``threshold`` or more; equal scores go to the template
+    Units are lines, runs of lines that read like a licence, stretches of a run between blank lines (of at most
+    twice the largest template's words), and the whole text. A unit matches if its best template scores ``threshold`` or more; equal scores go to the template
     that sorts last by name. Null and empty texts match nothing. Other columns stay as they are, but
     for those of these names and the helpers ``OWN``, which are replaced. Equal texts get equal
     values, repeated rows and null keys are rows as all others, an empty table stays empty. A row's
@@ -128,12 +149,14 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, str]
     found = found.withColumn("_runs", F.array_join(F.transform("_lines", marked), "\n"))
     # runs of two lines and more: one line is a unit already
     runs = F.transform(F.split("_runs", BREAK), lambda r: F.regexp_replace(r, r"^\n+|\n+$", ""))
-    runs = F.transform(F.filter(runs, lambda r: r.contains("\n")), lambda r: F.split(r, r"\n+| "))
+    runs = F.filter(runs, lambda r: r.contains("\n"))
+    stretches = _stretches(runs, 2 * (high + 1))
+    runs = F.transform(runs, lambda r: F.split(r, r"\n+| "))
     # a set of bigrams is at most one smaller than that of the words, so a long text needs no bigrams
     whole = F.filter(F.flatten(F.transform("_lines", lambda x: x["words"])), lambda x: x != "")
     whole = F.when((F.size("_lines") > 1) & F.col("_runs").contains(BREAK), F.filter(F.array(whole), lambda w: F.size(F.array_distinct(w)) <= high + 1)).otherwise(F.array().cast("array<array<string>>"))
     # a unit of w words has at most w - 1 bigrams, so fewer than low + 1 words can't match
-    longer = F.transform(F.filter(F.concat(runs, whole), lambda w: F.size(w) > low), _pairs)
+    longer = F.transform(F.filter(F.concat(runs, stretches, whole), lambda w: F.size(w) > low), _pairs)
     units = scored(F.concat(F.transform("_lines", lambda x: x["grams"]), longer))
     found = found.withColumn("_m", F.filter(F.transform(units, best), lambda s: s.isNotNull() & (s["dice"] >= threshold)))
     top = F.array_max(F.col("_m"))

@@ -50,6 +50,7 @@ def _license_sql() -> str:
     sets = {name: b for name, t in sorted(license_scan.TEMPLATES.items()) if (b := license_scan.bigrams(t))}
     rows = ", ".join(f"({_quoted(name)}, [{', '.join(map(_quoted, b))}])" for name, b in sets.items())
     known, words = license_scan.known_bigrams(license_scan.TEMPLATES)
+    most = 2 * (max(license_scan.size_bounds(len(b), license_scan.THRESHOLD)[1] for b in sets.values()) + 1)
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return rf"""
 WITH t(template, grams) AS (VALUES {rows}),
@@ -63,10 +64,14 @@ h AS (SELECT x.r, x.k, count(*) AS n FROM (SELECT r, k, unnest(grams) AS gram FR
 f AS (SELECT lb.r, lb.k, lb.w, CASE WHEN len(lb.w) = 1 THEN lb.w[1] = '' OR lb.w[1] IN (SELECT word FROM known_words) ELSE 2 * coalesce(h.n, 0) >= len(lb.grams) END AS alike
       FROM lb LEFT JOIN h ON h.r = lb.r AND h.k = lb.k),
 j AS MATERIALIZED (SELECT r, string_agg(CASE WHEN alike THEN array_to_string(w, ' ') ELSE chr(1) END, chr(10) ORDER BY k) AS runs, count(*) AS lines, string_agg(array_to_string(w, ' '), ' ' ORDER BY k) AS whole FROM f GROUP BY r),
-long AS (SELECT r, k, string_split(trim(regexp_replace(run, '[ 
-]+', ' ', 'g')), ' ') AS w FROM (SELECT r, unnest(u) AS run, generate_subscripts(u, 1) AS k FROM (SELECT r, string_split(runs, chr(1)) AS u FROM j)) WHERE contains(trim(run, chr(10)), chr(10))
-      UNION ALL SELECT r, 0, string_split(trim(regexp_replace(whole, ' +', ' ', 'g')), ' ') FROM j WHERE lines > 1 AND contains(runs, chr(1))),
-b AS (SELECT r, 'line' || k AS k, grams FROM lb WHERE len(w) > 1 UNION ALL SELECT r, 'run' || k, {pairs} FROM long WHERE len(w) > 1),
+run AS MATERIALIZED (SELECT r, k, trim(run, chr(10)) AS run FROM (SELECT r, unnest(u) AS run, generate_subscripts(u, 1) AS k FROM (SELECT r, string_split(runs, chr(1)) AS u FROM j)) WHERE contains(trim(run, chr(10)), chr(10))),
+part AS (SELECT r, k, list_filter(regexp_split_to_array(run, '[\n][\n]+'), lambda x: x <> '') AS parts FROM run),
+stretch AS (SELECT r, k, i, unnest(range(i, len(parts) + 1)) AS j, parts FROM (SELECT r, k, unnest(range(1, len(parts) + 1)) AS i, parts FROM part)),
+long AS (SELECT r, 'run' || k AS k, string_split(regexp_replace(run, '[ \n]+', ' ', 'g'), ' ') AS w FROM run
+      UNION ALL SELECT r, 'part' || k || '-' || i || '-' || j, w FROM (SELECT *, string_split(regexp_replace(array_to_string(parts[i:j], ' '), '[ \n]+', ' ', 'g'), ' ') AS w FROM stretch
+        WHERE NOT (i = 1 AND j = len(parts)) AND (j > i OR contains(parts[i], chr(10)))) WHERE len(w) <= {most}
+      UNION ALL SELECT r, 'whole', string_split(trim(regexp_replace(whole, ' +', ' ', 'g')), ' ') FROM j WHERE lines > 1 AND contains(runs, chr(1))),
+b AS (SELECT r, 'line' || k AS k, grams FROM lb WHERE len(w) > 1 UNION ALL SELECT r, k, {pairs} FROM long WHERE len(w) > 1),
 s AS (SELECT b.r, b.k, t.template, 2e0 * len(list_intersect(b.grams, t.grams)) / (len(b.grams) + len(t.grams)) AS dice FROM b JOIN t ON len(b.grams) BETWEEN len(t.grams) * 0.6 AND len(t.grams) * 1.6),
 m AS (SELECT r, k, max(struct_pack(dice := dice, template := template)) AS best FROM s WHERE dice >= {license_scan.THRESHOLD}e0 GROUP BY r, k),
 a AS (SELECT r, max(best) AS best, count(*) AS n FROM m GROUP BY r)

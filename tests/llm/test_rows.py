@@ -294,14 +294,24 @@ def brute_license(text):
     grams = lambda words: {f"{a} {b}" for a, b in zip(words, words[1:])}
     lines = [normal(x) for x in text.split("\n")]
     all_units, run, broken = [grams(x) for x in lines], [], False
+    most = 2 * (max(ls.size_bounds(len(set(ls.bigrams(t))), 0.8)[1] for t in ls.TEMPLATES.values()) + 1)
     for words in [*lines, None]:
         own = grams(words or [])
         if words is not None and (not words or (words[0] in single if len(words) == 1 else 2 * len(own & set(known)) >= len(own))):
-            run += [words] if words else []
+            run.append(words)
             continue
         broken |= words is not None
-        if len(run) > 1:
-            all_units.append(grams([x for w in run for x in w]))
+        parts = []
+        for before, line in zip([[], *run], run):
+            if line:
+                parts = [*parts[:-1], [*parts[-1], line]] if before else [*parts, [line]]
+        flat = lambda some: [w for p in some for line in p for w in line]
+        if sum(map(len, parts)) > 1:
+            all_units.append(grams(flat(parts)))
+            for a in range(len(parts)):
+                for b in range(a + 1, len(parts) + 1):
+                    if b - a < len(parts) and sum(map(len, parts[a:b])) > 1 and len(flat(parts[a:b])) <= most:
+                        all_units.append(grams(flat(parts[a:b])))
         run = []
     if broken and len(lines) > 1:
         all_units.append(grams([x for w in lines for x in w]))
@@ -353,6 +363,19 @@ def test_wrapped_licences_in_long_documents(spark):
         assert (row["license"], row["dice"], row["license_units"]) == brute_license(row["text"])
 
 
+@pytest.mark.parametrize("mark", ["", "# "])
+def test_licences_side_by_side(spark, mark):
+    """Two whole licences with a blank line between are both found, in any order."""
+    import textwrap
+
+    wrapped = {n: "\n".join(mark + x for x in textwrap.wrap(ls.TEMPLATES[n], 78)) for n in ("mit-text", "bsd-3-clause-text", "isc-text", "gpl-notice", "apache-2.0-header")}
+    rows = [(a, b, f"{x}\n{mark.rstrip()}\n{y}") for a, x in wrapped.items() for b, y in wrapped.items() if a != b]
+    rows += [(a, "", f"{x}\n\n{x}\n\n\n{x}") for a, x in wrapped.items()]
+    for r in ls.license_scan(spark.createDataFrame(rows, "a string, b string, text string")).collect():
+        assert r["license"] in (r["a"], r["b"]) and r["dice"] == 1.0 and r["license_units"] >= 2
+        assert (r["license"], r["dice"], r["license_units"]) == brute_license(r["text"])
+
+
 def test_license_columns_are_replaced(spark):
     given = spark.createDataFrame([("All rights reserved.", "x", 1, "y", "z")], "text string, license string, _m int, _lines string, other string")
     (row,) = ls.license_scan(given).collect()
