@@ -53,11 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs the tasks that run, not what came before. The table
     stays until the innermost ``scope`` around the call ends; without one, until ``release``.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that live as long as a ``stored`` table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     scoped = _scope.get()
     (_unscoped if scoped is None else scoped).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:

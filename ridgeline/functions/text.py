@@ -29,8 +29,8 @@ def safe_filename(text: Column) -> Column:
 
 
 def number_text(x: Column, digits: int = 6) -> Column:
-    """Plain decimal text without trailing zeros, at most so many digits."""
-    text = F.format_string(f"%.{digits}f", x)
+    """Plain decimal text without trailing zeros, at most so many digits; null stays null."""
+    text = F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
     short = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")
     return F.when(short == "-0", F.lit("0")).otherwise(short)
 

@@ -7,22 +7,52 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import half_up, num
 from ridgeline.functions.text import escape_xml, number_text
+from ridgeline.operators.profiles import iso_time
+from ridgeline.operators.tracks import elevation_at, with_distance
 
 CREATOR = "ridgeline"
 
 
-def gpx(name: Column, points: Column) -> Column:
-    """GPX 1.1 of array<struct<lat, lng, elev>>; a null elevation leaves ``ele`` out."""
+def gpx(name: Column, points: Column, saved_at: Column | None = None, timed: bool = False) -> Column:
+    """GPX 1.1 of array<struct<lat, lng, elev>>; a null elevation leaves ``ele`` out. ``saved_at`` (ISO text) is the file's time;
+    with ``timed``, points have a ``time`` (ISO text) too. A null time is left out."""
+
+    def element(tag: str, text: Column, indent: str) -> Column:
+        return F.coalesce(F.concat(F.lit(f"{indent}<{tag}>"), text, F.lit(f"</{tag}>")), F.lit(""))
 
     def point(p: Column) -> Column:
-        ele = F.when(p["elev"].isNotNull(), F.concat(F.lit("\n        <ele>"), number_text(p["elev"]), F.lit("</ele>\n      </trkpt>"))).otherwise(F.lit("</trkpt>"))
-        return F.concat(F.lit('      <trkpt lat="'), number_text(p["lat"]), F.lit('" lon="'), number_text(p["lng"]), F.lit('">'), ele)
+        inner = element("ele", number_text(p["elev"]), "\n        ")
+        if timed:
+            inner = F.concat(inner, element("time", p["time"], "\n        "))
+        end = F.when(inner == "", F.lit("</trkpt>")).otherwise(F.lit("\n      </trkpt>"))
+        return F.concat(F.lit('      <trkpt lat="'), number_text(p["lat"]), F.lit('" lon="'), number_text(p["lng"]), F.lit('">'), inner, end)
 
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="{CREATOR}" xmlns="http://www.topografix.com/GPX/1/1">\n'
     title = F.concat(F.lit("<name>"), escape_xml(name), F.lit("</name>\n"))
+    time = F.lit("") if saved_at is None else F.coalesce(F.concat(F.lit("    <time>"), saved_at, F.lit("</time>\n")), F.lit(""))
     return F.concat(
-        F.lit(f"{head}  <metadata>\n    "), title, F.lit("  </metadata>\n  <trk>\n    "), title, F.lit("    <trkseg>\n"), F.array_join(F.transform(points, point), "\n"), F.lit("\n    </trkseg>\n  </trk>\n</gpx>\n")
-    )
+        F.lit(f"{head}  <metadata>\n    "), title, time, F.lit("  </metadata>\n  <trk>\n    "), title, F.lit("    <trkseg>\n"),
+        F.array_join(F.transform(points, point), "\n"), F.lit("\n    </trkseg>\n  </trk>\n</gpx>\n"),
+    )
+
+
+def route_gpx(routes: DataFrame, key: str) -> DataFrame:
+    """(key, gpx): routes as GPX whose elevations come from the profile, by the distance along the line.
+
+    routes: a unique ``key``, name, saved_at (text or null), geometry array<struct<lat, lng, time>>, profile
+    array<struct<distance_km, elev_m>> in any order. Between two samples the elevation is interpolated, beyond the ends it is
+    that of the end; samples without a number are left out, and without samples there is no elevation. A null name is
+    empty, times that are not ISO are left out. Routes of under two points, or with a point without a number, give null.
+    """
+    asked = routes.select(key, F.posexplode("geometry").alias("pos", "_p")).select(key, "pos", "_p.lat", "_p.lng", "_p.time")
+    asked = with_distance(asked.withColumnRenamed("pos", "seq"), key)
+    samples = routes.select(key, F.explode("profile").alias("_s")).select(key, (F.col("_s.distance_km") * 1000).alias("metres"), F.col("_s.elev_m").alias("elev"))
+    found = elevation_at(samples.dropna(subset=["metres", "elev"]), asked.select(key, "metres", "seq", "lat", "lng", "time"), key)
+    point = F.struct("seq", "lat", "lng", "elev", iso_time(F.col("time")).alias("time"))
+    good = (F.count("*") >= 2) & (F.count("*") == F.count(F.col("lat") + F.col("lng")))
+    lines = found.groupBy(key).agg(F.when(good, F.array_sort(F.collect_list(point))).alias("_line"))
+    text = gpx(F.coalesce("name", F.lit("")), F.col("_line"), iso_time(F.col("saved_at")), timed=True)
+    return routes.select(key, "name", "saved_at").join(lines, key, "left").select(key, text.alias("gpx"))
 
 
 def kml(name: Column, points: Column) -> Column:
