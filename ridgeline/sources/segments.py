@@ -11,31 +11,31 @@ from ridgeline.functions.geo import clamp, half_up, num
 def decode_polyline(text: Column) -> Column:
     """array<struct<lat, lng>> of a polyline text (1e-5 degrees, five bits a character).
 
-    One fold over the characters collects the numbers, another adds up the deltas.
+    The text is cut after each number's last character; one fold adds up the deltas. No step looks at the whole again.
     """
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("shift"), empty.alias("numbers"))
-
-    def read(s: Column, char: Column) -> Column:
-        b = F.ascii(char) - 63
-        value = s["value"] + F.call_function("shiftleft", b.bitwiseAND(31).cast("bigint"), s["shift"])
-        whole = F.when(value % 2 == 1, -F.shiftright(value, 1) - 1).otherwise(F.shiftright(value, 1))
-        more = b >= 32
-        return F.struct(
-            F.when(more, value).otherwise(F.lit(0).cast("bigint")).alias("value"),
-            F.when(more, s["shift"] + 5).otherwise(F.lit(0)).alias("shift"),
-            F.when(more, s["numbers"]).otherwise(F.array_append(s["numbers"], whole)).alias("numbers"),
-        )
 
-    numbers = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, read, lambda s: s["numbers"])
-    points = F.array().cast("array<struct<lat: bigint, lng: bigint>>")
+    def number(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("value"), F.lit(0).alias("shift"))
+        bits = lambda char: (F.ascii(char) - 63).bitwiseAND(31).cast("bigint")
+        read = lambda s, char: F.struct((s["value"] + F.call_function("shiftleft", bits(char), s["shift"])).alias("value"), (s["shift"] + 5).alias("shift"))
+        whole = lambda v: F.when(v % 2 == 1, -F.shiftright(v, 1) - 1).otherwise(F.shiftright(v, 1))
+        return F.aggregate(F.filter(F.split(chunk, ""), lambda c: c != ""), start, read, lambda s: whole(s["value"]))
+
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(r"[^\x00-\x5e]*[\x00-\x5e]"), F.lit(0)), number)
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    start = F.struct(none.alias("up"), zero.alias("lat"), zero.alias("lng"), F.array().cast("array<struct<lat: bigint, lng: bigint>>").alias("path"))
 
-    def add(path: Column, i: Column) -> Column:
-        before = F.coalesce(F.get(path, F.size(path) - 1), F.struct(F.lit(0).cast("bigint").alias("lat"), F.lit(0).cast("bigint").alias("lng")))
-        return F.array_append(path, F.struct((before["lat"] + F.get(numbers, i * 2)).alias("lat"), (before["lng"] + F.get(numbers, i * 2 + 1)).alias("lng")))
+    def add(s: Column, d: Column) -> Column:
+        first = s["up"].isNull()  # deltas come in turn: latitude, longitude
+        lat, lng = s["lat"] + s["up"], s["lng"] + d
+        return F.struct(
+            F.when(first, d).alias("up"),
+            F.when(first, s["lat"]).otherwise(lat).alias("lat"),
+            F.when(first, s["lng"]).otherwise(lng).alias("lng"),
+            F.when(first, s["path"]).otherwise(F.array_append(s["path"], F.struct(lat.alias("lat"), lng.alias("lng")))).alias("path"),
+        )
 
-    count = F.floor(F.size(numbers) / 2).cast("int")
-    path = F.aggregate(F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: i < count), points, add)
+    path = F.aggregate(numbers, start, add, lambda s: s["path"])
     return F.transform(path, lambda p: F.struct((p["lat"] / num(1e5)).alias("lat"), (p["lng"] / num(1e5)).alias("lng")))
 
 
@@ -43,7 +43,8 @@ def encode_polyline(points: Column) -> Column:
     """The inverse of ``decode_polyline``, coordinates rounded to 1e-5 degrees."""
     whole = F.transform(points, lambda p: F.array(half_up(p["lat"] * 100000).cast("bigint"), half_up(p["lng"] * 100000).cast("bigint")))
     zero = F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    deltas = F.flatten(F.transform(whole, lambda p, i: F.zip_with(p, F.coalesce(F.get(whole, i - 1), zero), lambda a, b: a - b)))
+    before = F.concat(F.array(zero), F.slice(whole, F.lit(1), F.greatest(F.size(whole) - 1, F.lit(0))))
+    deltas = F.flatten(F.transform(F.arrays_zip(whole.alias("p"), before.alias("q")), lambda z: F.when(z["p"].isNotNull(), F.zip_with(z["p"], z["q"], lambda a, b: a - b)).otherwise(F.array().cast("array<bigint>"))))
 
     def chunks(d: Column) -> Column:
         n = F.when(d < 0, -d * 2 - 1).otherwise(d * 2)

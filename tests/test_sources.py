@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +22,21 @@ def test_polyline_of_the_format_description(spark):
     assert spark.range(1).select(segments.encode_polyline(points).alias("t")).first()["t"] == text
 
 
+def test_long_polylines_take_time_in_proportion(spark):
+    points = F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.struct((i * i % 9001 / num(1e3)).alias("lat"), (-i % 777 / num(1e2)).alias("lng")))
+    began = time.time()
+    lines = spark.range(1).select(points.alias("p")).select("p", segments.encode_polyline(F.col("p")).alias("t"))
+    r = lines.select("p", segments.decode_polyline(F.col("t")).alias("q")).first()
+    assert time.time() - began < 20
+    assert [tuple(p) for p in r["q"]] == [tuple(p) for p in r["p"]]
+
+
+def test_polylines_of_no_whole_point(spark):
+    texts = {"": [], "_p~iF": [], "_p~iF~ps|U_ulL": [(38.5, -120.2)], "_p~iF~ps|U_": [(38.5, -120.2)]}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segments.decode_polyline(F.col("t")).alias("p"), segments.encode_polyline(F.array().cast("array<struct<lat: double, lng: double>>")).alias("none")).collect()
+    assert {r["t"]: [tuple(p) for p in r["p"]] for r in rows} == texts and {r["none"] for r in rows} == {""}
+
+
 def test_segments_without_a_line_are_dropped(spark):
     schema = "id long, name string, points string, start struct<lat: double, lng: double>, end struct<lat: double, lng: double>, distance_m double, climb_m double, grade double, category int, starred boolean"
     rows = [(1, "a", None, (1.0, 2.0), (3.0, 4.0), 12345.0, -5.0, 6.0, 3, True), (2, "b", "", None, (3.0, 4.0), 1.0, None, None, None, None), (3, "c", "_p~iF~ps|U_ulLnnqC", None, None, 100.0, None, None, None, None)]
