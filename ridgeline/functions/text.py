@@ -35,6 +35,12 @@ def number_text(x: Column, digits: int = 6) -> Column:
     return F.when(short == "-0", F.lit("0")).otherwise(short)
 
 
+def exact_text(x: Column) -> Column:
+    """The shortest plain decimal text that reads back as the same number."""
+    plain = F.regexp_replace(x.cast("string"), "[.]0$", "")
+    return F.when((x == 0) | F.abs(x).between(1e-3, 9.99e6), F.when(plain == "-0", F.lit("0")).otherwise(plain)).otherwise(number_text(x, 20))
+
+
 def title_label(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

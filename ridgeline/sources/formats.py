@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geo import half_up, num
-from ridgeline.functions.text import escape_xml, number_text
+from ridgeline.functions.text import escape_xml, exact_text, number_text
 from ridgeline.operators.profiles import iso_time
 from ridgeline.operators.tracks import elevation_at, with_distance
 
@@ -21,7 +21,7 @@ def gpx(name: Column, points: Column, saved_at: Column | None = None, timed: boo
         return F.coalesce(F.concat(F.lit(f"{indent}<{tag}>"), text, F.lit(f"</{tag}>")), F.lit(""))
 
     def point(p: Column) -> Column:
-        inner = element("ele", number_text(p["elev"]), "\n        ")
+        inner = element("ele", exact_text(p["elev"]), "\n        ")
         if timed:
             inner = F.concat(inner, element("time", p["time"], "\n        "))
         end = F.when(inner == "", F.lit("</trkpt>")).otherwise(F.lit("\n      </trkpt>"))

@@ -194,3 +194,12 @@ def test_other_errors_stay_and_budgets_end(spark):
     ended = Budget(0.0)
     with pytest.raises(DeadlineExceeded):
         ended.check()
+
+
+def test_exported_elevations_read_back_as_they_were(spark):
+    values = [12.349999999999998, 0.1, 33.333333333333336, 1234.5, 7.0, -0.25]
+    points = F.array(*[F.struct(F.lit(40.0).alias("lat"), F.lit(-105.0).alias("lng"), F.lit(v).alias("elev")) for v in values])
+    written = spark.range(1).select(formats.gpx(F.lit("A"), points).alias("xml"))
+    (r,) = formats.parse_gpx(written).collect()
+    assert [p["elev"] for p in r["points"]] == values
+    assert all(f"<ele>{v}</ele>" in r["xml"] for v in ("0.1", "1234.5", "7", "-0.25"))
