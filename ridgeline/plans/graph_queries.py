@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import stored
 from ridgeline.functions.cost import ROAD, SURFACE, edge_cost
 from ridgeline.functions.geo import half_up, num
 from ridgeline.operators import graph
@@ -163,12 +164,17 @@ TOP = f"""(SELECT request_id, sector, node_id, quality, rank, lat, lng, lat0, ln
      WHERE q.degree >= 2 AND {_BAND} BETWEEN 220e0 AND 620e0)) WHERE rank <= 4)"""
 
 
-def sector_candidates(spark, sf_dir):
+def by_place(spark, sf_dir, find):
+    """Rows of ``find(top)`` for every request; top: the best nodes of each sector. Requests of one place share theirs."""
+    return graph.answered(requests(spark, sf_dir), "request_id", lambda places: find(stored(graph.sector_top(sector_candidates(spark, sf_dir, places)), "sector-top")))
+
+
+def sector_candidates(spark, sf_dir, places):
     n, e = views(spark, sf_dir, "v_node", "v_edge")
     directed = graph.both_ways(e)
     good = graph.node_qualities(directed, one_request()).join(graph.node_degree(directed).where("degree >= 2"), "node_id").select(C("node_id").alias("q_id"), "quality")
     targets = n.select("node_id", C("lat").alias("to_lat"), C("lng").alias("to_lng"))
-    near = graph.near_join(requests(spark, sf_dir), targets, RADIUS_M * 1.55).where(C("metres") >= RADIUS_M * 0.55)
+    near = graph.near_join(places, targets, RADIUS_M * 1.55).where(C("metres") >= RADIUS_M * 0.55)
     near = near.join(good, near["node_id"] == good["q_id"])
     return near.select(
         "request_id", "node_id", C("to_lat").alias("lat"), C("to_lng").alias("lng"), C("lat").alias("lat0"), C("lng").alias("lng0"),
@@ -179,7 +185,7 @@ def sector_candidates(spark, sf_dir):
 
 @query(f"SELECT request_id, sector, node_id, rank, quality FROM {TOP}")
 def sector_top4(spark, sf_dir):
-    return graph.sector_top(sector_candidates(spark, sf_dir)).select("request_id", "sector", "node_id", "rank", "quality")
+    return by_place(spark, sf_dir, lambda top: top.select("request_id", "sector", "node_id", "rank", "quality"))
 
 
 def _bear(a: str, b: str) -> str:
@@ -204,7 +210,7 @@ PAIRS_SQL = f"""a AS MATERIALIZED (SELECT t.*, s.step, (t.sector + s.step) % 8 A
 
 @query(f"WITH t AS MATERIALIZED {TOP}, {PAIRS_SQL} SELECT request_id, a, b, strategy, tier FROM pairs")
 def waypoint_pairs(spark, sf_dir):
-    return graph.sector_pairs(graph.sector_top(sector_candidates(spark, sf_dir)))
+    return by_place(spark, sf_dir, graph.sector_pairs)
 
 
 TRIPLES_SQL = f"""z AS MATERIALIZED (SELECT a.request_id, a.node_id AS a, b.node_id AS b, c.node_id AS c, a.rank AS tier, a.sector,
@@ -216,7 +222,7 @@ TRIPLES_SQL = f"""z AS MATERIALIZED (SELECT a.request_id, a.node_id AS a, b.node
 
 @query(f"WITH t AS MATERIALIZED {TOP}, {TRIPLES_SQL} SELECT request_id, a, b, c, tier FROM triples")
 def waypoint_triples(spark, sf_dir):
-    return graph.sector_triples(graph.sector_top(sector_candidates(spark, sf_dir)))
+    return by_place(spark, sf_dir, graph.sector_triples)
 
 
 _MID = haversine_sql(f"{ORIGIN[0]}e0", f"{ORIGIN[1]}e0", "((lat1 + lat2) / 2)", "((lng1 + lng2) / 2)")
@@ -331,6 +337,5 @@ def sector_costs(spark, sf_dir):
     (e,) = views(spark, sf_dir, "v_edge")
     cost = edge_cost({c: C(c) for c in e.columns}, one_request())
     costs = e.where("access_allowed").groupBy("src").agg(F.sum(F.floor(cost).cast("long")).alias("cost"))
-    top = graph.sector_top(sector_candidates(spark, sf_dir))
-    return top.join(costs, top["node_id"] == costs["src"], "left").select("request_id", "sector", "node_id", "rank", "cost")
+    return by_place(spark, sf_dir, lambda top: top.join(costs, top["node_id"] == costs["src"], "left").select("request_id", "sector", "node_id", "rank", "cost"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import stored
 from ridgeline.functions import client, geo
 from ridgeline.functions.geo import half_up, num
 from ridgeline.functions.text import linestring_geojson
 from ridgeline.operators import graph, payloads, profiles, routes, store
-from ridgeline.plans.graph_queries import PAIRS_SQL, QUALITY, REQUESTS, TOP, TRIPLES_SQL, one_request, requests, sector_candidates
+from ridgeline.plans.graph_queries import PAIRS_SQL, QUALITY, REQUESTS, TOP, TRIPLES_SQL, by_place, one_request, requests
 from ridgeline.plans.profile_queries import PROFILE
 from ridgeline.plans.projection import half_up_sql, haversine_sql, views
 from ridgeline.plans.registry import query
@@ -175,14 +176,13 @@ def pick_nodes(spark, sf_dir):
 _SETS = f"t AS MATERIALIZED {TOP}, {PAIRS_SQL}, {TRIPLES_SQL}, sets AS (SELECT request_id, a, b, CAST(NULL AS bigint) AS c, strategy, tier, 0 AS kind FROM pairs UNION ALL SELECT request_id, a, b, c, 'park', tier, 1 FROM triples)"
 
 
-def _sets(spark, sf_dir):
-    top = graph.sector_top(sector_candidates(spark, sf_dir))
+def _sets(top):
     return graph.waypoint_order(graph.sector_pairs(top), graph.sector_triples(top))
 
 
 @query(f"WITH {_SETS} SELECT request_id, a, b, c, strategy, tier, row_number() OVER (PARTITION BY request_id ORDER BY tier, kind, a, b, c NULLS FIRST) AS place FROM sets")
 def waypoint_order(spark, sf_dir):
-    return _sets(spark, sf_dir)
+    return by_place(spark, sf_dir, _sets)
 
 
 @query(
@@ -192,7 +192,8 @@ def waypoint_order(spark, sf_dir):
 )
 def tiers_until_enough(spark, sf_dir):
     """Waypoint sets up to the tier at which a request has eight that fit."""
-    return routes.until_enough(_sets(spark, sf_dir).withColumn("fits", (C("a") + C("b")) % 3 == 0)).select("request_id", "a", "b", "c", "tier")
+    enough = lambda top: routes.until_enough(stored(_sets(top).withColumn("fits", (C("a") + C("b")) % 3 == 0), "waypoint-sets"))
+    return by_place(spark, sf_dir, lambda top: enough(top).select("request_id", "a", "b", "c", "tier"))
 
 
 @query(
