@@ -134,3 +134,30 @@ def test_shape_of_a_square(road):
     there = road.route(0, 5)
     back = search.shape(road, there + road.back(there), road.slope, 1.0)
     assert back["overlap"] == 1 and back["compactness"] == 0 and back["backtrack"] > 0
+
+
+@pytest.mark.parametrize("block_nodes", [1000, 7])
+def test_costs_over_blocks_are_least(spark, block_nodes):
+    """Float costs, two sources, closed and missing ways, a node that none reaches: as plain relaxation finds."""
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 40, 130), rng.integers(0, 40, 130), rng.random(130))] + [(1, 90, math.inf), (2, 91, None), (70, 71, 1.0)]
+    got = search.shortest_costs(spark.createDataFrame(rows, "src long, dst long, cost double"), spark.createDataFrame([(5, 3), (6, 70), (7, 200)], "source long, node_id long"), block_nodes).collect()
+    want = {}
+    for source, start in ((5, 3), (6, 70), (7, 200)):
+        best = {start: 0.0}
+        for _ in range(60):
+            for a, b, c in rows:
+                if a in best and c is not None and c < math.inf:
+                    best[b] = min(best.get(b, math.inf), best[a] + c)
+        want |= {(source, n): c for n, c in best.items()}
+    assert {(r["source"], r["node_id"]): r["cost"] for r in got} == want and len(got) == len(want)
+
+
+def test_rounds_follow_blocks(spark, monkeypatch):
+    """A path of 3,000 edges over three blocks takes few rounds."""
+    made = []
+    own = search._settled
+    monkeypatch.setattr(search, "_settled", lambda bounds: made.append(1) or own(bounds))
+    e = spark.range(3000).selectExpr("id AS src", "id + 1 AS dst", "1D AS cost")
+    found = search.shortest_costs(e.union(e.select("dst", "src", "cost")), spark.createDataFrame([(0, 0)], "source long, node_id long"), 1001)
+    assert {r["node_id"]: r["cost"] for r in found.collect()} == {n: float(n) for n in range(3001)} and len(made) <= 6
