@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import spread
 from ridgeline.functions.geo import valid_point
 
 # What a reader says about a payload that it can't take.
@@ -57,10 +58,10 @@ def read_routes(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Adds a payload's fields and ``error``, the first rule that it breaks (then all fields are null).
 
     Fields: id, source, name, activity, route_type (may be missing), distance_km, minutes, gain_m,
-    geometry array<struct<lat, lng>>, saved_at (may be missing).
+    geometry array<struct<lat, lng>>, saved_at (may be missing). Rows are dealt over the cluster first.
     """
     # parsed text and points are columns of their own, so each row is parsed once
-    parsed = payloads.withColumn("_v", F.try_parse_json(F.col(column)))
+    parsed = spread(payloads).withColumn("_v", F.try_parse_json(F.col(column)))
     is_list = F.coalesce(_kind(F.col("_v"), "$.geometry").startswith("ARRAY"), F.lit(False))
     parsed = parsed.withColumn("_points", F.when(is_list, F.try_variant_get(F.col("_v"), "$.geometry", "array<variant>")))
     v, points = F.col("_v"), F.col("_points")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ridgeline.cluster import shared_dir, stored
+from ridgeline.cluster import shared_dir, spread, stored
 from ridgeline.functions import client, text
 from ridgeline.functions.geo import num
 from ridgeline.operators import cache, places
@@ -153,11 +153,12 @@ _OWN_ID = _ERROR.replace(_fails("id"), "")
 def saved_batches(spark, sf_dir):
     """Generated batches after a write that was repeated: one batch a request, with its candidates and envelope."""
     p, v = views(spark, sf_dir, "v_pref", "v_payload")
-    sound = stored(read_routes(v).where("error IS NULL").select(C("user_id").alias("request_id"), "payload"), "payloads")
+    # stored before it is filtered: a filter pushed below the parsed text would parse it once for every rule
+    sound = stored(read_routes(v.select(C("user_id").alias("request_id"), "payload")), "payloads").where("error IS NULL")
     asked = p.select("request_id", F.to_json(F.struct("activity", "route_type")).alias("preferences"))
     folder = _folder(spark)
-    sinks.commit(folder, "only", sinks.batch_tables(asked, sound))
-    sinks.commit(folder, "only", sinks.batch_tables(asked, sound))
+    for _ in range(2):
+        sinks.commit(folder, "only", lambda: sinks.batch_tables(asked, sound))
     batches, found = (sinks.committed(spark, folder, t, s) for t, s in (("batches", sinks.BATCHES), ("candidates", sinks.CANDIDATES)))
     held = found.groupBy("batch_id").agg(F.count("*").alias("candidates"))
     joined = batches.join(held, "batch_id", "left")
@@ -169,8 +170,8 @@ def saved_under_new_ids(spark, sf_dir):
     """Payloads saved under the server's ids: none keeps the client's, none is given twice."""
     (v,) = views(spark, sf_dir, "v_payload")
     saved = sinks.new_saved(v.select("route_key", "payload"))
-    good = saved.where("error IS NULL")
-    holders = good.groupBy("id").agg(F.count("*").cast("int").alias("holders"))
+    saved = spread(saved, "id")
+    holders = saved.where("error IS NULL").groupBy("id").agg(F.count("*").cast("int").alias("holders"))
     own = C("id").startswith("saved-") & (F.get_json_object("payload", "$.id") == C("id")) & (C("id") != F.concat(F.lit("saved-"), C("route_key").cast("string")))
     return saved.join(holders, "id", "left").select("route_key", "error", F.length("id").alias("id_length"), "holders", F.coalesce(own, F.lit(False)).alias("own"))
 

@@ -15,13 +15,13 @@ import base64
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.cluster import stored
+from ridgeline.cluster import spread, stored
 from ridgeline.functions.text import linestring_geojson
 from ridgeline.operators.payloads import read_routes
 
@@ -76,15 +76,17 @@ class _Folder:
         self._files.delete(self.path(below), True)
 
 
-def commit(root: str, name: str, tables: dict[str, DataFrame]) -> bool:
+def commit(root: str, name: str, tables: dict[str, DataFrame] | Callable[[], dict[str, DataFrame]]) -> bool:
     """Writes the tables as one commit of this name. False, and nothing written, if the name is taken already.
 
-    A repeated call, after a failure anywhere or beside another driver, leaves the rows of one attempt.
+    A repeated call, after a failure anywhere or beside another driver, leaves the rows of one attempt. tables may be
+    a function that makes them; it is called only if they are to be written.
     """
-    spark = next(iter(tables.values())).sparkSession
+    spark = SparkSession.active() if callable(tables) else next(iter(tables.values())).sparkSession
     folder = _Folder(spark, root)
     if folder.manifest(name) is not None:
         return False
+    tables = tables() if callable(tables) else tables
     attempt = uuid.uuid4().hex
     for table, rows in tables.items():
         rows.write.parquet(f"{folder.root}/{table}/{attempt}")
@@ -153,14 +155,15 @@ CANDIDATES = "batch_id string, route_id string, source string, name string, acti
 
 
 def batch_tables(requests: DataFrame, candidates: DataFrame) -> dict[str, DataFrame]:
-    """The two tables of generated batches. requests: request_id, preferences (JSON text). candidates: request_id, payload.
+    """The two tables of generated batches. requests: request_id, preferences (JSON text). candidates: request_id, payload, or
+    these as ``read_routes`` has read them, which are not read again.
 
     Each request is a batch under an id of its own, also without candidates: its envelope covers all its routes'
     points and is null where they have none. A candidate that breaks a rule of ``read_routes``, or has fewer than two points,
     makes the whole write fail, as half a batch is none.
     """
     named = with_drawn(requests.select("request_id", "preferences"), "batch_id", lambda: str(uuid.uuid4()))
-    routes = stored(read_routes(candidates.select("request_id", "payload")), "batch-candidates")
+    routes = candidates if "error" in candidates.columns else stored(read_routes(candidates.select("request_id", "payload")), "batch-candidates")
     if bad := routes.where("error IS NOT NULL").select("error").first():
         raise ValueError(bad["error"])
     box = envelope(F.col("geometry"))
@@ -179,7 +182,7 @@ def new_saved(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Payloads as rows to save, stored: ``id`` (the server's, saved- and a random UUID, in the payload too), the fields
     of ``read_routes``, ``error``, ``notes``. What a client calls a route repeats, so its id is never kept; a payload that
     breaks a rule has an error and no id."""
-    drawn = with_drawn(payloads, "new_id", lambda: f"saved-{uuid.uuid4()}").withColumn("_v", F.try_parse_json(F.col(column)))
+    drawn = with_drawn(spread(payloads), "new_id", lambda: f"saved-{uuid.uuid4()}").withColumn("_v", F.try_parse_json(F.col(column)))
     members = F.variant_get(F.col("_v"), "$", "map<string,variant>")
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     own = F.map_concat(F.map_filter(members, lambda k, _: k != "id"), F.create_map(F.lit("id"), F.col("new_id").cast("variant")))
