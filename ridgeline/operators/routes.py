@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import spread
 from ridgeline.functions.geo import angular_difference, bearing, half_up, haversine_m, num
 
 # Pool and result sizes, overlap limits.
@@ -66,12 +67,14 @@ def edge_distances(edges: DataFrame, *keys: str) -> DataFrame:
 def pair_overlap(edges: DataFrame, group: str = "request_id", key: str = "route_id") -> DataFrame:
     """Shared length of routes of one group that have an edge in common: a < b, ``shared_m``.
 
-    Joined on (group, edge): only routes that meet on an edge become pairs.
+    Joined on (group, edge): only routes that meet on an edge become pairs. Edges are dealt out before they are summed:
+    nearly every (route, edge) is a group of its own, and an input split of them is more than a task should hold.
     """
-    d = edge_distances(edges, group, key)
+    d = edge_distances(spread(edges.select(group, key, "edge_key", "distance_m"), group, "edge_key"), group, key)
     a = d.select(group, "edge_key", F.col(key).alias("a"), F.col("d").alias("da"))
     b = d.select(group, "edge_key", F.col(key).alias("b"), F.col("d").alias("db"))
-    return a.join(b, [group, "edge_key"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.least("da", "db")).alias("shared_m"))
+    pairs = a.join(b, [group, "edge_key"]).where("a < b").select(group, "a", "b", F.least("da", "db").alias("m"))
+    return spread(pairs, group, "a", "b").groupBy(group, "a", "b").agg(F.sum("m").alias("shared_m"))
 
 
 def centroids(points: DataFrame, key: str = "route_id") -> DataFrame:
