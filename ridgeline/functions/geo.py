@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the data model.
@@ -99,6 +99,21 @@ def segment_distance_km(lat: Column, lng: Column, lat1: Column, lng1: Column, la
     return F.when(squared == 0, haversine_m(lat, lng, lat1, lng1) / 1000).otherwise(F.sqrt(x * x + y * y))
 
 
+def with_segment_km(rows: DataFrame, name: str, place: tuple[str, str], line: tuple[str, str, str, str]) -> DataFrame:
+    """Adds ``segment_distance_km`` of columns, in steps of their own: as one expression each part of it is computed
+    wherever it stands, some fifty cosines a row. A filter on it belongs behind an aggregation, or it is computed twice."""
+    lat, lng, lat1, lng1, lat2, lng2 = map(F.col, (*place, *line))
+    east, north = num(KM_PER_DEGREE) * F.cos(F.radians(lat)), num(KM_PER_DEGREE)
+    found = rows.withColumn("_east", east)
+    found = found.withColumns({"_ax": (lng1 - lng) * F.col("_east"), "_ay": (lat1 - lat) * north, "_bx": (lng2 - lng) * F.col("_east"), "_by": (lat2 - lat) * north})
+    found = found.withColumns({"_sx": F.col("_bx") - F.col("_ax"), "_sy": F.col("_by") - F.col("_ay")})
+    found = found.withColumn("_squared", F.col("_sx") * F.col("_sx") + F.col("_sy") * F.col("_sy"))
+    found = found.withColumn("_t", clamp(-(F.col("_ax") * F.col("_sx") + F.col("_ay") * F.col("_sy")) / F.when(F.col("_squared") != 0, F.col("_squared")), 0, 1))
+    found = found.withColumns({"_x": F.col("_ax") + F.col("_sx") * F.col("_t"), "_y": F.col("_ay") + F.col("_sy") * F.col("_t")})
+    km = F.when(F.col("_squared") == 0, haversine_m(lat, lng, lat1, lng1) / 1000).otherwise(F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")))
+    return found.withColumn(name, km).drop("_east", "_ax", "_ay", "_bx", "_by", "_sx", "_sy", "_squared", "_t", "_x", "_y")
+
+
 def box_around(lat: Column, lng: Column, km: Column, km_per_degree: float = BOX_KM_PER_DEGREE) -> tuple[Column, Column, Column, Column]:
     """(south, west, north, east) of a box of half-width ``km``."""
     dlat = km / num(km_per_degree)

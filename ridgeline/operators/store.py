@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.functions.geo import half_up, haversine_m, num, segment_distance_km
+from ridgeline.cluster import stored, tasks
+from ridgeline.functions.geo import half_up, haversine_m, num, segment_distance_km, with_segment_km
 from ridgeline.operators import grid
 from ridgeline.operators.graph import best_of
 
@@ -70,23 +71,26 @@ def nearby_segments(requests: DataFrame, segments: DataFrame, radius_km: float,
 
     segments: segment_id, geometry, of which the steps are joined. limit: 1 to 50, 10 by default. A step lies in
     the cells along its line, grown by the radius, so a request meets few steps that are too far; distinct
-    places are answered once.
+    places are answered once. They are stored first, so that few of them are sent to the steps, and the many
+    rows of cells aren't shuffled. Segments are dealt out whole, so each finds its nearest step where it lies.
     """
     most = min(max(SEGMENTS if limit is None else limit, 1), MOST_SEGMENTS)
     points = F.col("geometry")
     inner = F.greatest(F.size(points) - 1, F.lit(1))  # a single point is a step to itself
     steps = F.zip_with(F.slice(points, F.lit(1), inner), F.slice(points, F.least(F.size(points), F.lit(2)), inner), lambda a, b: F.struct(a["lat"].alias("a"), a["lng"].alias("b"), b["lat"].alias("lat2"), b["lng"].alias("lng2")))
-    pieces = segments.where(F.size("geometry") > 0).select("segment_id", F.inline(steps))
+    # a number of parts of its own: an equal one would be taken for the shuffle of an aggregation before, and its parts joined by size
+    dealt = segments.where(F.size("geometry") > 0).repartition(2 * tasks(segments.sparkSession), "segment_id")
+    pieces = dealt.select("segment_id", F.inline(steps))
     metres = radius_km * 1000
     degrees = grid.height(max(metres, SEGMENT_CELL_M))
     whole = pieces.where("a IS NOT NULL AND b IS NOT NULL AND lat2 IS NOT NULL AND lng2 IS NOT NULL")
     placed = grid.line_spread(whole, ("a", "b", "lat2", "lng2"), metres, degrees)
-    places = requests.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct().withColumn("_cell", grid.cell(F.col("lat"), F.col("lng"), degrees))
+    places = stored(requests.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct().withColumn("_cell", grid.cell(F.col("lat"), F.col("lng"), degrees)), "places")
     reach = num(grid.height(metres))
     level = F.col("lat").between(F.least("a", "lat2") - reach, F.greatest("a", "lat2") + reach)  # a cheap test before the distance
     pairs = places.join(placed, "_cell").where(level)
-    away = segment_distance_km(F.col("lat"), F.col("lng"), F.col("a"), F.col("b"), F.col("lat2"), F.col("lng2"))
-    near = pairs.withColumn("km", away).where(F.col("km") <= radius_km).groupBy("lat", "lng", "segment_id").agg(F.min("km").alias("km"))
+    measured = with_segment_km(pairs, "km", ("lat", "lng"), ("a", "b", "lat2", "lng2"))
+    near = measured.groupBy("lat", "lng", "segment_id").agg(F.min("km").alias("km")).where(F.col("km") <= radius_km)
     best = best_of(near.withColumn("km", half_up(F.col("km"), 6)), Window.partitionBy("lat", "lng").orderBy("km", "segment_id"), most)
     return requests.select(key, "lat", "lng").join(best, ["lat", "lng"]).select(key, "segment_id", "km", "rank")
 
