@@ -52,7 +52,7 @@ WALK = "(SELECT user_id, seq, 40e0 + (seq % 60) * 0.0005e0 AS lat, -105.27e0 + (
 def corridor_penalty(spark, sf_dir):
     t, n, e = views(spark, sf_dir, "v_track", "v_node", "v_edge")
     walk = t.select(C("user_id").alias("route_id"), "seq", (num(40) + (C("seq") % 60) * num(0.0005)).alias("lat"), (num(-105.27) + (C("user_id") % 40) * num(0.0012) + (C("seq") % 5) * num(0.0006)).alias("lng"))
-    ends = e.select("src", "edge_id", "distance_m").union(e.select("dst", "edge_id", "distance_m"))
+    ends = e.select(F.explode(F.array("src", "dst")).alias("src"), "edge_id", "distance_m")
     return profiles.corridor_penalties(walk, n, ends)
 
 
