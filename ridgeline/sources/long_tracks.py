@@ -1,8 +1,8 @@
 """GPX and KML files of any size: points as rows, a file read by as many tasks as it has blocks.
 
 No row holds a file. GPX is cut where a point's tag opens, KML at commas, so a piece is as small as a
-point. Where a piece stands is its file, block and place in the block; blocks are numbered by
-themselves and shifted by the counts of those before them, one small row a block.
+point. Where a piece stands is its file, block and place in the block; parts of blocks are numbered by
+themselves and shifted by the counts of those before them, one small row a part.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeline.cluster import spread, stored
 from ridgeline.functions.geo import half_up, num
 
+#: Bits of the number of pieces of a part: what one task numbers at once doesn't grow with the blocks.
+PART_BITS = 16
 #: Points whose rises one task sums in order.
 STRETCH = 1 << 16
 
@@ -24,13 +27,15 @@ def _pieces(spark: SparkSession, paths: str | list[str], separator: str) -> Data
 
 
 def _running(df: DataFrame, order: list[str], **amounts: Column) -> DataFrame:
-    """Adds the sum of each amount over the file up to each row, that row included."""
-    inside = Window.partitionBy("file", "block").orderBy(*order)
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("file", "block").agg(*[F.sum(a).alias(f"_{name}") for name, a in amounts.items()])
-    before = totals.select("file", "block", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in amounts])
+    """Adds the sum of each amount over the file up to each row, that row included. The first column of the order is a whole number."""
+    part = ["file", "block", "_part"]
+    df = spread(df.withColumn("_part", F.shiftright(order[0], PART_BITS)), *part)
+    inside = Window.partitionBy(*part).orderBy(*order)
+    earlier = Window.partitionBy("file").orderBy("block", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*part).agg(*[F.sum(a).alias(f"_{name}") for name, a in amounts.items()])
+    before = totals.select(*part, *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in amounts])
     summed = df.withColumns({name: F.sum(a).over(inside) for name, a in amounts.items()})
-    return summed.join(before, ["file", "block"]).withColumns({name: F.col(name) + F.col(f"_{name}") for name in amounts}).drop(*[f"_{name}" for name in amounts])
+    return summed.join(before, part).withColumns({name: F.col(name) + F.col(f"_{name}") for name in amounts}).drop("_part", *[f"_{name}" for name in amounts])
 
 
 def _numbered(points: DataFrame, order: list[str]) -> DataFrame:
@@ -73,13 +78,13 @@ def read_kml_points(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     opens = lambda name: F.col("token").rlike(rf"^<(\w+:)?{name}(\s[^>]*[^/>]|\s*)>$").cast("int") - F.col("token").rlike(rf"^</(\w+:)?{name}\s*>$").cast("int")
     begins = ((F.col("i") > 0) & ~F.col("token").startswith("<")).cast("int")
     placed = _running(tokens, ["at", "i"], tuple=begins, line=opens("LineString"), inside=opens("coordinates"))
-    parts = placed.where("line > 0 AND inside > 0 AND NOT startswith(token, '<')")
+    parts = spread(placed.where("line > 0 AND inside > 0 AND NOT startswith(token, '<')"), "file", "tuple")
     others = [c for c in parts.columns if c not in ("file", "block", "at", "i", "token", "tuple", "line", "inside")]
     place = F.row_number().over(Window.partitionBy("file", "tuple").orderBy("block", "at", "i"))
     part = lambda k: F.max(F.when(F.col("_k") == k, F.col("token"))).try_cast("double")
     kept = parts.withColumn("_k", place).where("_k <= 3").groupBy("file", "tuple", *others)
     points = kept.agg(F.min("block").alias("block"), part(2).alias("lat"), part(1).alias("lng"), part(3).alias("elev"))
-    return _numbered(points, ["tuple"])
+    return _numbered(stored(points, "points"), ["tuple"])  # numbering reads them twice
 
 
 def climbs(points: DataFrame, *also: str) -> DataFrame:
