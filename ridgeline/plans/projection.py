@@ -1,7 +1,7 @@
 """Route entities over the star-schema tables.
 
 The tables carry no coordinates, so each entity is a deterministic projection, written once as SQL
-that Spark and DuckDB both read; only integer division is spelled differently. ``views`` builds
+that Spark and DuckDB both read; only divisions and a quoted name are spelled differently. ``views`` builds
 them for Spark, ``with_views`` puts them in front of a DuckDB statement.
 """
 
@@ -110,6 +110,8 @@ VIEWS: dict[str, str] = {
                40e0 + ((s_suppkey * 7) % 50) * 0.0009e0 AS lat, -105.27e0 + ((s_suppkey * 11) % 40) * 0.0012e0 AS lng, 0.0004e0 + (s_suppkey % 5) * 0.0002e0 AS half
         FROM supplier""",
 }
+#: What Spark reads in place of the entities' own text. An edge without length is flat: its division would be an error.
+SPELLED = {'"natural"': "`natural`", "elevation_gain_m / distance_m AS slope": "coalesce(try_divide(elevation_gain_m, distance_m), 0e0) AS slope"}
 #: Names of the tag columns of v_tag.
 TAGS = ("highway", "access", "bicycle", "foot", "surface", "sidewalk", "maxspeed", "lit", "service", "covered", "tree_lined", "natural", "leisure")
 
@@ -136,7 +138,9 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """The named entities as DataFrames, read from Parquet."""
     built: dict[str, DataFrame] = {}
     for name in _closure(list(names)):
-        text = VIEWS[name].replace('"natural"', "`natural`")
+        text = VIEWS[name]
+        for own, spelled in SPELLED.items():
+            text = text.replace(own, spelled)
         inputs = {}
         for source in re.findall(r"\b(?:FROM|JOIN) (\w+)", text):
             if source not in inputs:
